@@ -283,31 +283,24 @@ def thin(df: DataFrame, gap: int, keys: Sequence[str] = ("symbol",), idx: str =
     folded per series, giving each chunk its entry state; then chunks are thinned on their own.
     """
     size = size or max(1024, 8 * gap)
-
-    def walk(rows: Column, free: Column) -> Column:
-        return F.aggregate(rows, free, lambda acc, i: F.when(i >= acc, i + F.lit(gap)).otherwise(acc))
-
-    chunked = df.withColumn(CHUNK, F.floor(F.col(idx) / size))
     rows = (
-        chunked.groupBy(*keys, CHUNK)
-        .agg(F.sort_array(F.collect_set(F.col(idx).cast("long"))).alias("_rows"))
-        .withColumn("_base", F.col(CHUNK).cast("long") * size)
+        df.groupBy(*keys, F.floor(F.col(idx) / size).alias(CHUNK))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).cast("long").alias("_i"), F.struct(*df.columns).alias("_row")))).alias("_rows"))
+        .withColumn("_base", F.col(CHUNK) * size)
     )
-    maps = rows.withColumn(
-        "_exit",
-        F.transform(F.sequence(F.lit(0), F.lit(gap)),
-                    lambda s: walk(F.col("_rows"), F.col("_base") + s.cast("long"))),
-    )
-    # entry state of a chunk: exit of the previous one, no earlier than the chunk's first row
-    ordered = maps.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(CHUNK, "_base", "_exit"))).alias("_m"))
+    free_after = F.transform(
+        F.sequence(F.lit(0), F.lit(gap)),
+        lambda s: F.aggregate("_rows", F.col("_base") + s.cast("long"),
+                              lambda free, r: F.when(r["_i"] >= free, r["_i"] + F.lit(gap)).otherwise(free)))
+    maps = rows.select(*keys, CHUNK, "_base", free_after.alias("_exit"))
+    ordered = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(CHUNK, "_base", "_exit"))).alias("_m"))
     start = F.struct(F.lit(0).cast("long").alias("free"),
                      F.array().cast(f"array<struct<{CHUNK}:bigint,entry:bigint>>").alias("seen"))
 
     def step(acc: Column, m: Column) -> Column:
+        # what an earlier chunk blocks reaches less than ``gap`` rows into this one
         entry = F.greatest(acc["free"], m["_base"])
-        slot = F.least(entry - m["_base"], F.lit(gap)).cast("int")
-        # a free row beyond base+gap can only come from a chunk shorter than the gap
+        slot = (entry - m["_base"]).cast("int")
         return F.struct(F.element_at(m["_exit"], slot + 1).alias("free"),
                         F.array_append(acc["seen"], F.struct(m[CHUNK].alias(CHUNK), entry.alias("entry"))).alias("seen"))
 
@@ -315,16 +308,17 @@ def thin(df: DataFrame, gap: int, keys: Sequence[str] = ("symbol",), idx: str =
         *keys, F.explode(F.aggregate("_m", start, step, lambda acc: acc["seen"])).alias("_e")
     ).select(*keys, F.col(f"_e.{CHUNK}").alias(CHUNK), F.col("_e.entry").alias("_entry"))
 
-    def keep_step(acc: Column, i: Column) -> Column:
-        hit = i >= acc["free"]
-        return F.struct(F.when(hit, i + F.lit(gap)).otherwise(acc["free"]).alias("free"),
-                        F.when(hit, F.array_append(acc["kept"], i)).otherwise(acc["kept"]).alias("kept"))
+    def keep(acc: Column, r: Column) -> Column:
+        hit = r["_i"] >= acc["free"]
+        return F.struct(F.when(hit, r["_i"] + F.lit(gap)).otherwise(acc["free"]).alias("free"),
+                        F.when(hit, F.array_append(acc["kept"], r["_i"])).otherwise(acc["kept"]).alias("kept"))
 
-    kept = (
+    kept = F.aggregate(
+        "_rows", F.struct(F.col("_entry").alias("free"), F.array().cast("array<bigint>").alias("kept")),
+        keep, lambda acc: acc["kept"])
+    return (
         rows.join(entries, [*keys, CHUNK])
-        .select(*keys, F.explode(F.aggregate(
-            F.col("_rows"),
-            F.struct(F.col("_entry").alias("free"), F.array().cast("array<bigint>").alias("kept")),
-            keep_step, lambda acc: acc["kept"])).alias(idx))
+        .select("_rows", kept.alias("_kept"))
+        .select(F.explode(F.filter("_rows", lambda r: F.array_contains("_kept", r["_i"]))).alias("_r"))
+        .select("_r._row.*")
     )
-    return df.join(kept, [*keys, idx], "left_semi")

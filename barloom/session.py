@@ -34,6 +34,7 @@ def local_session(cores: int | str | None = None, memory: str = "8g") -> SparkSe
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": memory,
             "spark.ui.enabled": "false",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         })
         .getOrCreate()
