@@ -23,7 +23,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
                         F.struct(*left.columns).alias("_row")).unionByName(
         right.select(*keys, F.col(right_at).alias("_at"), F.lit(1 - side).alias("_side"), fields.alias("_hit")),
         allowMissingColumns=True)
-    carried = carry_last(lines, "_hit", keys, ["_at", "_side"], F.floor(F.col("_at") / span), payload, forward=forward)
+    carried = carry_last(lines, "_hit", keys, ["_at", "_side"], F.floor(F.col("_at") / span), payload, forward=not forward)
     return carried.filter(F.col("_row").isNotNull()).select("_row.*", payload)
 
 

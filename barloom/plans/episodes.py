@@ -259,9 +259,9 @@ def _(spark, d):
 
 
 @query("band_overlap", "J10", f"""WITH RECURSIVE {SIGNALS_SQL},
-ch AS (SELECT symbol, bar_idx FROM bars WHERE close > open AND bar_idx % 7 = 3)
+ch AS (SELECT symbol, bar_idx FROM bars WHERE close > open)
 SELECT ch.symbol, count(*) AS children, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sig s WHERE s.symbol = ch.symbol AND abs(s.bar_idx - ch.bar_idx) <= 6)) AS near,
-  round(100.0 * count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sig s WHERE s.symbol = ch.symbol AND abs(s.bar_idx - ch.bar_idx) <= 6)) / count(*), 6) AS overlap_pct FROM ch GROUP BY ch.symbol""".replace("AND bar_idx % 7 = 3", ""))
+  round(100.0 * count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sig s WHERE s.symbol = ch.symbol AND abs(s.bar_idx - ch.bar_idx) <= 6)) / count(*), 6) AS overlap_pct FROM ch GROUP BY ch.symbol""")
 def _(spark, d):
     b = bars(spark, d)
     child = b.filter(F.col("close") > F.col("open")).select("symbol", "bar_idx")
@@ -274,7 +274,7 @@ def _(spark, d):
 @query("event_quality_scores", "E17", f"""WITH RECURSIVE {PATH_SQL},
 q AS (SELECT symbol, start_bar, score, off, wave_strength, top_risk, runup_atr, pa, tr, wp, qs, ex, cp, uw FROM pth)
 SELECT symbol, start_bar, off,
-  round({c01('1') if False else 'greatest(0, least(100, '}100 * (0.30 * {c01('score / 100')} + 0.24 * {c01('pa / 100')} + 0.16 * {c01('(tr + 0.10) / 0.70')} + 0.16 * {c01('(wp - 0.35) / 0.35')} + 0.14 * {c01('0.5 * wp + 0.3 * ' + c01('(tr + 1) / 2') + ' + 0.2 * ' + c01('cp'))}) - 18 * {c01('(-qs + 0.02) / 0.10')} - 12 * {c01('(ex - 55) / 45')})), 4) AS breakout_quality,
+  round(greatest(0, least(100, 100 * (0.30 * {c01('score / 100')} + 0.24 * {c01('pa / 100')} + 0.16 * {c01('(tr + 0.10) / 0.70')} + 0.16 * {c01('(wp - 0.35) / 0.35')} + 0.14 * {c01('0.5 * wp + 0.3 * ' + c01('(tr + 1) / 2') + ' + 0.2 * ' + c01('cp'))}) - 18 * {c01('(-qs + 0.02) / 0.10')} - 12 * {c01('(ex - 55) / 45')})), 4) AS breakout_quality,
   round(greatest(0, least(100, 100 * (0.38 * {c01('top_risk / 100')} + 0.22 * {c01('(uw - 0.25) / 0.50')} + 0.16 * {c01('(0.55 - cp) / 0.55')} + 0.14 * {c01('(ex - 40) / 60')} + 0.10 * {c01('(runup_atr - 1.5) / 3')}))), 4) AS warning_quality,
   round(greatest(0, least(100, 100 * (0.32 * {c01('score / 100')} + 0.30 * {c01('top_risk / 100')} + 0.20 * {c01('uw')} + 0.18 * {c01('(ex - 45) / 55')}))), 4) AS confirmed_quality,
   round(greatest(0, least(100, 100 * (0.28 * {c01('score / 100')} + 0.28 * {c01('wave_strength / 100')} + 0.18 * {c01('pa / 100')} + 0.14 * {c01('(cp - 0.45) / 0.55')} + 0.12 * {c01('(qs + 0.01) / 0.08')}))), 4) AS reaccel_quality FROM q""")
@@ -289,18 +289,19 @@ def _(spark, d):
         rnd(P.reaccel_quality(F.col("score"), F.col("wave_strength"), F.col("f_participation"), F.col("f_close_pos"), F.col("f_quote_slope")), 4).alias("reaccel_quality"))
 
 
-FUND_SQL = f"""fund AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS at, event_id AS fid, value AS rate FROM events WHERE user_id % 5 = 0)"""
+FUND_SQL = """fund AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS at, arg_max(value, event_id) AS rate
+  FROM events WHERE json_extract_string(props, '$.k')::INT < 20 GROUP BY ALL)"""
 
 
 def funding(spark, d):
-    """Irregular readings per symbol: the prints of one user group."""
+    """Irregular readings per symbol: the prints with a small volume."""
     from barloom.plans.inputs import table
-    e = table(spark, d, "events").filter(F.col("user_id") % 5 == 0)
+    e = table(spark, d, "events").filter(F.get_json_object("props", "$.k").cast("int") < 20)
     return e.groupBy(F.col("event_type").alias("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")).agg(
         F.max_by("value", "event_id").alias("rate"))
 
 
-@query("nearest_reading", "J02", f"""WITH {BARS_SQL}, {FUND_SQL.replace(', event_id AS fid, value AS rate', ', arg_max(value, event_id) AS rate').replace('WHERE user_id % 5 = 0)', 'WHERE user_id % 5 = 0 GROUP BY ALL)')}
+@query("nearest_reading", "J02", f"""WITH {BARS_SQL}, {FUND_SQL}
 SELECT b.symbol, b.bar_idx, b.t, f.at AS reading_at, round(f.rate, 6) AS rate FROM bars b JOIN fund f ON f.symbol = b.symbol QUALIFY row_number() OVER (PARTITION BY b.symbol, b.bar_idx ORDER BY abs(f.at - b.t), f.at DESC) = 1""")
 def _(spark, d):
     b = bars(spark, d).select("symbol", "bar_idx", "t")
