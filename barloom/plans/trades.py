@@ -172,12 +172,12 @@ def _(spark, d):
 
 
 @query("fill_summary", "A47", """WITH o AS (SELECT l_orderkey AS plan, l_quantity AS qty, l_extendedprice / l_quantity AS price, CASE WHEN l_linestatus = 'F' THEN 'FILLED' ELSE 'OPEN' END AS status FROM lineitem)
-SELECT plan, coalesce(sum(qty) FILTER (WHERE status = 'FILLED'), 0) AS filled_qty, round(sum(qty * price) FILTER (WHERE status = 'FILLED') / nullif(sum(qty) FILTER (WHERE status = 'FILLED'), 0), 6) AS avg_fill_price, count(*) FILTER (WHERE status = 'FILLED') AS filled, round(100.0 * count(*) FILTER (WHERE status = 'FILLED') / count(*), 5) AS progress_pct FROM o GROUP BY plan""")
+SELECT plan, coalesce(sum(qty) FILTER (WHERE status = 'FILLED'), 0) AS filled_qty, round(sum(qty * price) FILTER (WHERE status = 'FILLED') / nullif(sum(qty) FILTER (WHERE status = 'FILLED'), 0), 9) AS avg_fill_price, count(*) FILTER (WHERE status = 'FILLED') AS filled, round(100.0 * count(*) FILTER (WHERE status = 'FILLED') / count(*), 5) AS progress_pct FROM o GROUP BY plan""")
 def _(spark, d):
     from barloom.operators.monitor import fills
     o = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.when(F.col("l_linestatus") == "F", "FILLED").otherwise("OPEN").alias("status"))
     f = fills(o, ["plan"])
-    return f.select("plan", "filled_qty", rnd("avg_fill_price", 6).alias("avg_fill_price"), "filled", rnd("progress_pct", 5).alias("progress_pct"))
+    return f.select("plan", "filled_qty", rnd("avg_fill_price", 9).alias("avg_fill_price"), "filled", rnd("progress_pct", 5).alias("progress_pct"))
 
 
 @query("mean_bars_to_hit", "A48", f"""WITH {TR} SELECT symbol_id, CASE WHEN count(*) >= 25 THEN round(avg(hold), 5) END AS mean_bars FROM trd GROUP BY symbol_id""")
