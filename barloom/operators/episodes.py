@@ -330,3 +330,11 @@ def confirmed_quality(warning: Column, risk: Column, drop_pct: Column, exhaustio
 def reaccel_quality(base: Column, wave: Column, participation: Column, close_pos: Column, quote_slope: Column) -> Column:
     return R.clip(100.0 * (0.28 * R.clip01(base / 100.0) + 0.28 * R.clip01(wave / 100.0) + 0.18 * R.clip01(participation / 100.0)
                            + 0.14 * R.clip01((close_pos - 0.45) / 0.55) + 0.12 * R.clip01((quote_slope + 0.01) / 0.08)), 0.0, 100.0)
+
+
+def refresh_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Existing outcome rows with newly computed measures: a new value wins where there is one."""
+    fresh = [c for c in new.columns if c not in keys]
+    j = old.join(new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fresh]), list(keys), "left")
+    return j.select(*keys, *[F.coalesce(f"_n_{c}", c).alias(c) if c in fresh else F.col(c) for c in old.columns if c not in keys],
+                    *[F.col(f"_n_{c}").alias(c) for c in fresh if c not in old.columns])
