@@ -56,7 +56,7 @@ def analyse(bars: DataFrame, keys: Sequence[str] = ("symbol", "interval"), ma_sh
         return x.select(
             *keys, "bar_idx", "_chunk", "open_time", F.col("close").alias("price"), "volume", "rsi", (F.col("macd") - F.col("signal")).alias("macd"), "bb_position", "adx", "atr", "k", "d", "trend_score",
             F.when(F.col("trend_score") > 30, "BULLISH").when(F.col("trend_score") < -30, "BEARISH").otherwise("NEUTRAL").alias("trend"),
-            F.floor(F.least(F.lit(100.0), F.abs("trend_score") * F.col("adx") / 25)).cast("int").alias("strength"),
+            F.floor(F.round(F.least(F.lit(100.0), F.abs("trend_score") * F.col("adx") / 25), 9)).cast("int").alias("strength"),
             F.when(F.col("bar_idx") >= 20, F.stddev_pop("ret").over(f.last(20))).otherwise(0.0).alias("volatility"),
             F.coalesce(F.try_divide(F.col("atr") - f.lag("atr", 9), F.col("atr")), zero).alias("volatility_accel"),
             *[F.coalesce(R.simple_return(f, n), zero).alias(f"momentum_{n}") for n in (5, 10, 20, 50)],

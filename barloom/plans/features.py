@@ -200,7 +200,7 @@ k1 AS (SELECT *, CASE WHEN bar_idx >= 15 THEN avg(k) OVER {last(3)} ELSE k END A
 an0 AS (SELECT k1.*, mc.macd AS ml, sg.y AS sgl, atx.y AS atr, ad.y AS adx, CASE WHEN ru.y IS NULL THEN 50.0 WHEN rd.y = 0 THEN 100.0 ELSE 100 - 100 / (1 + ru.y / rd.y) END AS rsi FROM k1 JOIN mc USING (symbol, bar_idx) JOIN sg USING (symbol, bar_idx) JOIN atx USING (symbol, bar_idx) JOIN ad USING (symbol, bar_idx) LEFT JOIN ru USING (symbol, bar_idx) LEFT JOIN rd USING (symbol, bar_idx)),
 an1 AS (SELECT *, CASE WHEN rsi > 70 THEN 20 WHEN rsi < 30 THEN -20 WHEN rsi > 50 THEN 10 ELSE -10 END + CASE WHEN ml > sgl AND ml - sgl > 0 THEN 20 WHEN ml < sgl AND ml - sgl < 0 THEN -20 ELSE 0 END + CASE WHEN close > m20 AND m20 > m50 THEN 20 WHEN close < m20 AND m20 < m50 THEN -20 ELSE 0 END
   + CASE WHEN bb > 0.8 THEN 10 WHEN bb < 0.2 THEN -10 ELSE 0 END + CASE WHEN k > 80 AND d > 80 THEN 10 WHEN k < 20 AND d < 20 THEN -10 ELSE 0 END AS trend_score FROM an0),
-an AS MATERIALIZED (SELECT *, split_part(symbol, '|', 1) AS sym, split_part(symbol, '|', 2) AS interval, CASE WHEN trend_score > 30 THEN 'BULLISH' WHEN trend_score < -30 THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend, CAST(floor(least(100.0, abs(trend_score) * adx / 25)) AS INT) AS strength FROM an1)"""
+an AS MATERIALIZED (SELECT *, split_part(symbol, '|', 1) AS sym, split_part(symbol, '|', 2) AS interval, CASE WHEN trend_score > 30 THEN 'BULLISH' WHEN trend_score < -30 THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend, CAST(floor(round(least(100.0, abs(trend_score) * adx / 25), 9)) AS INT) AS strength FROM an1)"""
 
 
 def analysis(spark, d):
