@@ -43,8 +43,8 @@ def _(spark, d):
     return live.replay(r.select("symbol", seconds("w.start").alias("t"), "open", "high", "low", "close", "trades"), "rollup")
 
 
-@query("stream_latest_bars", "T01 T02", """SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS t, arg_max(value, event_id) AS close, max(event_id) AS seq FROM events GROUP BY ALL HAVING CAST(floor(epoch(min(ts)) / 60) AS BIGINT) >= 0
-  AND CAST(floor(epoch(min(ts)) / 3600) * 3600 AS BIGINT) + 60 <= (SELECT max(floor(epoch(ts) / 3600) * 3600) FROM events) - 7200""")
+@query("stream_latest_bars", "T01 T02", """SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS t, arg_max(value, event_id) AS close, max(event_id) AS seq FROM events GROUP BY ALL
+  HAVING CAST(floor(epoch(min(ts)) / 3600) * 3600 AS BIGINT) <= (SELECT max(floor(epoch(ts) / 3600) * 3600) FROM events) - 7200""")
 def _(spark, d):
     x = tick_stream(spark, d).select("symbol", F.lit("1h").alias("interval"), F.timestamp_seconds(F.col("t") - F.col("t") % 3600).alias("open_time"), F.col("price").alias("close"), "seq", F.lit(True).alias("closed"))
     out = live.latest_bars(live.closed_bars(x.withColumn("n", F.col("seq"))).drop("closed"))
@@ -69,10 +69,10 @@ def _(spark, d):
     return live.replay(live.gated_prices(tick_stream(spark, d).select("symbol", "t", "seq", "price"), 0.9), "gate").select("symbol", "t", "seq", "price")
 
 
-@query("stream_rate_history", "T13", """SELECT event_type AS symbol, event_id AS seq, CAST(least(row_number() OVER w, 100) AS INT) AS held, round(avg(value) OVER (w ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 5) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id)""".replace(", event_id AS seq", ", CAST(floor(epoch(ts)) AS BIGINT) AS t"))
+@query("stream_rate_history", "T13", """SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(least(row_number() OVER w, 100) AS INT) AS held, round(avg(value) OVER (w ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id)""")
 def _(spark, d):
     x = tick_stream(spark, d).select("symbol", "t", "seq", F.col("price").alias("value"))
-    return live.replay(live.rate_history(x), "rates").select("symbol", "t", "held", rnd("mean", 5).alias("mean"))
+    return live.replay(live.rate_history(x), "rates").select("symbol", "t", "held", rnd("mean", 9).alias("mean"))
 
 
 def pred_stream(spark, d):
@@ -130,13 +130,13 @@ def _(spark, d):
 
 
 @query("loss_streaks", "T12", f"""WITH {TR}, z AS (SELECT *, row_number() OVER w - 1 AS i FROM trd WINDOW w AS (PARTITION BY agent ORDER BY ts, id, symbol_id, notional)), g AS (SELECT *, max(CASE WHEN pnl >= 0 THEN i END) OVER (PARTITION BY agent ORDER BY i ROWS UNBOUNDED PRECEDING) AS ok, sum(pnl) OVER (PARTITION BY agent, CAST(ts AS DATE) ORDER BY i ROWS UNBOUNDED PRECEDING) AS daily FROM z)
-SELECT agent, i AS trade_idx, round(daily, 2) AS daily_pnl, i - coalesce(ok, -1) AS losses, CASE WHEN i - coalesce(ok, -1) >= 3 THEN greatest(0.25, 0.5 ** (i - coalesce(ok, -1) - 2)) ELSE 1.0 END::DOUBLE AS size_factor FROM g""")
+SELECT agent, i AS trade_idx, round(daily, 6) AS daily_pnl, i - coalesce(ok, -1) AS losses, CASE WHEN i - coalesce(ok, -1) >= 3 THEN greatest(0.25, 0.5 ** (i - coalesce(ok, -1) - 2)) ELSE 1.0 END::DOUBLE AS size_factor FROM g""")
 def _(spark, d):
     t = index_series(trades(spark, d), ["agent"], TRADE_ORDER, trade_bucket(), out="trade_idx").withColumn("day", F.to_date("ts"))
     r = running(t, {"ok": ("max", F.when(F.col("pnl") >= 0, F.col("trade_idx")))}, ["agent"], ["trade_idx"], [F.floor(F.col("trade_idx") / 4096)])
     r = running(r, {"daily": ("sum", F.col("pnl"))}, ["agent", "day"], ["trade_idx"], [F.floor(F.col("trade_idx") / 4096)])
     losses = F.col("trade_idx") - F.coalesce("ok", F.lit(-1))
-    return r.select("agent", "trade_idx", rnd("daily", 2).alias("daily_pnl"), losses.alias("losses"), F.when(losses >= 3, F.greatest(F.lit(0.25), F.pow(F.lit(0.5), (losses - 2).cast("double")))).otherwise(1.0).alias("size_factor"))
+    return r.select("agent", "trade_idx", rnd("daily", 6).alias("daily_pnl"), losses.alias("losses"), F.when(losses >= 3, F.greatest(F.lit(0.25), F.pow(F.lit(0.5), (losses - 2).cast("double")))).otherwise(1.0).alias("size_factor"))
 
 
 @query("stream_loss_streaks", "T12")

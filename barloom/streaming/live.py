@@ -23,7 +23,7 @@ def closed_bars(messages: DataFrame) -> DataFrame:
 def latest_bars(bars: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Open bars replaced by their newest update: one row per (symbol, interval, open_time)."""
     rest = [c for c in bars.columns if c not in ("symbol", "interval", "open_time")]
-    return (bars.withWatermark("open_time", watermark).groupBy("symbol", "interval", F.window("open_time", "1 minute"), "open_time")
+    return (bars.withWatermark("open_time", watermark).groupBy("symbol", "interval", "open_time")
             .agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("symbol", "interval", "open_time", "r.*"))
 
 
