@@ -63,7 +63,7 @@ def number_list(text: Column) -> Column:
 
 
 def name_list(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.split(F.upper(text), ","), F.trim))
+    return F.array_distinct(F.transform(F.split(F.upper(text), ","), lambda x: F.trim(x)))
 
 
 # -- scores -------------------------------------------------------------------------------------

@@ -23,12 +23,12 @@ class Fold(StatefulProcessor):
     """Runs ``step`` over the rows of a key in the order of ``order``; rows at or before the last
     order value seen are late and dropped when ``drop_late`` is set."""
 
-    def __init__(self, step: Step, start: dict, order: Sequence[str], columns: Sequence[str], keys: Sequence[str], drop_late: bool = True, ttl_ms: int | None = None):
+    def __init__(self, step: Step, start: dict, order: Sequence[str], columns: Sequence[str], keys: Sequence[str], drop_late: bool = True):
         self.step, self.start, self.order, self.columns, self.keys = step, start, list(order), list(columns), list(keys)
-        self.drop_late, self.ttl_ms = drop_late, ttl_ms
+        self.drop_late = drop_late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", "body string", ttlDurationMs=self.ttl_ms) if self.ttl_ms else handle.getValueState("fold", "body string")
+        self.state = handle.getValueState("fold", "body string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -56,12 +56,12 @@ def _plain(v: Any) -> Any:
     return v.value if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
 
 
-def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, start: dict, schema: str, ttl_ms: int | None = None) -> DataFrame:
+def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, start: dict, schema: str) -> DataFrame:
     """Fold a stream (or a batch frame) per key. ``schema`` lists the emitted columns, keys last."""
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
     emitted = [c for c in columns if c not in keys]
-    fold = Fold(step, start, order, emitted, keys, ttl_ms=ttl_ms)
-    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=fold, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    fold = Fold(step, start, order, emitted, keys)
+    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=fold, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

@@ -77,7 +77,7 @@ def loss_streaks(trades: DataFrame, limit: int = 3, factor: float = 0.5) -> Data
 
 
 def picks(rows: DataFrame) -> DataFrame:
-    return keyed_fold(rows, ["symbol"], ["t", "seq"], S.pick_lifecycle(), {}, "id long, t long, status string, best double, worst double, final boolean, symbol string", ttl_ms=3 * 86_400_000)
+    return keyed_fold(rows, ["symbol"], ["t", "seq"], S.pick_lifecycle(), {}, "id long, t long, status string, best double, worst double, final boolean, symbol string")
 
 
 def capped_picks(picked: DataFrame, limit: int = 20) -> DataFrame:
