@@ -10,7 +10,7 @@ from barloom.operators import joins as J
 from barloom.operators.series import ema_chunk, ema_halo, over_chunks, wilder
 from barloom.functions import rolling as R
 from barloom.plans.events import BREAKOUT_WIDE, SIGNALS_SQL, signals, sql_thin
-from barloom.plans.inputs import BARS_SQL, bars, rnd
+from barloom.plans.inputs import BARS_SQL, bars, bars_table, rnd
 from barloom.plans.registry import query
 from barloom.plans.windows import W, last, prior
 
@@ -59,7 +59,7 @@ def starts(spark, d, b):
 
 
 def path(spark, d, horizon=H):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     return P.episode_path(starts(spark, d, b), P.bar_context(b), horizon)
 
 
@@ -92,7 +92,7 @@ pre AS (SELECT st.symbol, greatest(0, st.start_bar - 6) AS start_bar, st.start_b
 SELECT symbol, at_bar, round(arg_max(runup_atr, off), 4) AS runup_atr, round(arg_max(drawdown_atr, off), 4) AS drawdown_atr, round(max(drawdown_peak_atr), 4) AS max_drawdown_atr,
    CAST(arg_max(bars_since_peak, off) AS BIGINT) AS bars_since_peak, round(arg_max(wave_strength, off), 4) AS wave_strength, round(arg_max(top_risk, off), 4) AS top_risk FROM pp GROUP BY symbol, at_bar""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     with_atr = wilder_bars(b)
     st = starts(spark, d, b)
     pre = (st.select("symbol", F.greatest(F.lit(0), F.col("start_bar") - 6).alias("bar_idx"), F.col("start_bar").alias("at_bar"))
@@ -158,7 +158,7 @@ def _(spark, d):
 SELECT b.symbol, b.bar_idx, max(s.bar_idx) AS start_bar, arg_max(s.tier, s.bar_idx) AS tier, round(arg_max(s.score, s.bar_idx), 2) AS score
 FROM bars b JOIN sig s ON s.symbol = b.symbol AND s.bar_idx < b.bar_idx AND b.bar_idx <= s.bar_idx + 24 WHERE s.atr > 0 GROUP BY b.symbol, b.bar_idx""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ctx = starts(spark, d, b).filter(F.col("atr") > 0).select("symbol", "start_bar", "tier", "score")
     return P.active_context(b, ctx, 24).select("symbol", "bar_idx", "start_bar", "tier", rnd("score", 2).alias("score"))
 
@@ -191,7 +191,7 @@ acc AS (SELECT symbol, min(bar_idx) AS bar_idx, arg_min(start_bar, bar_idx) AS s
    UNION ALL SELECT c.symbol, min(c.bar_idx), arg_min(c.start_bar, c.bar_idx) FROM acc a JOIN cnd c ON c.symbol = a.symbol AND c.bar_idx >= a.bar_idx + 4 AND c.start_bar > a.start_bar GROUP BY c.symbol)
 SELECT symbol, start_bar, bar_idx, round(runup, 5) AS runup, round(pullback, 5) AS pullback, round(reclaim, 5) AS reclaim, round(gap, 5) AS peak_gap, signal_score FROM cnd JOIN acc USING (symbol, start_bar, bar_idx)""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     r = P.reaccelerations(contexts(spark, d, b), P.neighbour_bars(wilder_bars(b)), 24, LOOSE)
     return r.select(*P.EP, "bar_idx", *[rnd(c, 5).alias(c) for c in ("runup", "pullback", "reclaim", "peak_gap")], "signal_score")
 
@@ -209,14 +209,14 @@ def warnings(spark, d, b):
 SELECT symbol, start_bar, bar_idx, round(runup, 5) AS runup, round(wick, 5) AS wick, round(cpos, 5) AS cpos, CAST(confirmed AS INT) AS confirmed,
    CASE WHEN confirmed THEN round(100 * (0.45 * {c01('runup / (0.2::DOUBLE * 1.5)')} + 0.30 * {c01('wick')} + 0.25 * {c01('dropp / 0.75')}), 2) END AS signal_score FROM warn""")
 def _(spark, d):
-    return warnings(spark, d, bars(spark, d)).select(
+    return warnings(spark, d, bars_table(spark, d)).select(
         *P.EP, "bar_idx", *[rnd(c, 5).alias(c) for c in ("runup", "wick", "cpos")], F.col("confirmed").cast("int").alias("confirmed"), "signal_score")
 
 
 @query("earliest_warning_per_episode", "J06", f"""WITH RECURSIVE {WARN_SQL}
 SELECT symbol, start_bar, min(bar_idx) AS warning_bar, round(arg_min(runup, bar_idx), 5) AS warning_runup, round(arg_min(no, bar_idx), 6) AS warning_exit_price FROM warn GROUP BY symbol, start_bar""")
 def _(spark, d):
-    return P.earliest_warning(warnings(spark, d, bars(spark, d))).select(
+    return P.earliest_warning(warnings(spark, d, bars_table(spark, d))).select(
         *P.EP, "warning_bar", rnd("warning_runup", 5).alias("warning_runup"), rnd("warning_exit_price").alias("warning_exit_price"))
 
 
@@ -237,7 +237,7 @@ def exits(spark, d, b):
 o AS (SELECT t.*, min(w.bar_idx) AS wb, arg_min(w.no, w.bar_idx) AS wp FROM trd t LEFT JOIN warn w ON w.symbol = t.symbol AND w.start_bar = t.start_bar AND w.bar_idx > t.start_bar AND w.bar_idx < t.exit_bar AND w.wick >= 0.2 GROUP BY ALL)
 SELECT symbol, start_bar, coalesce(wb + 1, exit_bar) AS exit_bar, round(CASE WHEN wb IS NULL THEN realized ELSE (wp - entry) / atr END, 5) AS realized, CASE WHEN wb IS NULL THEN 0 ELSE 1 END AS overridden FROM o""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     t = exits(spark, d, b)
     w = warnings(spark, d, b).filter(F.col("wick") >= 0.2).select(*P.EP, F.col("bar_idx").alias("wb"), "next_open")
     inside = (F.col("wb") > F.col("start_bar")) & (F.col("wb") < F.col("exit_bar"))
@@ -252,7 +252,7 @@ def _(spark, d):
 ch AS (SELECT symbol, bar_idx, volume / nullif(avg(volume) OVER {last(20)}, 0) AS vr FROM bars)
 SELECT t.symbol, t.start_bar, min(c.bar_idx) AS child_bar, round(arg_min(c.vr, c.bar_idx), 6) AS child_ratio FROM trd t JOIN ch c ON c.symbol = t.symbol AND c.bar_idx > t.start_bar AND c.bar_idx < t.exit_bar WHERE c.vr > 1.2 GROUP BY ALL""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ch = over_chunks(b, lambda x, f: x.select("symbol", "bar_idx", "_chunk", F.try_divide(F.col("volume"), F.avg("volume").over(f.last(20))).alias("vr")), back=19)
     hit = J.within_parent(ch.filter(F.col("vr") > 1.2), exits(spark, d, b), 24, ["start_bar", "exit_bar"], ["bar_idx", "vr"])
     return hit.groupBy(*P.EP).agg(F.min("c_bar_idx").alias("child_bar"), rnd(F.min_by("c_vr", "c_bar_idx")).alias("child_ratio"))
@@ -263,7 +263,7 @@ ch AS (SELECT symbol, bar_idx FROM bars WHERE close > open)
 SELECT ch.symbol, count(*) AS children, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sig s WHERE s.symbol = ch.symbol AND abs(s.bar_idx - ch.bar_idx) <= 6)) AS near,
   round(100.0 * count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sig s WHERE s.symbol = ch.symbol AND abs(s.bar_idx - ch.bar_idx) <= 6)) / count(*), 6) AS overlap_pct FROM ch GROUP BY ch.symbol""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     child = b.filter(F.col("close") > F.col("open")).select("symbol", "bar_idx")
     near = J.band_semi(child, signals(spark, d, b).select("symbol", "bar_idx"), 6).groupBy("symbol").agg(F.count(F.lit(1)).alias("near"))
     return (child.groupBy("symbol").agg(F.count(F.lit(1)).alias("children")).join(near, "symbol", "left")
@@ -323,7 +323,7 @@ def _(spark, d):
 @query("feature_positions", "J19", f"""WITH RECURSIVE {SIGNALS_SQL}
 SELECT DISTINCT b.symbol, b.bar_idx, round(b.close, 6) AS close FROM bars b JOIN sig s ON s.symbol = b.symbol AND b.bar_idx BETWEEN s.bar_idx - 6 AND s.bar_idx""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     wanted = signals(spark, d, b).select("symbol", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bar_idx") - 6), F.col("bar_idx"))).alias("bar_idx"))
     return b.join(wanted, ["symbol", "bar_idx"], "left_semi").select("symbol", "bar_idx", rnd("close").alias("close"))
 
@@ -331,7 +331,7 @@ def _(spark, d):
 @query("closed_coarse_bar", "J20", f"""WITH {BARS_SQL}, co AS (SELECT symbol, t // 14400 AS k, last(close ORDER BY t) AS c4, sum(volume) AS v4 FROM bars GROUP BY ALL)
 SELECT b.symbol, b.bar_idx, round(co.c4, 6) AS coarse_close, round(co.v4, 6) AS coarse_volume FROM bars b JOIN co ON co.symbol = b.symbol AND co.k = b.t // 14400 - 1""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     # the last closed coarse bar is the one before the bucket the bar lies in
     coarse = b.groupBy("symbol", (F.floor(F.col("t") / 14400) + 1).alias("k")).agg(
         rnd(F.max_by("close", "t")).alias("coarse_close"), rnd(F.sum("volume")).alias("coarse_volume"))

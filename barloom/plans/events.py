@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import events as E
 from barloom.operators import labels as L
-from barloom.plans.inputs import BARS_SQL, bars, rnd
+from barloom.plans.inputs import BARS_SQL, bars, bars_table, rnd
 from barloom.plans.registry import query
 from barloom.plans.windows import CUSUM_SQL, TR_SQL, W, last, prior, sql_recur
 
@@ -66,7 +66,7 @@ DOWN_WIDE = {**E.DOWN_BREAK, "mult": 0.5, "bars": 24}
 
 
 def run_detector(spark, d, direction, p, warmup=50):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     return E.detect(E.event_features(b), b, direction, p, warmup).select(*EVENT)
 
 
@@ -92,7 +92,7 @@ def _(spark, d):
     + " UNION ALL SELECT * FROM (" + sql_detect(
     f"CASE WHEN cusum_neg < -{thr(STEALTH_WIDE)} AND NOT (close < range_low) AND vol_avg50 > 0 AND volume > 1.2 * vol_avg50 THEN -1 END", STEALTH_WIDE) + ")")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     feats = E.event_features(b)
     sides = [E.detect(feats, b, E.stealth_volume(s, STEALTH_WIDE), STEALTH_WIDE) for s in (1, -1)]
     return sides[0].unionByName(sides[1]).select(*EVENT)
@@ -102,7 +102,7 @@ def _(spark, d):
     f"CASE WHEN cusum_neg < -{thr(EXTREME_WIDE)} THEN 1 END", EXTREME_WIDE, 48)
     + " UNION ALL SELECT * FROM (" + sql_detect(f"CASE WHEN cusum_pos > {thr(EXTREME_WIDE)} THEN -1 END", EXTREME_WIDE, 48) + ")")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     feats = E.event_features(b)
     sides = [E.detect(feats, b, E.extreme_turn(s, EXTREME_WIDE), EXTREME_WIDE, warmup=48) for s in (1, -1)]
     return sides[0].unionByName(sides[1]).select(*EVENT)
@@ -127,7 +127,7 @@ SELECT symbol, events, tp, sl, {PF} AS profit_factor FROM agg""")
 def _(spark, d):
     from barloom.operators.aggregates import profit_factor
     p = E.UP_BREAK
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ev = E.detect(E.event_features(b), b, E.up_break(), p).withColumn(
         "realized", F.when(F.col("label") == 1, p["tp"]).otherwise(-p["sl"]))
     return ev.groupBy("symbol").agg(
@@ -185,7 +185,7 @@ sig AS MATERIALIZED (SELECT bcand.* FROM bcand JOIN bkept USING (symbol, bar_idx
 
 
 def signals(spark, d, b=None):
-    return E.breakouts(bars(spark, d) if b is None else b, BREAKOUT_WIDE)
+    return E.breakouts(bars_table(spark, d) if b is None else b, BREAKOUT_WIDE)
 
 
 @query("tiered_breakouts", "E13", f"""WITH RECURSIVE {SIGNALS_SQL}
@@ -205,7 +205,7 @@ labm AS MATERIALIZED (SELECT l.*, c.tier FROM lab l JOIN bcand c USING (symbol,
 SELECT symbol, bar_idx, tier, label, weight, bars_to_hit FROM labm JOIN kept USING (symbol, bar_idx)""")
 def _(spark, d):
     from barloom.operators.series import thin
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     found = E.breakout_candidates(b, BREAKOUT_WIDE).select("symbol", "bar_idx", "direction", "tier", "close", "atr")
     lab = L.barrier_label(found, b, TIER_BARRIER["tp"], TIER_BARRIER["sl"], TIER_BARRIER["bars"])
     return thin(lab, 12).select("symbol", "bar_idx", "tier", "label", "weight", "bars_to_hit")
@@ -228,7 +228,7 @@ x AS (SELECT symbol, bar_idx, close, atr, min(j) FILTER (WHERE sl OR tp) AS hj,
 SELECT symbol, bar_idx, CASE WHEN hj IS NULL THEN 'TIMEOUT' WHEN hsl THEN 'SL' ELSE 'TP' END AS outcome,
    round(CASE WHEN hj IS NULL THEN (lc - close) / atr WHEN hsl THEN -1.0 ELSE 2.0 END, 6) AS realized_atr, coalesce(hj, lj) AS exit_bar FROM x""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ev = signals(spark, d, b).select("symbol", "bar_idx", "direction", "close", "atr")
     return L.directional_exit(ev, b, 2.0, 1.0, 24).select("symbol", "bar_idx", "outcome", rnd("realized_atr").alias("realized_atr"), "exit_bar")
 
@@ -246,7 +246,7 @@ y AS (SELECT *, CASE WHEN hj IS NULL THEN lc WHEN hsl THEN fill ELSE tgt END AS
 SELECT symbol, bar_idx, CASE WHEN hj IS NULL THEN 'TIMEOUT' WHEN hsl THEN 'SL' ELSE 'TP' END AS outcome, round(dir * (px - close) / atr, 6) AS realized_atr,
   coalesce(hj, lj) AS exit_bar, round(CASE WHEN hsl THEN greatest(0, dir * (stop - px) / atr) ELSE 0.0 END, 6) AS stop_slip_atr FROM y""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ev = signals(spark, d, b).select("symbol", "bar_idx", F.when(F.col("tier") == "B", -1).otherwise(1).alias("direction"), "close", "atr")
     return L.directional_exit(ev, b, 2.0, 1.0, 24, penetration=0.2).select(
         "symbol", "bar_idx", "outcome", rnd("realized_atr").alias("realized_atr"), "exit_bar", rnd("stop_slip_atr").alias("stop_slip_atr"))
@@ -257,7 +257,7 @@ SELECT s.symbol, s.bar_idx, min(b.bar_idx - s.bar_idx) FILTER (WHERE s.atr > 0 A
    CASE WHEN count(*) FILTER (WHERE s.atr > 0 AND b.low <= s.close - 0.5 * s.atr) > 0 THEN 1 ELSE 0 END AS success
 FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_idx BETWEEN s.bar_idx + 1 AND s.bar_idx + 12 GROUP BY s.symbol, s.bar_idx""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ev = signals(spark, d, b).select("symbol", "bar_idx", "close", "atr")
     return L.drop_touch(ev, b, 0.5, 12).select("symbol", "bar_idx", "delay_bars", F.col("success").cast("int").alias("success"))
 
@@ -280,7 +280,7 @@ r AS (SELECT g.*, greatest(reach, dir * close) * dir AS best, CASE WHEN ts < 100
 SELECT symbol, bar_idx, tier, round(CASE tier WHEN 'SL' THEN 0.5 WHEN 'TP1' THEN 1.0 WHEN 'TP2' THEN 2.5 WHEN 'TP3' THEN least(20.0, 5.0 * greatest(1.0, (best - close) / (p3 - close))) ELSE 0.0 END, 6) AS weight,
    CASE tier WHEN 'SL' THEN 'wrong' WHEN 'NONE' THEN 'neutral' ELSE 'correct' END AS outcome FROM r""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     preds = signals(spark, d, b).select(
         "symbol", "bar_idx", "close", F.when(F.col("tier") == "A", 1).otherwise(-1).alias("direction"),
         (F.col("atr") / F.greatest(F.col("close"), F.lit(1e-8)) * 100).alias("magnitude"))

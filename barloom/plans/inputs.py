@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
 from barloom.operators.series import index_series, seconds
+from barloom.session import settle
 
 HOUR = 3600
 # bars per time bucket when a series is numbered
@@ -52,6 +53,11 @@ def bars(spark: SparkSession, sf_dir: str, seconds_per_bar: int = HOUR, by_user:
         "t", seconds("open_time"))
 
 
+def bars_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars as a written table, for plans in which many branches read them."""
+    return settle(bars(spark, sf_dir), "bars")
+
+
 def rnd(col: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, digits)
 

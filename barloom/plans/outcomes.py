@@ -10,8 +10,9 @@ from barloom.operators import outcomes as O
 from barloom.operators.aggregates import exact_quantiles, profit_factor
 from barloom.plans.episodes import H, OUT_SQL, STARTS_SQL, WARN_SQL, exits, path, starts, warnings
 from barloom.plans.events import BREAKOUT_WIDE, SIGNALS_SQL
-from barloom.plans.inputs import bars, rnd
+from barloom.plans.inputs import bars, bars_table, rnd
 from barloom.plans.registry import query
+from barloom.session import settle
 from barloom.plans.windows import W
 
 STOP_LIST = ", ".join(f"({s}::DOUBLE)" for s in O.STOPS)
@@ -37,7 +38,7 @@ RUNS_SQL = f"{OUT_SQL}, {STAGED_SQL}"
 
 
 def staged(spark, d, b=None):
-    b = bars(spark, d) if b is None else b
+    b = bars_table(spark, d) if b is None else b
     return O.staged_outcomes(starts(spark, d, b), b)
 
 
@@ -49,7 +50,7 @@ def _(spark, d):
 
 @query("adaptive_exit_sweep", "R09 R10")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     out = O.adaptive_outcomes(starts(spark, d, b), P.bar_context(b), pre=48, post=48)
     return out.select("symbol", "start_bar", "sl_atr", "outcome", rnd("realized", 5).alias("realized"), "exit_bar", rnd("stop_slip_atr", 5).alias("stop_slip_atr"),
                       "banked", rnd("max_drawdown", 5).alias("max_drawdown"))
@@ -85,7 +86,7 @@ SELECT bank_atr, bank_fraction, trail_activate_atr, runner_trail_atr, sl_atr, co
   round(sum_realized_atr, 4) AS sum_realized_atr, round(avg_trade_drawdown_atr, 5) AS avg_trade_drawdown_atr, round(max_trade_drawdown_atr, 5) AS max_trade_drawdown_atr FROM dm""")
 def _(spark, d):
     r = {"sum_realized_atr": 4}
-    m = matrix(spark, d, bars(spark, d))
+    m = matrix(spark, d, bars_table(spark, d))
     return m.select(*[rnd(c, r.get(c, 5)).alias(c) if c in ("expectancy_atr", "weighted_pf", "sum_realized_atr", "avg_trade_drawdown_atr", "max_trade_drawdown_atr") else F.col(c) for c in m.columns])
 
 
@@ -101,12 +102,12 @@ rr AS MATERIALIZED (SELECT o.*, s.outcome, s.realized, {BUCKET_SQL} AS outcome_b
 
 def report_rows(spark, d, b):
     """Outcome rows with the baseline stop's result and all bucket columns."""
-    st = starts(spark, d, b)
+    st = settle(starts(spark, d, b), "starts")
     wide = P.outcome_rows(P.episode_path(st, P.bar_context(b), H))
     gaps = P.prior_gap(st.select("symbol", "start_bar"), 512)
     base = O.staged_outcomes(st, b, stops=(2.0,)).select("symbol", "start_bar", "outcome", "realized")
     x = O.with_buckets(wide.join(gaps, P.EP).join(base, P.EP))
-    return x.withColumn("regime_bucket", P.regime_bucket(F.col("close_pos_at_entry")))
+    return settle(x.withColumn("regime_bucket", P.regime_bucket(F.col("close_pos_at_entry"))), "outcomes")
 
 
 _QS = [(m, q) for m, qs in O.MEASURES.items() for q in qs]
@@ -123,7 +124,7 @@ KINDS = ["outcome_bucket", "tier", "score_band", "hour_utc", "dow_utc", "regime_
 SELECT CASE {' '.join(f"WHEN GROUPING({k}) = 0 THEN '{k}'" for k in KINDS)} ELSE 'overall' END AS bucket_type,
   CASE {' '.join(f"WHEN GROUPING({k}) = 0 THEN {k}" for k in KINDS)} ELSE 'all' END AS bucket_value, {STAT_SQL} FROM rx GROUP BY GROUPING SETS ((), {', '.join(f'({k})' for k in KINDS)})""")
 def _(spark, d):
-    s = O.bucket_stats(report_rows(spark, d, bars(spark, d)))
+    s = O.bucket_stats(report_rows(spark, d, bars_table(spark, d)))
     fixed = {"bucket_type", "bucket_value", "count", "tp_count", "sl_count", "timeout_count"}
     return s.select(*[F.col(c) if c in fixed else rnd(c, 5 if c in ("weighted_pf", "expectancy_atr") else 4).alias(c) for c in s.columns])
 
@@ -131,8 +132,8 @@ def _(spark, d):
 @query("winner_survival_by_stop", "A08", f"""WITH RECURSIVE {RUNS_SQL}, j AS (SELECT so.*, {BUCKET_SQL} AS outcome_bucket FROM so JOIN outc USING (symbol, start_bar))
 SELECT outcome_bucket, {', '.join(f"round(100 * avg(CAST(outcome <> 'SL' AS INT)) FILTER (WHERE sl_atr = {s}), 5) AS sl_{str(s).replace('.', 'p')}" for s in O.STOPS)} FROM j GROUP BY outcome_bucket""")
 def _(spark, d):
-    b = bars(spark, d)
-    st = starts(spark, d, b)
+    b = bars_table(spark, d)
+    st = settle(starts(spark, d, b), "starts")
     run = P.episode_path(st, P.bar_context(b), H).groupBy(*P.EP).agg(P.outcome_bucket(F.max("runup_atr")).alias("outcome_bucket"))
     t = O.survival_table(O.staged_outcomes(st, b).join(run, P.EP))
     return t.select("outcome_bucket", *[rnd(F.col(f"`{s}`"), 5).alias(f"sl_{str(s).replace('.', 'p')}") for s in O.STOPS])
@@ -153,7 +154,7 @@ def _(spark, d):
 @query("hour_of_week_outcome", "A10", f"""WITH RECURSIVE {ROWS_SQL}
 SELECT CAST(d.range AS INT) AS dow_utc, {', '.join(f"round(sum(realized) FILTER (WHERE hour_utc = {h}), 5) AS h{h}" for h in range(24))} FROM range(7) d LEFT JOIN rr ON rr.dow_utc = d.range GROUP BY d.range""")
 def _(spark, d):
-    t = O.hour_of_week(report_rows(spark, d, bars(spark, d)), spark)
+    t = O.hour_of_week(report_rows(spark, d, bars_table(spark, d)), spark)
     return t.select("dow_utc", *[rnd(f"h{h}", 5).alias(f"h{h}") for h in range(24)])
 
 
@@ -175,7 +176,7 @@ UNION ALL SELECT 'fake_by_score', score_band, count(*), round(avg(reversed_6) *
 UNION ALL (SELECT 'symbol', symbol, count(*), round(avg(realized), 5), round(sum(realized), 5) FROM rr GROUP BY symbol ORDER BY sum(realized) DESC LIMIT 20)""")
 def _(spark, d):
     sets = [("gap", "gap_bucket"), ("regime", "regime_bucket"), ("fake_by_tier", "tier"), ("fake_by_score", "score_band"), ("symbol", "symbol")]
-    r = report_rows(spark, d, bars(spark, d)).withColumn("_s", F.explode(F.array(*[
+    r = report_rows(spark, d, bars_table(spark, d)).withColumn("_s", F.explode(F.array(*[
         F.struct(F.lit(k).alias("slice"), F.col(c).alias("value")) for k, c in sets])))
     g = r.groupBy("_s.slice", "_s.value").agg(F.count(F.lit(1)).alias("n"), F.avg("realized").alias("mean"), F.sum("realized").alias("sum"), F.avg("reversed_6").alias("fake"))
     fake = F.col("slice").startswith("fake")
@@ -191,8 +192,8 @@ SELECT count(*) AS warning_rows, round(avg(so.realized), 5) AS current_expectanc
 FROM fw JOIN so USING (symbol, start_bar) JOIN sig s ON s.symbol = fw.symbol AND s.bar_idx = fw.start_bar JOIN pk ON pk.symbol = fw.symbol AND pk.start_bar = fw.start_bar WHERE so.sl_atr = 2.0""")
 def _(spark, d):
     from barloom.operators.labels import forward_bars
-    b = bars(spark, d)
-    st = starts(spark, d, b)
+    b = bars_table(spark, d)
+    st = settle(starts(spark, d, b), "starts")
     base = O.staged_outcomes(st, b, stops=(2.0,))
     peak = forward_bars(st.select(*P.EP), b, 24, ["high"], first=0, at="start_bar").groupBy(*P.EP).agg(
         F.max_by("off", F.struct("f_high", (-F.col("off")).alias("o"))).alias("peak_off"))
@@ -210,8 +211,8 @@ bs AS (SELECT * FROM dm ORDER BY expectancy_atr DESC, weighted_pf DESC, sum_real
 SELECT (SELECT x FROM (VALUES {', '.join(f'({s}::DOUBLE)' for s in O.STOPS)}) t(x) ORDER BY abs(x - a), x LIMIT 1) AS sl_atr, bs.bank_atr, bs.bank_fraction, bs.trail_activate_atr, bs.runner_trail_atr,
   (SELECT x FROM (VALUES (12), (18), (24)) t(x) ORDER BY abs(x - b), x LIMIT 1) AS max_bars_pre_bank, (SELECT x FROM (VALUES (24), (36), (48)) t(x) ORDER BY abs(x - c), x LIMIT 1) AS max_bars_post_bank, round(v, 5) AS mae_veto_atr FROM wn, bs""")
 def _(spark, d):
-    b = bars(spark, d)
-    st = starts(spark, d, b)
+    b = bars_table(spark, d)
+    st = settle(starts(spark, d, b), "starts")
     rows = P.outcome_rows(P.episode_path(st, P.bar_context(b), H))
     m = matrix(spark, d, b)
     near = m.withColumns({c: F.round(c, 9) for c in ("expectancy_atr", "weighted_pf", "sum_realized_atr")})
@@ -222,8 +223,8 @@ def _(spark, d):
 SELECT so.symbol, so.start_bar, so.outcome, round(so.realized, 5) AS realized, round(o.max_runup_atr, 4) AS max_runup_atr_episode, o.time_to_peak AS time_to_peak_episode
 FROM so LEFT JOIN outc o ON o.symbol = so.symbol AND o.start_bar = so.start_bar AND o.max_runup_atr >= 1 WHERE so.sl_atr = 1.0""")
 def _(spark, d):
-    b = bars(spark, d)
-    st = starts(spark, d, b)
+    b = bars_table(spark, d)
+    st = settle(starts(spark, d, b), "starts")
     trades = O.staged_outcomes(st, b, stops=(1.0,)).select(*P.EP, "outcome", rnd("realized", 5).alias("realized"))
     s = P.episode_summary(P.episode_path(st, P.bar_context(b), H)).filter(F.col("max_runup_atr") >= 1)
     return trades.join(s.select(*P.EP, rnd("max_runup_atr", 4).alias("max_runup_atr_episode"), F.col("time_to_peak").alias("time_to_peak_episode")), P.EP, "left")
@@ -234,7 +235,7 @@ SELECT coalesce(symbol, '*') AS symbol, coalesce(tier, '*') AS tier, count(*) AS
   round(100.0 * count(*) FILTER (WHERE outcome = 'TP') / nullif(count(*) FILTER (WHERE outcome IN ('TP', 'SL')), 0), 5) AS decided_accuracy, round(avg(realized), 5) AS expectancy, round({PF_SQL}, 5) AS profit_factor,
   round(avg(exit_bar - start_bar), 5) AS mean_hold, round(quantile_cont((exit_bar - start_bar)::DOUBLE, 0.5), 5) AS median_hold FROM j GROUP BY ROLLUP (symbol, tier)""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     x = O.staged_outcomes(starts(spark, d, b), b, stops=(0.8,)).withColumn("hold", (F.col("exit_bar") - F.col("start_bar")).cast("double"))
     # the three roll-up levels as rows, so that the median can share the same keys
     star = F.lit("*")

@@ -9,12 +9,13 @@ from barloom.operators.labels import forward_bars
 from barloom.operators.series import index_series, running, seconds
 from barloom.plans.bars import messages
 from barloom.plans.events import BREAKOUT_WIDE, SIGNALS_SQL, signals
-from barloom.plans.inputs import BARS_SQL, bars, rnd, table
+from barloom.plans.inputs import bars, bars_table, rnd, table
 from barloom.plans.monitoring import ORDER, PR, bucket, preds
 from barloom.plans.registry import query
 from barloom.plans.trades import TR, trades
 from barloom.plans.trades import bucket as trade_bucket
 from barloom.plans.trades import ORDER as TRADE_ORDER
+from barloom.session import scratch
 from barloom.streaming import live
 from barloom.streaming.fold import use_rocksdb
 
@@ -55,7 +56,7 @@ def _(spark, d):
 def _(spark, d):
     use_rocksdb(spark)
     # the bars are the batch ones, landed as files and streamed
-    root = live.scratch(spark, "bars")
+    root = scratch(spark, "bars")
     b = bars(spark, d).select("symbol", "t", "open", "high", "low", "close", "volume")
     b.write.parquet(root)
     s = spark.readStream.schema(b.schema).parquet(root)
@@ -181,7 +182,7 @@ def _(spark, d):
 g AS (SELECT symbol, bar_idx, min(off) FILTER (WHERE s * c <= s * e0 * (1 - s * 0.30::DOUBLE)) AS ts, {', '.join(f'min(off) FILTER (WHERE s * c >= s * e0 * (1 + s * {m}::DOUBLE)) AS t{i}' for i, m in ((1, '0.30'), (2, '0.60'), (3, '0.90')))}, max(s * c) AS best FROM h GROUP BY symbol, bar_idx)
 SELECT symbol, bar_idx, CASE WHEN ts IS NOT NULL AND (t1 IS NULL OR ts < t1) THEN 'SL' WHEN t3 IS NOT NULL THEN 'TP3' WHEN t2 IS NOT NULL THEN 'TP2' WHEN t1 IS NOT NULL THEN 'TP1' ELSE 'PENDING' END AS status FROM g""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     ev = signals(spark, d, b).select("symbol", "bar_idx", "close", F.when(F.col("tier") == "A", "BULLISH").otherwise("BEARISH").alias("direction"))
     lv = X.barrier_levels(F.col("close"), F.lit(20.0), F.col("direction"), {"tp1": 1.5, "tp2": 3.0, "tp3": 4.5, "sl": 1.5})
     p = forward_bars(ev.select("*", *[c.alias(n) for n, c in lv.items()]), b, 24, ["close"])

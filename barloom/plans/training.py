@@ -14,10 +14,11 @@ from barloom.operators import universe as U
 from barloom.operators.series import index_series, thin
 from barloom.plans.episodes import wilder_bars
 from barloom.plans.events import FEATURES_SQL, SIGNALS_SQL, WILDER_SQL, signals, sql_label, sql_thin, thr
-from barloom.plans.inputs import BARS_SQL, bars, rnd, table
+from barloom.plans.inputs import BARS_SQL, bars, bars_table, rnd, table
 from barloom.plans.monitoring import ORDER, PR, bucket, preds
 from barloom.plans.registry import query
-from barloom.plans.windows import TR_SQL, W, prior
+from barloom.plans.windows import TR_SQL
+from barloom.session import settle
 
 
 def rows(spark, d):
@@ -54,7 +55,7 @@ def _(spark, d):
 @query("window_assignment", "J22", f"""WITH {BARS_SQL}, s AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), w AS (SELECT symbol, unnest(range(300, n - 100 + 1, 100)) AS ts FROM s), v AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS window_id FROM w)
 SELECT b.symbol, CAST(window_id AS INT) AS window_id, count(*) AS n_bars, round(sum(close), 4) AS total FROM bars b JOIN v ON v.symbol = b.symbol AND b.bar_idx >= v.ts AND b.bar_idx < v.ts + 100 GROUP BY ALL""")
 def _(spark, d):
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     w = T.walk_forward_windows(b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), 300, 100, 100)
     blocks = w.select("symbol", "window_id", F.col("test_start").alias("lo"), F.col("test_end").alias("hi")).withColumnRenamed("symbol", "s2")
     x = J.assign_windows(b, blocks, "bar_idx", "lo", "hi", 100).filter(F.col("symbol") == F.col("s2"))
@@ -107,7 +108,7 @@ sq0 AS (SELECT t.symbol, t.bar_idx, t.close, coalesce(aw.y, 0) AS atr, list(t.cl
 sq AS MATERIALIZED (SELECT *, 1 AS direction FROM sq0 WHERE bar_idx >= 80 AND (bar_idx - 80) % 10 = 0), {sql_label('sq', SEQ_P)}
 SELECT l.symbol, l.bar_idx, l.label, CAST(len(s1) AS INT) AS steps, round(list_sum(s1), 4) AS close_sum, round(list_sum(s2), 4) AS volume_sum FROM lab l JOIN sq USING (symbol, bar_idx) QUALIFY row_number() OVER (PARTITION BY l.symbol ORDER BY l.bar_idx) <= 50""")
 def _(spark, d):
-    b = wilder_bars(bars(spark, d))
+    b = settle(wilder_bars(bars(spark, d)), "bars")
     s = T.sequences(b, ["close", "volume"], 30).withColumn("direction", F.lit(1))
     lab = L.barrier_label(s, b, SEQ_P["tp"], SEQ_P["sl"], SEQ_P["bars"])
     kept = index_series(lab, ["symbol"], ["bar_idx"], [F.floor(F.col("bar_idx") / 4096)], out="seq_no").filter(F.col("seq_no") < 50)
@@ -123,7 +124,7 @@ cand AS MATERIALIZED (SELECT symbol, bar_idx, close, atr, 1 AS direction FROM fp
 SELECT k.symbol, k.bar_idx, label, round(weight * (1 + 2.0 * k.bar_idx / 600), 6) AS weight, round(f.atr_pct, 5) AS atr_pct, round(f.cusum_pos, 5) AS cusum_pos, round((f.close - f.range_low) / nullif(f.range_high - f.range_low, 0), 6) AS range_pos FROM labm JOIN kept k USING (symbol, bar_idx) JOIN fp f ON f.symbol = k.symbol AND f.bar_idx = k.bar_idx""")
 def _(spark, d):
     from barloom.operators.bars import cached_universe
-    b = bars(spark, d)
+    b = bars_table(spark, d)
     chosen = b.join(cached_universe(b, 100, 4).select("symbol"), "symbol", "left_semi")
     feats = E.event_features(chosen)
     early = feats.filter(F.col("bar_idx") < 600)
@@ -198,7 +199,7 @@ SELECT r AS body_ratio, q AS quiet_pct, v AS vol_mult, n_sig, tp, sl, round(coal
 def _(spark, d):
     from barloom.functions import rolling as R
     from barloom.operators.series import over_chunks
-    b = wilder_bars(bars(spark, d))
+    b = settle(wilder_bars(bars(spark, d)), "bars")
     body = F.col("close") - F.col("open")
     x = over_chunks(b, lambda x, f: x.select("symbol", "bar_idx", "_chunk", "close", "atr", body.alias("body"), F.col("open"), (F.col("high") - F.col("low")).alias("span"), "volume", R.prior_body(f).alias("pb"), R.prior_mean("volume", 20, f).alias("va")), back=20)
     base = x.filter((F.col("bar_idx") > 20) & (F.col("body") > 0) & (F.col("body") / F.greatest(F.col("open"), F.lit(1e-12)) >= 0.01) & (F.col("pb") > 0) & (F.col("va") > 0) & (F.try_divide("body", "span") >= 0.3))

@@ -10,6 +10,7 @@ from barloom.operators import universe as U
 from barloom.operators.series import index_series, over_chunks, seconds
 from barloom.plans.inputs import BARS_SQL, bars, rnd, table
 from barloom.plans.registry import query
+from barloom.session import settle
 from barloom.plans.windows import W, last, sql_ema
 
 DAY = 86400
@@ -134,7 +135,7 @@ u6 AS MATERIALIZED (FROM u5 UNION ALL FROM h), f AS (SELECT symbol, 7 AS s, row_
 SELECT CAST(row_number() OVER (ORDER BY s, r) AS INT) AS position, CASE s WHEN 1 THEN 'gainer' WHEN 2 THEN 'loser' WHEN 3 THEN 'ranging' WHEN 4 THEN 'volatile' WHEN 5 THEN 'anchor' WHEN 6 THEN 'discovery' ELSE 'fill' END AS slot, symbol FROM u ORDER BY 1 LIMIT 50""")
 def _(spark, d):
     s = scored(spark, d).withColumns({c: F.round(c, 6) for c in ("score", "atr_pct", "vol_ratio")})
-    return U.fill_slots(s, U.diversity_slots(), 50)
+    return U.fill_slots(settle(s, "scores"), U.diversity_slots(), 50)
 
 
 @query("movers_both_sides", "K04", f"""WITH {SNAP_SQL}, q AS (SELECT symbol, round(pct_24h, 6) AS p FROM snp),

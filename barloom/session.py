@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,15 +49,22 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared checkpoint folder of the cluster.
+def scratch(spark: SparkSession, name: str) -> str:
+    """New folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Reads ``spark.checkpoint.dir``; only where it is unset (tests) is ``fallback`` used.
+    Only where that is unset (tests, local runs) does it lie in the machine's temp folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    target = shared or fallback
-    if not target:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(target)
-    return target
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a frame as a table in the shared folder and read it back.
+
+    Used where several branches of a plan start from one costly frame: they then read the
+    table, and the loss of an executor never recomputes what lies before it.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

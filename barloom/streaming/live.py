@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import ohlcv_rollup
+from barloom.session import scratch
 from barloom.streaming import steps as S
 from barloom.streaming.fold import keyed_fold
 
@@ -89,12 +87,6 @@ def decisions(rows: DataFrame) -> DataFrame:
     return keyed_fold(rows, ["symbol"], ["t", "seq"], S.decision_outcome(), {}, "id long, t long, outcome string, accuracy double, symbol string")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def replay(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything that has landed, into a table, and return the table."""
     spark = stream.sparkSession
