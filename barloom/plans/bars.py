@@ -10,6 +10,7 @@ from barloom.operators.series import over_chunks, seconds
 from barloom.plans.inputs import BARS_SQL, bars, raw_bars, rnd, sql_bars, table, ticks
 from barloom.plans.registry import query
 from barloom.plans.windows import W
+from barloom.session import scratch
 from barloom.sources import landing as S
 
 OHLCV = ["open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote"]
@@ -214,3 +215,33 @@ def _(spark, d):
     return e.groupBy(F.col("thr").alias("threshold"), F.col("k").alias("lookahead")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if("bull").alias("bull_events"), rnd(F.avg("cont") * 100, 5).alias("cont_pct"),
         rnd(F.avg(F.when(F.col("bull"), F.col("cont"))) * 100, 5).alias("bull_cont_pct"), rnd(F.avg(F.when(~F.col("bull"), 1 - F.col("cont"))) * 100, 5).alias("bear_reversal_pct"))
+
+
+@query("audited_files", "S05")
+def _(spark, d):
+    a = S.audit_files(spark, d, required=("event_id", "ts", "value"))
+    return a.select(F.element_at(F.split("path", "/"), -1).alias("file"), "unreadable", "missing", "too_large")
+
+
+@query("event_dataset_manifest", "S19", f"WITH {BARS_SQL} SELECT symbol, count(*) AS n_bars, CAST(max(t) AS BIGINT) AS max_time, 1 AS version, 'v1' AS token FROM bars GROUP BY symbol")
+def _(spark, d):
+    path = scratch(spark, "dataset")
+    b = bars(spark, d).select("symbol", "bar_idx", "t", "close", "volume")
+    S.write_event_dataset(b, b.filter(F.col("volume") > 500).select("symbol", "bar_idx"), path, 1, "v1")
+    return spark.read.parquet(f"{path}/manifest").select("symbol", "n_bars", "max_time", "version", "token")
+
+
+@query("run_folder_tables", "S20 S21", """WITH t AS (SELECT CAST(year(l_shipdate) AS INT) AS w, l_extendedprice * (0.05 - l_discount) AS pnl, 50 + l_quantity AS score FROM lineitem)
+SELECT 'trades' AS part, count(*) AS n FROM t UNION ALL SELECT 'wins', count(*) FROM t WHERE pnl > 0 UNION ALL SELECT 'losses', count(*) FROM t WHERE pnl <= 0 UNION ALL SELECT 'windows', count(DISTINCT w) FROM t
+UNION ALL SELECT 'score_buckets', count(DISTINCT CASE WHEN score < 72 THEN 1 WHEN score < 80 THEN 2 ELSE 3 END) FROM t WHERE score >= 60 AND score < 100 UNION ALL SELECT 'summary', 1""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    t = li.select(F.year("l_shipdate").alias("window_id"), (F.col("l_extendedprice") * (0.05 - F.col("l_discount"))).alias("pnl"), ((0.05 - F.col("l_discount")) * 100).alias("pnl_pct"), (50 + F.col("l_quantity")).alias("score"))
+    path = scratch(spark, "run")
+    parts = S.run_folder_tables(t, [60, 72, 80, 100])
+    S.write_tables(parts, path)
+    counts = [spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n in parts]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

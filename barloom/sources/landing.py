@@ -51,22 +51,27 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame, staging: str) ->
 
 
 def audit_files(spark: SparkSession, path: str, required: Sequence[str] = ("open_time", "open", "high", "low", "close", "volume"), limit: int = 50 << 20) -> DataFrame:
-    """Per parquet file: size flag, unreadable flag, missing columns. Reports only."""
+    """Per parquet file: size flag, unreadable flag, missing columns. Reports only.
+
+    The listing carries paths and lengths; tasks read the file footers, never the data.
+    """
+    import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path_, length, content in zip(b.path, b.length, b.content):
+            for path_, length in zip(b.path, b.length):
                 try:
-                    names = set(pq.read_schema(io.BytesIO(content)).names)
+                    fs, inner = pafs.FileSystem.from_uri(path_)
+                    names = set(pq.read_schema(inner, filesystem=fs).names)
                     rows.append((path_, int(length), False, ",".join(c for c in required if c not in names)))
                 except Exception:  # noqa: BLE001 - any failure to parse is the finding
                     rows.append((path_, int(length), True, ""))
             yield pd.DataFrame(rows, columns=["path", "length", "unreadable", "missing"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "content").mapInPandas(look, "path string, length long, unreadable boolean, missing string").select(
+    return files.select("path", "length").mapInPandas(look, "path string, length long, unreadable boolean, missing string").select(
         "*", (F.col("length") > limit).alias("too_large"))
 
 
