@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barloom.operators.series import Frames, ema, wilder
+from barloom.operators.series import Frames, wilder
 
 EPS = 1e-8
 # tanh form of the normal distribution function: sqrt(2/pi) as used for every probability here

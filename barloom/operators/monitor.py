@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import clip
-from barloom.operators.aggregates import exact_quantiles
 from barloom.operators.series import index_series, over_chunks, running
 
 

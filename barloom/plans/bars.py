@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions import rolling as R
 from barloom.operators import bars as B
 from barloom.operators.series import over_chunks, seconds
 from barloom.plans.inputs import BARS_SQL, bars, raw_bars, rnd, sql_bars, table, ticks

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import episodes as P
-from barloom.operators import events as E
 from barloom.operators import joins as J
 from barloom.operators.series import ema_chunk, ema_halo, over_chunks, wilder
 from barloom.functions import rolling as R
-from barloom.plans.events import BREAKOUT_WIDE, SIGNALS_SQL, signals, sql_thin
+from barloom.plans.events import SIGNALS_SQL, signals
 from barloom.plans.inputs import BARS_SQL, bars, bars_table, rnd
 from barloom.plans.registry import query
 from barloom.plans.windows import W, last, prior

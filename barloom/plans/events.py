@@ -8,7 +8,7 @@ from barloom.operators import events as E
 from barloom.operators import labels as L
 from barloom.plans.inputs import BARS_SQL, bars, bars_table, rnd
 from barloom.plans.registry import query
-from barloom.plans.windows import CUSUM_SQL, TR_SQL, W, last, prior, sql_recur
+from barloom.plans.windows import CUSUM_SQL, TR_SQL, W, last, sql_recur
 
 FEATURES_SQL = f"""{BARS_SQL}, {TR_SQL}, {CUSUM_SQL},
 feat AS MATERIALIZED (

@@ -9,11 +9,11 @@ from barloom.functions import features as X
 from barloom.functions import rolling as R
 from barloom.operators import timeframes as TF
 from barloom.operators import universe as U
-from barloom.operators.series import ema, ema_chunk, ema_halo, over_chunks
-from barloom.plans.events import BREAKOUT_WIDE, CANDIDATES_SQL, SIGNALS_SQL, sql_thin
+from barloom.operators.series import over_chunks
+from barloom.plans.events import SIGNALS_SQL
 from barloom.plans.inputs import BARS_SQL, bars, raw_bars, rnd, sql_bars, table
 from barloom.plans.registry import query
-from barloom.plans.windows import W, last, prior, sql_ema, sql_recur
+from barloom.plans.windows import W, last, sql_ema, sql_recur
 
 
 def rounded(df, digits=6):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import monitor as M
-from barloom.operators import universe as U
 from barloom.operators.joins import asof_join
 from barloom.operators.series import index_series
 from barloom.plans.inputs import rnd, table

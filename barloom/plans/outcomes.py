@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import episodes as P
-from barloom.operators import events as E
 from barloom.operators import outcomes as O
 from barloom.operators.aggregates import exact_quantiles, profit_factor
-from barloom.plans.episodes import H, OUT_SQL, STARTS_SQL, WARN_SQL, exits, path, starts, warnings
-from barloom.plans.events import BREAKOUT_WIDE, SIGNALS_SQL
-from barloom.plans.inputs import bars, bars_table, rnd
+from barloom.plans.episodes import H, OUT_SQL, WARN_SQL, path, starts, warnings
+from barloom.plans.events import SIGNALS_SQL
+from barloom.plans.inputs import bars_table, rnd
 from barloom.plans.registry import query
 from barloom.session import settle
-from barloom.plans.windows import W
 
 STOP_LIST = ", ".join(f"({s}::DOUBLE)" for s in O.STOPS)
 # staged exit, one recursion step per bar; state columns mirror the rule's text

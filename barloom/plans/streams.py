@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from barloom.functions import features as X
 from barloom.operators.labels import forward_bars
 from barloom.operators.series import index_series, running, seconds
-from barloom.plans.bars import messages
 from barloom.plans.events import BREAKOUT_WIDE, SIGNALS_SQL, signals
 from barloom.plans.inputs import bars, bars_table, rnd, table
 from barloom.plans.monitoring import ORDER, PR, bucket, preds

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions import features as X
 from barloom.operators import episodes as P
 from barloom.operators import events as E
 from barloom.operators import labels as L

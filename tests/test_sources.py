@@ -1,4 +1,3 @@
-import io
 import zipfile
 
 from pyspark.sql import functions as F
