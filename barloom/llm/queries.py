@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import compression_bands, secret_automaton
+from barloom.llm import compression_bands, histogram_packing, ordinal_quality, secret_automaton
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -40,5 +41,18 @@ def op8_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listing(base).cast("binary"), 256).alias("base_sha256"), listing(spans).alias("spans"))
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op8_secret_automaton)}
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal_quality.trained(docs, ordinal_quality.graded(table(spark, sf_dir, "labels")))
+    tail = F.col("rating.tail")
+    return ordinal_quality.rated(docs, model).select(
+        "doc_id", "rating.score", "rating.expected_grade", tail[0].alias("p_good"), tail[1].alias("p_good_and_clean"), (tail[0] >= 0.5).alias("kept"))
+
+
+def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return histogram_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), payload="crc32")
+
+
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op7_ordinal_quality, op8_secret_automaton, op9_histogram_packing)}
 SQL: dict[str, str] = {}
