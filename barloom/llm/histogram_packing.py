@@ -26,7 +26,7 @@ from barloom.session import settle
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are ranked in one task, and words a tokenizer worker remembers.
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 500
 REMEMBERED = 500_000
 #: The split of the public byte-level vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
