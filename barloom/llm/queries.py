@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import compression_bands, histogram_packing, jaccard_groups, ordinal_quality, secret_automaton
+from barloom.llm import compression_bands, histogram_packing, jaccard_groups, multi_index, ordinal_quality, secret_automaton
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op8_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listing(base).cast("binary"), 256).alias("base_sha256"), listing(spans).alias("spans"))
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_groups.joined(docs, jaccard_groups.JaccardRule(words=3, percent=90))
@@ -59,5 +63,5 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), payload="crc32")
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton, op9_histogram_packing)}
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton, op9_histogram_packing)}
 SQL: dict[str, str] = {}
