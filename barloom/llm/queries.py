@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import compression_bands, histogram_packing, jaccard_groups, multi_index, ordinal_quality, secret_automaton
+from barloom.llm import compression_bands, content_span, histogram_packing, jaccard_groups, license_classifier, multi_index, ordinal_quality, secret_automaton
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,11 @@ def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_content_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return content_span.extracted(pages, content_span.trained(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_groups.joined(docs, jaccard_groups.JaccardRule(words=3, percent=90))
@@ -63,5 +68,11 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), payload="crc32")
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton, op9_histogram_packing)}
+def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_classifier.scanned(docs, license_classifier.trained(docs))
+
+
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op5_content_span, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton,
+                                                  op9_histogram_packing, op10_license_classifier)}
 SQL: dict[str, str] = {}
