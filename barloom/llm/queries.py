@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import compression_bands, content_span, histogram_packing, jaccard_groups, label_shards, license_classifier, multi_index, ordinal_quality, secret_automaton
+from barloom.llm import compression_bands, content_span, histogram_packing, jaccard_groups, label_shards, license_classifier, multi_index, ordinal_quality, prefix_viterbi, secret_automaton
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,11 @@ def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_shards.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_viterbi.checked(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_content_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return content_span.extracted(pages, content_span.trained(pages)).withColumn("n_chars", F.length("text").cast("long"))
@@ -77,6 +82,6 @@ def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_classifier.scanned(docs, license_classifier.trained(docs))
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op3_label_propagation, op5_content_span, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton,
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op3_label_propagation, op4_prefix_viterbi, op5_content_span, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton,
                                                   op9_histogram_packing, op10_license_classifier)}
 SQL: dict[str, str] = {}
