@@ -67,5 +67,5 @@ def sentiment_features(index: Column, score: Column, volume: Column, ticker_scor
 
 
 def title_key(title: Column) -> Column:
-    """Titles that agree in their first 60 lower-case characters count as one."""
-    return F.substring(F.lower(title), 1, 60)
+    """Titles that agree but for case count as one."""
+    return F.lower(title)

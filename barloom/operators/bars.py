@@ -76,10 +76,10 @@ def resample_many(bars: DataFrame, intervals: Sequence[str]) -> DataFrame:
     )
 
 
-def count_resample(bars: DataFrame, per_block: int, min_blocks: int = 20) -> DataFrame:
+def count_resample(bars: DataFrame, per_block: int, min_blocks: int = 0) -> DataFrame:
     """Blocks of ``per_block`` bars counted back from the newest; the oldest remainder is dropped.
 
-    Takes bars with ``bar_idx``. Series with fewer than ``min_blocks`` blocks are left out.
+    Takes bars with ``bar_idx``. With ``min_blocks``, series with fewer blocks are left out.
     """
     sizes = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
     rest = F.col("_n") % per_block
@@ -116,18 +116,18 @@ def count_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
 
 
-def load_window(bars: DataFrame, days: int, min_bars: int = 120) -> DataFrame:
-    """Bars of the last ``days`` before the newest bar of all; short series are dropped."""
+def load_window(bars: DataFrame, days: int, min_bars: int = 0) -> DataFrame:
+    """Bars of the last ``days`` before the newest bar of all; with ``min_bars``, series with fewer of them are left out."""
     newest = bars.agg((F.max("open_time") - F.expr(f"INTERVAL {days} DAYS")).alias("cut"))
     recent = bars.filter(F.col("open_time") >= newest.scalar())
     long_enough = count_bars(recent).filter(F.col("n_bars") >= min_bars).select("symbol")
     return recent.join(long_enough, "symbol", "left_semi")
 
 
-def cached_universe(bars: DataFrame, min_bars: int, limit: int) -> DataFrame:
-    """Symbols with enough history, most data first."""
-    return (count_bars(bars).filter(F.col("n_bars") >= min_bars)
-            .orderBy(F.desc("n_bars"), "symbol").limit(limit))
+def cached_universe(bars: DataFrame, min_bars: int = 0, limit: int | None = None) -> DataFrame:
+    """Symbols with enough history; with ``limit`` those with most data."""
+    enough = count_bars(bars).filter(F.col("n_bars") >= min_bars)
+    return enough if limit is None else enough.orderBy(F.desc("n_bars"), "symbol").limit(limit)
 
 
 def clean_bars(rows: DataFrame, numeric: Sequence[str] = ("open", "high", "low", "close", "volume")) -> DataFrame:

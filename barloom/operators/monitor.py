@@ -161,20 +161,16 @@ def log_stats(log: DataFrame, top: int = 5, least: int = 3) -> DataFrame:
     return rows.unionByName(best.select(F.concat(F.lit("top:"), "symbol").alias("item"), F.col("rate").alias("value")))
 
 
-def news_sentiment(headlines: DataFrame, cap: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(global, per ticker) sentiment; a ticker counts its first ``cap`` headlines in order ``seq``.
-
-    The first headlines are kept by a bounded aggregate, not by sorting a ticker's whole list.
-    """
+def news_sentiment(headlines: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(global, per ticker) sentiment; with ``cap`` a ticker counts only its first so many headlines in order ``seq``."""
     mood = [F.count_if(F.col("s") > 0.05).alias("bullish"), F.count_if(F.col("s") < -0.05).alias("bearish")]
-    g = headlines.select(F.col("sentiment").alias("s")).agg(clip(F.avg("s"), -1.0, 1.0).alias("score"), F.count(F.lit(1)).alias("volume"), *mood)
+    measures = [clip(F.avg("s"), -1.0, 1.0).alias("score"), F.count(F.lit(1)).alias("volume"), *mood]
+    g = headlines.select(F.col("sentiment").alias("s")).agg(*measures)
     long = headlines.select(F.explode("tickers").alias("ticker"), "seq", "sentiment")
-    # an equal split of each ticker's rows keeps the ranking tasks small; cap rows survive each
-    part = long.withColumn("_p", F.pmod(F.xxhash64("seq"), F.lit(64)))
-    near = part.withColumn("_r", F.row_number().over(Window.partitionBy("ticker", "_p").orderBy("seq"))).filter(F.col("_r") <= cap)
-    first = near.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy("seq"))).filter(F.col("_r") <= cap)
-    t = first.select("ticker", F.col("sentiment").alias("s")).groupBy("ticker").agg(clip(F.avg("s"), -1.0, 1.0).alias("score"), F.count(F.lit(1)).alias("volume"), *mood)
-    return g, t
+    if cap is not None:
+        # the filter on the rank runs before the shuffle too: at most ``cap`` rows of a ticker leave a task
+        long = long.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy("seq"))).filter(F.col("_r") <= cap)
+    return g, long.select("ticker", F.col("sentiment").alias("s")).groupBy("ticker").agg(*measures)
 
 
 def fills(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -184,3 +180,16 @@ def fills(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
     return orders.groupBy(*keys).agg(
         F.coalesce(q, F.lit(0.0)).alias("filled_qty"), F.try_divide(F.sum(F.when(done, F.col("qty") * F.col("price"))), q).alias("avg_fill_price"),
         F.count_if(done).alias("filled"), (F.count_if(done) / F.count(F.lit(1)) * 100).alias("progress_pct"))
+
+
+def evicted(log: DataFrame, memory: int, neutral: int) -> DataFrame:
+    """What a memory of ``memory`` rows keeps of a log (id, ts, cls): everything completed, the newest ``neutral``
+    neutral rows, and the newest pending rows in the room that is left."""
+    n = log.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    held = n.agg(F.coalesce(F.sum(F.when(F.col("cls") == "completed", F.col("n"))), F.lit(0)).alias("done"),
+                 F.least(F.coalesce(F.sum(F.when(F.col("cls") == "neutral", F.col("n"))), F.lit(0)), F.lit(neutral)).alias("neutral")).first()
+    newest = [F.desc("ts"), F.desc("id")]
+    keep = log.filter(F.col("cls") == "completed")
+    for cls, room in (("neutral", neutral), ("pending", max(0, memory - held["done"] - held["neutral"]))):
+        keep = keep.unionByName(log.filter(F.col("cls") == cls).orderBy(*newest).limit(room))
+    return keep

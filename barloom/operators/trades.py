@@ -152,7 +152,7 @@ def multi_fold_score(folds: DataFrame, keys: Sequence[str], p: dict = FOLD) -> D
         + F.least(F.lit(p["bonus_cap"]), F.col("total") / p["bonus_target"] * p["bonus_cap"])).alias("score"))
 
 
-def bootstrap_profit_factor(trades: DataFrame, value: str, id_cols: Sequence[str], reps: int = 1000, q: float = 0.05, floor_rows: int = 10) -> DataFrame:
+def bootstrap_profit_factor(trades: DataFrame, value: str, id_cols: Sequence[str], reps: int = 1000, q: float = 0.05, floor_rows: int = 0) -> DataFrame:
     """Lower quantile of the bootstrap profit factor.
 
     Poisson bootstrap: each row draws a Poisson(1) weight per replicate from a hash of its id,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
 from barloom.operators.series import ema, over_chunks
+from barloom.session import settle
 
 # Quote suffix, stable-coin parts, excluded bases and anchors.
 SUFFIX = "USDT"
@@ -34,12 +35,13 @@ def eligible(volume: Column, symbol: Column, floor: float = 10e6, excluded: Sequ
     return symbol.endswith(suffix) & (volume >= floor) & ~symbol.rlike("|".join(excluded))
 
 
-def gated(tickers: DataFrame, floor: float = 5e6, gate: float = 1.0, least: int = 20, suffix: str = SUFFIX) -> DataFrame:
-    """Movers of at least ``gate`` percent; the gate falls when fewer than ``least`` rows would stay."""
+def gated(tickers: DataFrame, floor: float = 5e6, gate: float = 1.0, least: int | None = None, suffix: str = SUFFIX) -> DataFrame:
+    """Movers of at least ``gate`` percent; with ``least``, the gate falls when fewer rows would stay."""
     base = tickers.filter(eligible(F.col("volume_24h"), F.col("symbol"), floor, STABLE_AND_WRAPPED, suffix))
     moving = F.abs(F.col("pct_24h")) >= gate
-    enough = base.agg((F.count_if(moving) >= least).alias("enough"))
-    return base.filter(moving | ~enough.scalar()).withColumn(
+    if least is not None:
+        moving = moving | ~base.agg((F.count_if(moving) >= least).alias("enough")).scalar()
+    return base.filter(moving).withColumn(
         "score", F.abs(F.col("pct_24h")) * F.log10(F.greatest(F.col("volume_24h"), F.lit(1.0))))
 
 
@@ -210,63 +212,80 @@ def category_split(rows: DataFrame, anchors: Sequence[str], share: float = 0.4,
 
 # -- correlation ----------------------------------------------------------------------------------
 
-def aligned_returns(daily: DataFrame, candidates: DataFrame, days: int, step: int = 86400, least: int = 15) -> DataFrame:
-    """One standardised return vector per candidate over the last ``days`` calendar days (NaN where absent)."""
-    newest = daily.agg(F.max("t").alias("m"))
-    recent = daily.join(candidates.select("symbol"), "symbol", "left_semi").withColumn("_d", ((newest.scalar() - F.col("t")) / step).cast("int")).filter(F.col("_d") < days)
-    by = Window.partitionBy("symbol").orderBy("t")     # at most ``days`` rows per symbol
-    r = recent.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(by)) - 1).filter(F.col("r").isNotNull())
+def aligned_returns(daily: DataFrame, candidates: DataFrame, least: int = 15, days: int | None = None, step: int = 86400) -> DataFrame:
+    """The returns of each candidate by day number: symbol, rets (map). ``days`` keeps only the newest ones; all by default."""
+    rows = daily.join(candidates.select("symbol"), "symbol", "left_semi").withColumn("_d", F.floor(F.col("t") / step).cast("int"))
+    if days is not None:
+        newest = daily.agg(F.floor(F.max("t") / step).alias("m"))
+        rows = rows.filter(newest.scalar() - F.col("_d") < days)
+    by = Window.partitionBy("symbol").orderBy("t")     # a row per day: bounded by the calendar
+    r = rows.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(by)) - 1).filter(F.col("r").isNotNull())
     return r.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("_d", "r"))).alias("rets")).filter(F.size("rets") >= least)
 
 
-def correlated_pairs(vectors: DataFrame, limit: int, days: int, threshold: float = 0.85, least: int = 15) -> DataFrame:
-    """Pairs above the threshold among at most ``limit`` ranked vectors.
+def tile_correlations(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pearson correlation of every row of x with every row of y over the columns both have (NaN where not), and their number."""
+    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    n = mx @ my.T
+    with np.errstate(all="ignore"):
+        ex, ey = x @ my.T / n, mx @ y.T / n
+        cov = x @ y.T / n - ex * ey
+        vx, vy = np.square(x) @ my.T / n - ex**2, mx @ np.square(y).T / n - ey**2
+        return cov / np.sqrt(vx * vy), n
 
-    ``limit`` bounds what each task holds (limit x days doubles): a task correlates its own
-    rows with the whole ranked block by array arithmetic and returns only strong pairs.
-    ``vectors``: symbol, rank, rets (map of day to return).
+
+def correlated_pairs(vectors: DataFrame, threshold: float = 0.85, least: int = 15, tile: int = 500) -> DataFrame:
+    """Pairs with an absolute correlation above the threshold, of all ranked vectors (symbol, rank from 1, rets).
+
+    The ranking is cut into blocks of ``tile`` vectors; each pair of blocks is one task that
+    correlates them by matrix products and returns the strong pairs. A task holds two blocks.
     """
-    block = vectors.orderBy("rank").limit(limit)
-
-    def strong(mine: Iterator[pd.DataFrame], names: np.ndarray, ranks: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
-        ok = ~np.isnan(m)
-        filled = np.where(ok, m, 0.0)
-        for b in mine:
-            out = []
-            for s, r, v in zip(b.symbol, b["rank"], b.vec):
-                x = np.asarray(v, dtype=float)
-                both = ok & ~np.isnan(x)
-                n = both.sum(1)
-                xv, yv = np.where(both, np.nan_to_num(x), 0.0), np.where(both, filled, 0.0)
-                with np.errstate(all="ignore"):
-                    mx, my = xv.sum(1) / n, yv.sum(1) / n
-                    cov = (xv * yv).sum(1) / n - mx * my
-                    corr = cov / np.sqrt(((xv**2).sum(1) / n - mx**2) * ((yv**2).sum(1) / n - my**2))
-                keep = (ranks > r) & (n >= least) & (np.abs(corr) > threshold)
-                out.extend((s, int(r), names[i], int(ranks[i]), float(corr[i])) for i in np.flatnonzero(keep))
-            yield pd.DataFrame(out, columns=["sym_a", "rank_a", "sym_b", "rank_b", "corr"])
-
-    dense = block.select("symbol", "rank", F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: F.coalesce(F.col("rets")[d], F.lit(float("nan")))).alias("vec"))
-    held = dense.collect()      # at most ``limit`` rows of ``days`` numbers
-    if not held:
-        return dense.sparkSession.createDataFrame([], "sym_a string, rank_a int, sym_b string, rank_b int, corr double")
-    names = np.array([h.symbol for h in held])
-    ranks = np.array([h["rank"] for h in held])
-    shared = dense.sparkSession.sparkContext.broadcast((names, ranks, np.array([h.vec for h in held], dtype=float)))
-    return dense.mapInPandas(lambda it: strong(it, *shared.value), "sym_a string, rank_a int, sym_b string, rank_b int, corr double")
+    last = vectors.agg(F.max("rank")).first()[0] or 1
+    own, other = F.floor((F.col("rank") - 1) / tile).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(int((last - 1) // tile))))
+    tiles = vectors.select("symbol", F.col("rank").cast("int").alias("rank"), F.map_keys("rets").alias("days"), F.map_values("rets").alias("r"), own.alias("own"), other.alias("other")).select(
+        "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def strong(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        left, right = rows[rows["own"] == rows["i"]], rows[rows["own"] == rows["j"]]
+        days = np.unique(np.concatenate(rows["days"].to_list()))
+
+        def dense(part: pd.DataFrame) -> np.ndarray:
+            out = np.full((len(part), len(days)), np.nan)
+            for row, d, r in zip(out, part["days"], part["r"]):
+                row[np.searchsorted(days, d)] = r
+            return out
+
+        out = {c: [] for c in ("sym_a", "rank_a", "sym_b", "rank_b", "corr")}
+        if len(left) and len(right):
+            corr, n = tile_correlations(dense(left), dense(right))
+            ranks = left["rank"].to_numpy()[:, None] < right["rank"].to_numpy()[None, :]
+            a, b = np.nonzero(ranks & (n >= least) & (np.abs(corr) > threshold))
+            out = {"sym_a": left["symbol"].to_numpy()[a], "rank_a": left["rank"].to_numpy()[a], "sym_b": right["symbol"].to_numpy()[b],
+                   "rank_b": right["rank"].to_numpy()[b], "corr": corr[a, b]}
+        return pd.DataFrame(out)
+
+    return tiles.groupBy("i", "j").applyInPandas(strong, "sym_a string, rank_a int, sym_b string, rank_b int, corr double")
 
 
 def drop_correlated(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     """Walk the ranking and drop every symbol that correlates with a kept better one.
 
-    The strong pairs are grouped by their lower-ranked symbol and folded in rank order; the
-    pair list is bounded by the ranked block.
+    The walk is done in rounds on all symbols at once: a symbol with a kept better partner is dropped,
+    one whose better partners are all dropped is kept. The best open symbol is always decided, so the rounds end.
     """
-    fold = pairs.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank_a", "rank_b", "sym_a", "sym_b"))).alias("p"))
-    gone = fold.select(F.explode(F.aggregate(
-        "p", F.array().cast("array<string>"),
-        lambda acc, x: F.when(F.array_contains(acc, x["sym_a"]) | F.array_contains(acc, x["sym_b"]), acc).otherwise(F.array_append(acc, x["sym_b"])))).alias("symbol"))
-    return ranked.join(gone, "symbol", "left_anti")
+    edges = settle(pairs.select(F.col("sym_a").alias("a"), F.col("sym_b").alias("b")), "edges")
+    gone, open_edges = None, edges
+    while open_edges.limit(1).count():
+        blocked = open_edges.select(F.col("b").alias("a")).distinct()
+        free = settle(open_edges.select("a").distinct().join(blocked, "a", "left_anti"), "kept")
+        lost = settle(open_edges.join(free, "a", "left_semi").select(F.col("b").alias("a")).distinct(), "gone")
+        gone = lost if gone is None else gone.unionByName(lost)
+        # edges of dropped symbols say nothing any more, and those of kept ones are done
+        rest = open_edges.join(free, "a", "left_anti").join(lost, "a", "left_anti").join(lost.select(F.col("a").alias("b")), "b", "left_anti")
+        open_edges = settle(rest.select("a", "b"), "edges")
+    return ranked if gone is None else ranked.join(gone.select(F.col("a").alias("symbol")), "symbol", "left_anti")
 
 
 def survivorship(history: DataFrame, today: DataFrame, now: Column, days: int = 7) -> DataFrame:

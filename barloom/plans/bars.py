@@ -37,7 +37,7 @@ def _(spark, d):
 
 
 @query("count_blocks", "A03", f"""WITH {BARS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
-SELECT symbol, CAST((bar_idx - n % 12) // 12 AS BIGINT) AS block, min(t) AS block_start, {ROLL} FROM n WHERE bar_idx >= n % 12 AND n // 12 >= 20 GROUP BY ALL""")
+SELECT symbol, CAST((bar_idx - n % 12) // 12 AS BIGINT) AS block, min(t) AS block_start, {ROLL} FROM n WHERE bar_idx >= n % 12 GROUP BY ALL""")
 def _(spark, d):
     r = B.count_resample(bars(spark, d), 12).withColumn("block_start", seconds("block_start"))
     return out(r, "symbol", "block", "block_start")
@@ -78,9 +78,9 @@ def _(spark, d):
     return S.archive_months(o, F.col("d"), F.lit(200)).select("k", "month", "age")
 
 
-@query("recent_window", "S09", f"""WITH {BARS_SQL}, r AS (SELECT * FROM bars WHERE t >= (SELECT max(t) FROM bars) - 10 * 86400) SELECT symbol, t, round(close, 4) AS close FROM r QUALIFY count(*) OVER (PARTITION BY symbol) >= 120""")
+@query("recent_window", "S09", f"""WITH {BARS_SQL}, r AS (SELECT * FROM bars WHERE t >= (SELECT max(t) FROM bars) - 10 * 86400) SELECT symbol, t, round(close, 4) AS close FROM r""")
 def _(spark, d):
-    return B.load_window(raw_bars(spark, d), 10, 120).select("symbol", seconds("open_time").alias("t"), rnd("close", 4).alias("close"))
+    return B.load_window(raw_bars(spark, d), 10).select("symbol", seconds("open_time").alias("t"), rnd("close", 4).alias("close"))
 
 
 @query("cached_universe", "S10", f"""WITH {sql_bars(3600, True)} SELECT symbol, count(*) AS n_bars FROM bars GROUP BY symbol HAVING count(*) >= 100 ORDER BY n_bars DESC, symbol LIMIT 30""")

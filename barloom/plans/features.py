@@ -13,6 +13,7 @@ from barloom.operators.series import over_chunks
 from barloom.plans.events import SIGNALS_SQL
 from barloom.plans.inputs import BARS_SQL, bars, raw_bars, rnd, sql_bars, table
 from barloom.plans.registry import query
+from barloom.session import settle
 from barloom.plans.windows import W, last, sql_ema, sql_recur
 
 
@@ -208,9 +209,11 @@ def analysis(spark, d):
 
 
 @query("timeframe_analysis", "E23", f"""WITH RECURSIVE {AN_SQL} SELECT sym AS symbol, interval, bar_idx, trend_score, trend, strength, round(rsi, 5) AS rsi, round(ml - sgl, 5) AS macd, round(bb, 5) AS bb_position, round(adx, 5) AS adx, round(atr, 5) AS atr, round(k, 5) AS k, round(d, 5) AS d, round(vola, 5) AS volatility, round(vr, 5) AS volume_ratio,
-  round(m20 - m50, 5) AS mean_shift, {', '.join(f'round(mo{n}, 5) AS momentum_{n}' for n in (5, 10, 20))} FROM an""")
+  round(m20 - m50, 8) AS mean_shift, {', '.join(f'round(mo{n}, 5) AS momentum_{n}' for n in (5, 10, 20))} FROM an""")
 def _(spark, d):
-    return rounded(analysis(spark, d).select("symbol", "interval", "bar_idx", "trend_score", "trend", "strength", "rsi", "macd", "bb_position", "adx", "atr", "k", "d", "volatility", "volume_ratio", "mean_shift", "momentum_5", "momentum_10", "momentum_20"), 5)
+    # means over 8, 16, 32 or 40 prices have up to seven decimals: at eight no value lies between two roundings
+    shown = ["rsi", "macd", "bb_position", "adx", "atr", "k", "d", "volatility", "volume_ratio", "momentum_5", "momentum_10", "momentum_20"]
+    return analysis(spark, d).select("symbol", "interval", "bar_idx", "trend_score", "trend", "strength", rnd("mean_shift", 8).alias("mean_shift"), *[rnd(c, 5).alias(c) for c in shown])
 
 
 TFW = {"1h": 0.2, "2h": 0.3, "4h": 0.5}
@@ -252,21 +255,19 @@ def _(spark, d):
     return t.select("symbol", *[rnd(c[k], 4 if k in ("spike", "dump") else 5).alias(k) if k not in ("divergence", "macd_turn", "green_run", "red_run") else c[k].cast("int").alias(k) for k in names])
 
 
-ADJ_DAYS = 30
-ADJ_SQL = f"""{sql_bars(86400, True)}, rk AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS rank FROM bars GROUP BY symbol ORDER BY symbol LIMIT 60), ret AS MATERIALIZED (SELECT * FROM (SELECT symbol, t, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS r FROM bars WHERE ((SELECT max(t) FROM bars) - t) / 86400 < {ADJ_DAYS}) WHERE r IS NOT NULL),
+ADJ_SQL = f"""{sql_bars(86400, True)}, rk AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS rank FROM bars GROUP BY symbol), ret AS MATERIALIZED (SELECT * FROM (SELECT symbol, t, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS r FROM bars) WHERE r IS NOT NULL),
 ok AS (SELECT symbol FROM ret GROUP BY symbol HAVING count(*) >= 15), cr AS MATERIALIZED (SELECT a.symbol AS sa, b.symbol AS sb, covar_pop(a.r, b.r) / nullif(sqrt(var_pop(a.r) * var_pop(b.r)), 0) AS c FROM ret a JOIN ret b ON a.t = b.t AND a.symbol < b.symbol WHERE a.symbol IN (FROM ok) AND b.symbol IN (FROM ok) GROUP BY ALL HAVING count(*) >= 15 AND abs(covar_pop(a.r, b.r) / nullif(sqrt(var_pop(a.r) * var_pop(b.r)), 0)) > 0.5),
 ed AS MATERIALIZED (SELECT sa, sb, abs(c) AS w FROM cr UNION ALL SELECT sb, sa, abs(c) FROM cr UNION ALL SELECT symbol, symbol, 1.0 FROM ok), dg AS (SELECT sa, sum(w) AS dg FROM ed GROUP BY sa), mr AS (SELECT symbol, avg(r) AS m FROM ret GROUP BY symbol)"""
 
 
 @query("correlation_graph", "A35 A36", f"WITH {ADJ_SQL} SELECT ed.sa AS sym_a, ed.sb AS sym_b, round(w, 5) AS weight, round(w / sqrt(a.dg * b.dg), 5) AS normalised, round(m, 5) AS mean_return FROM ed JOIN dg a ON a.sa = ed.sa JOIN dg b ON b.sa = ed.sb JOIN mr ON mr.symbol = ed.sa")
 def _(spark, d):
-    from pyspark.sql import Window
-    from barloom.operators.series import seconds
+    from barloom.operators.series import index_series, seconds
     day = raw_bars(spark, d, 86400, by_user=True).withColumn("t", seconds("open_time"))
-    # the graph is drawn over a bounded universe: the first 60 names
-    names = day.select("symbol").distinct().orderBy("symbol").limit(60).withColumn("rank", F.row_number().over(Window.orderBy("symbol")))
-    v = U.aligned_returns(day, names, ADJ_DAYS).join(names, "symbol")
-    p = U.correlated_pairs(v, 60, ADJ_DAYS, threshold=0.5).select("sym_a", "sym_b", F.abs("corr").alias("w"))
+    # names that begin alike are numbered together
+    names = index_series(day.select("symbol").distinct(), [], ["symbol"], [F.substring("symbol", 1, 3)], out="rank").withColumn("rank", F.col("rank") + 1)
+    v = U.aligned_returns(day, names).join(names, "symbol")
+    p = settle(U.correlated_pairs(v, threshold=0.5).select("sym_a", "sym_b", F.abs("corr").alias("w")), "pairs")
     loops = v.select(F.col("symbol").alias("sym_a"), F.col("symbol").alias("sym_b"), F.lit(1.0).alias("w"))
     edges = p.unionByName(p.select(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"), "w")).unionByName(loops)
     deg = edges.groupBy("sym_a").agg(F.sum("w").alias("dg"))

@@ -11,6 +11,8 @@ from barloom.plans.inputs import rnd, table
 from barloom.plans.registry import query
 
 HALF_DAY = 43200
+# seconds whose rows are sorted together
+SPAN = 60
 
 
 def preds(spark, d):
@@ -28,7 +30,8 @@ ORDER = ["ts", "id"]
 
 
 def bucket():
-    return [F.floor(F.unix_seconds("ts") / HALF_DAY)]
+    """Rows of one minute are sorted together."""
+    return [F.floor(F.unix_seconds("ts") / SPAN)]
 
 
 def rounded(df, digits=5, **over):
@@ -160,19 +163,23 @@ def _(spark, d):
     # the newest open prediction and the newest one at all; the latter counts for a day
     allp = p.filter(F.col("k") < 80).groupBy("symbol", F.col("at").alias("pat")).agg(F.max("id").alias("pred_id"))
     openp = p.filter(F.col("k") < 40).groupBy("symbol", F.col("at").alias("pat")).agg(F.max("id").alias("pred_id"))
-    j = asof_join(asof_join(t, allp, ["symbol"], "at", "pat", "any", 86400), openp, ["symbol"], "at", "pat", "open", 86400)
+    j = asof_join(asof_join(t, allp, ["symbol"], "at", "pat", "any", SPAN), openp, ["symbol"], "at", "pat", "open", SPAN)
     fresh = F.when(F.col("at") - F.col("any.pat") < 86400, F.col("any"))
     pick = F.when(fresh.isNotNull(), fresh).otherwise(F.col("open"))
     return j.select("symbol", "trade_id", pick["pred_id"].alias("pred_id"), F.when(F.col("move") > 0, "correct").otherwise("wrong").alias("outcome")).filter(F.col("pred_id").isNotNull())
 
 
-@query("memory_eviction", "P15", f"""WITH {PR}, l AS (SELECT id, ts, CASE WHEN k < 20 THEN 'pending' WHEN k < 60 THEN 'neutral' ELSE 'completed' END AS cls FROM prd), c AS (SELECT count(*) AS done FROM l WHERE cls = 'completed'), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ts DESC, id DESC) AS r FROM l)
-SELECT id, cls FROM r, c WHERE cls = 'completed' OR (cls = 'neutral' AND r <= 500) OR (cls = 'pending' AND r <= greatest(0, done + 500 + 200 - done - 500))""")
+# rows of the memory, and of its neutral part, in the registered query
+MEMORY, NEUTRAL = 5000, 500
+
+
+@query("memory_eviction", "P15", f"""WITH {PR}, l AS (SELECT id, ts, CASE WHEN k < 20 THEN 'pending' WHEN k < 60 THEN 'neutral' ELSE 'completed' END AS cls FROM prd),
+c AS (SELECT count(*) FILTER (WHERE cls = 'completed') AS done, least(count(*) FILTER (WHERE cls = 'neutral'), {NEUTRAL}) AS neutral FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ts DESC, id DESC) AS r FROM l)
+SELECT id, cls FROM r, c WHERE cls = 'completed' OR (cls = 'neutral' AND r <= {NEUTRAL}) OR (cls = 'pending' AND r <= greatest(0, {MEMORY} - done - neutral))""")
 def _(spark, d):
     k = F.col("k")
     log = preds(spark, d).select("id", "ts", F.when(k < 20, "pending").when(k < 60, "neutral").otherwise("completed").alias("cls"))
-    keep = [log.filter(F.col("cls") == "completed")] + [log.filter(F.col("cls") == c).orderBy(F.desc("ts"), F.desc("id")).limit(n) for c, n in (("neutral", 500), ("pending", 200))]
-    return keep[0].unionByName(keep[1]).unionByName(keep[2]).select("id", "cls")
+    return M.evicted(log, MEMORY, NEUTRAL).select("id", "cls")
 
 
 @query("training_export", "P16", f"""WITH {PR} SELECT id, y AS label, round(greatest(CASE WHEN k >= 90 THEN 5.0 WHEN k >= 75 THEN 2.5 WHEN k >= 50 THEN 1.0 ELSE 0.005 END, 0.01), 4)::DOUBLE AS weight FROM prd WHERE k >= 25 AND k % 10 <> 3 AND isfinite(CASE WHEN k % 17 = 0 THEN 'nan'::DOUBLE ELSE prob END)""")

@@ -205,7 +205,7 @@ def _(spark, d):
 
 @query("exit_recommendations", "A14 P08", f"""WITH RECURSIVE {OUT_SQL}, {MATRIX_SQL},
 wn AS (SELECT quantile_cont(max_mae_entry_atr, 0.9) AS a, quantile_cont(bars_to_runup_atr_3::DOUBLE, 0.5) AS b, quantile_cont(time_to_peak::DOUBLE, 0.9) AS c, quantile_cont(max_mae_entry_atr, 0.5) AS v FROM outc WHERE max_runup_atr >= 3),
-bs AS (SELECT * FROM dm ORDER BY expectancy_atr DESC, weighted_pf DESC, sum_realized_atr DESC, bank_atr, bank_fraction, trail_activate_atr, runner_trail_atr, sl_atr LIMIT 1)
+bs AS (SELECT * FROM dm ORDER BY round(expectancy_atr, 9) DESC, round(weighted_pf, 9) DESC, round(sum_realized_atr, 9) DESC, bank_atr, bank_fraction, trail_activate_atr, runner_trail_atr, sl_atr LIMIT 1)
 SELECT (SELECT x FROM (VALUES {', '.join(f'({s}::DOUBLE)' for s in O.STOPS)}) t(x) ORDER BY abs(x - a), x LIMIT 1) AS sl_atr, bs.bank_atr, bs.bank_fraction, bs.trail_activate_atr, bs.runner_trail_atr,
   (SELECT x FROM (VALUES (12), (18), (24)) t(x) ORDER BY abs(x - b), x LIMIT 1) AS max_bars_pre_bank, (SELECT x FROM (VALUES (24), (36), (48)) t(x) ORDER BY abs(x - c), x LIMIT 1) AS max_bars_post_bank, round(v, 5) AS mae_veto_atr FROM wn, bs""")
 def _(spark, d):

@@ -171,7 +171,7 @@ def _(spark, d):
     return live.replay(live.decisions(pick_rows(spark, d)), "decisions").select("symbol", "id", "t", "outcome", rnd("accuracy").alias("accuracy"))
 
 
-@query("stream_fresh_titles", "T15", """WITH d AS (SELECT arg_min(event_id, event_id) AS id FROM events GROUP BY lower(substring(event_type || ' ' || CAST(value AS VARCHAR), 1, 60))) SELECT count(*) AS titles FROM d""")
+@query("stream_fresh_titles", "T15", """WITH d AS (SELECT arg_min(event_id, event_id) AS id FROM events GROUP BY lower(event_type || ' ' || CAST(value AS VARCHAR))) SELECT count(*) AS titles FROM d""")
 def _(spark, d):
     x = event_stream(spark, d).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("value").cast("string")).alias("title"))
     return live.replay(live.fresh_titles(x, "40 days").select("id"), "titles").agg(F.count(F.lit(1)).alias("titles"))

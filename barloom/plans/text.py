@@ -48,7 +48,7 @@ def _(spark, d):
     return scored(spark, d).select("doc_id", rnd("sentiment").alias("sentiment"), rnd("uncertainty").alias("uncertainty"), F.array_join("tickers", ",").alias("tickers"))
 
 
-@query("vote_blended_scores", "F02 K14", f"""WITH {SCORE_SQL}, u AS (SELECT arg_min(doc_id, doc_id) AS doc_id FROM documents GROUP BY substring(lower(text), 1, 60)), v AS (SELECT doc_id, n_chars % 7 AS up, doc_id % 5 AS dn FROM documents)
+@query("vote_blended_scores", "F02 K14", f"""WITH {SCORE_SQL}, u AS (SELECT arg_min(doc_id, doc_id) AS doc_id FROM documents GROUP BY lower(text)), v AS (SELECT doc_id, n_chars % 7 AS up, doc_id % 5 AS dn FROM documents)
 SELECT doc_id, round(CASE WHEN up + dn > 0 THEN 0.6 * sentiment + 0.4 * (up - dn) / (up + dn) ELSE sentiment END, 6) AS blended FROM sc JOIN u USING (doc_id) JOIN v USING (doc_id)""")
 def _(spark, d):
     s = scored(spark, d)
@@ -58,7 +58,7 @@ def _(spark, d):
 
 
 @query("news_sentiment", "A27 J15", f"""WITH {SCORE_SQL}, act AS (SELECT * FROM (VALUES ('AAA', 'tion'), ('BBB', 'ment'), ('ZZZ', 'eau')) x(ticker, word)),
-l AS (SELECT unnest(tickers) AS ticker, doc_id, sentiment FROM sc UNION SELECT a.ticker, doc_id, sentiment FROM sc, act a WHERE contains(lower(text), a.word)), f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY doc_id) <= 20)
+l AS (SELECT unnest(tickers) AS ticker, doc_id, sentiment FROM sc UNION SELECT a.ticker, doc_id, sentiment FROM sc, act a WHERE contains(lower(text), a.word)), f AS (SELECT * FROM l)
 SELECT '*' AS ticker, round(greatest(-1, least(1, avg(sentiment))), 6) AS score, count(*) AS volume, count(*) FILTER (WHERE sentiment > 0.05) AS bullish, count(*) FILTER (WHERE sentiment < -0.05) AS bearish FROM sc
 UNION ALL SELECT ticker, round(greatest(-1, least(1, avg(sentiment))), 6), count(*), count(*) FILTER (WHERE sentiment > 0.05), count(*) FILTER (WHERE sentiment < -0.05) FROM f GROUP BY ticker""")
 def _(spark, d):

@@ -10,7 +10,7 @@ from barloom.operators import labels as L
 from barloom.operators import joins as J
 from barloom.operators import training as T
 from barloom.operators import universe as U
-from barloom.operators.series import index_series, thin
+from barloom.operators.series import thin
 from barloom.plans.episodes import wilder_bars
 from barloom.plans.events import FEATURES_SQL, SIGNALS_SQL, WILDER_SQL, signals, sql_label, sql_thin, thr
 from barloom.plans.inputs import BARS_SQL, bars, bars_table, rnd, table
@@ -105,30 +105,28 @@ SEQ_P = {"tp": 2.0, "sl": 1.0, "bars": 24}
 @query("sequence_windows", "M08", f"""WITH RECURSIVE {BARS_SQL}, {TR_SQL}, trm AS MATERIALIZED (SELECT * FROM tr), {WILDER_SQL},
 sq0 AS (SELECT t.symbol, t.bar_idx, t.close, coalesce(aw.y, 0) AS atr, list(t.close) OVER (PARTITION BY t.symbol ORDER BY t.bar_idx ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS s1, list(t.volume) OVER (PARTITION BY t.symbol ORDER BY t.bar_idx ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS s2 FROM trm t LEFT JOIN aw ON aw.symbol = t.symbol AND aw.bar_idx = t.bar_idx),
 sq AS MATERIALIZED (SELECT *, 1 AS direction FROM sq0 WHERE bar_idx >= 80 AND (bar_idx - 80) % 10 = 0), {sql_label('sq', SEQ_P)}
-SELECT l.symbol, l.bar_idx, l.label, CAST(len(s1) AS INT) AS steps, round(list_sum(s1), 4) AS close_sum, round(list_sum(s2), 4) AS volume_sum FROM lab l JOIN sq USING (symbol, bar_idx) QUALIFY row_number() OVER (PARTITION BY l.symbol ORDER BY l.bar_idx) <= 50""")
+SELECT l.symbol, l.bar_idx, l.label, CAST(len(s1) AS INT) AS steps, round(list_sum(s1), 4) AS close_sum, round(list_sum(s2), 4) AS volume_sum FROM lab l JOIN sq USING (symbol, bar_idx)""")
 def _(spark, d):
     b = settle(wilder_bars(bars(spark, d)), "bars")
     s = T.sequences(b, ["close", "volume"], 30).withColumn("direction", F.lit(1))
     lab = L.barrier_label(s, b, SEQ_P["tp"], SEQ_P["sl"], SEQ_P["bars"])
-    kept = index_series(lab, ["symbol"], ["bar_idx"], [F.floor(F.col("bar_idx") / 4096)], out="seq_no").filter(F.col("seq_no") < 50)
 
     def total(i):
         return F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[i])
-    return kept.select("symbol", "bar_idx", "label", F.size("sequence").alias("steps"), rnd(total(0), 4).alias("close_sum"), rnd(total(1), 4).alias("volume_sum"))
+    return lab.select("symbol", "bar_idx", "label", F.size("sequence").alias("steps"), rnd(total(0), 4).alias("close_sum"), rnd(total(1), 4).alias("volume_sum"))
 
 
-@query("training_matrix", "M09", f"""WITH RECURSIVE {FEATURES_SQL}, un AS (SELECT symbol, count(*) AS nb FROM bars GROUP BY symbol HAVING count(*) >= 100 ORDER BY nb DESC, symbol LIMIT 4),
-cand AS MATERIALIZED (SELECT symbol, bar_idx, close, atr, 1 AS direction FROM fp WHERE symbol IN (SELECT symbol FROM un) AND bar_idx >= 50 AND bar_idx < 600 AND cusum_pos > {thr(E.EXTREME)} AND close < range_high),
+@query("training_matrix", "M09", f"""WITH RECURSIVE {FEATURES_SQL}, un AS (SELECT symbol, count(*) AS nb FROM bars GROUP BY symbol HAVING count(*) >= 100),
+cand AS MATERIALIZED (SELECT symbol, bar_idx, close, atr, 1 AS direction FROM fp WHERE symbol IN (SELECT symbol FROM un) AND bar_idx >= 50 AND cusum_pos > {thr(E.EXTREME)} AND close < range_high),
 {sql_label('cand', SEQ_P)}, labm AS MATERIALIZED (SELECT * FROM lab), {sql_thin('labm', E.MIN_GAP)}
 SELECT k.symbol, k.bar_idx, label, round(weight * (1 + 2.0 * k.bar_idx / 600), 6) AS weight, round(f.atr_pct, 5) AS atr_pct, round(f.cusum_pos, 5) AS cusum_pos, round((f.close - f.range_low) / nullif(f.range_high - f.range_low, 0), 6) AS range_pos FROM labm JOIN kept k USING (symbol, bar_idx) JOIN fp f ON f.symbol = k.symbol AND f.bar_idx = k.bar_idx""")
 def _(spark, d):
     from barloom.operators.bars import cached_universe
     b = bars_table(spark, d)
-    chosen = b.join(cached_universe(b, 100, 4).select("symbol"), "symbol", "left_semi")
+    chosen = b.join(cached_universe(b, 100).select("symbol"), "symbol", "left_semi")
     feats = E.event_features(chosen)
-    early = feats.filter(F.col("bar_idx") < 600)
     side = F.when((F.col("cusum_pos") > F.greatest(E.EXTREME["mult"] * F.col("atr_pct"), F.lit(E.EXTREME["floor"]))) & (F.col("close") < F.col("range_high")), 1)
-    ev = T.cap_events(E.detect(early, chosen, side, SEQ_P), ["symbol"], 1500, tie=["bar_idx"])
+    ev = T.cap_events(E.detect(feats, chosen, side, SEQ_P), ["symbol"], 1500, tie=["bar_idx"])
     x = ev.select("symbol", "bar_idx", "label", "weight").join(feats, ["symbol", "bar_idx"])
     return x.select("symbol", "bar_idx", "label", rnd(F.col("weight") * (1 + 2.0 * F.col("bar_idx") / 600)).alias("weight"), rnd("atr_pct", 5).alias("atr_pct"), rnd("cusum_pos", 5).alias("cusum_pos"),
                     rnd(F.try_divide(F.col("close") - F.col("range_low"), F.col("range_high") - F.col("range_low"))).alias("range_pos"))

@@ -71,6 +71,13 @@ def _(spark, d):
 
 @query("gated_movers", "P02", f"""WITH {SNAP_SQL}, e AS (SELECT * FROM snp WHERE suffix(symbol, 'USDT') AND volume_24h >= 600000 AND NOT regexp_matches(symbol, 'BUSD|USDC|TUSD|DAI|FDUSD|WBTC|STETH'))
 SELECT {', '.join(SNAP)}, round(abs(pct_24h) * log10(greatest(volume_24h, 1)), 4) AS score FROM e WHERE abs(pct_24h) >= 20 OR (SELECT count(*) FILTER (WHERE abs(pct_24h) >= 20) FROM e) < 20""")
+def _(spark, d):
+    g = U.gated(snapshot(spark, d), 600000, gate=20.0, least=20)
+    return r4(g.select("symbol", "volume_24h", "pct_24h", "score"), "volume_24h", "pct_24h", "score")
+
+
+@query("gated_movers_always", "P02", f"""WITH {SNAP_SQL} SELECT {', '.join(SNAP)}, round(abs(pct_24h) * log10(greatest(volume_24h, 1)), 4) AS score FROM snp WHERE suffix(symbol, 'USDT') AND volume_24h >= 600000
+  AND NOT regexp_matches(symbol, 'BUSD|USDC|TUSD|DAI|FDUSD|WBTC|STETH') AND abs(pct_24h) >= 20""")
 def _(spark, d):
     g = U.gated(snapshot(spark, d), 600000, gate=20.0)
     return r4(g.select("symbol", "volume_24h", "pct_24h", "score"), "volume_24h", "pct_24h", "score")
@@ -212,28 +219,25 @@ def _(spark, d):
     return g.filter(F.col("c0").isNotNull()).select("symbol", rnd((F.col("c1") / F.col("c0") - 1) * 100, 5).alias("change_30d")).orderBy(F.desc("change_30d"), "symbol").limit(25)
 
 
-CORR_LIMIT, CORR_DAYS = 80, 900
-CORR_SQL = f"""{DAILY_SQL}, cnd AS MATERIALIZED (SELECT symbol, row_number() OVER (ORDER BY round(v, 4) DESC, symbol) AS rank FROM (SELECT symbol, sum(quote_volume) AS v FROM dly GROUP BY symbol) ORDER BY rank LIMIT {CORR_LIMIT}),
-ret AS MATERIALIZED (SELECT * FROM (SELECT d.symbol, c.rank, d.t, d.close / nullif(lag(d.close) OVER (PARTITION BY d.symbol ORDER BY d.t), 0) - 1 AS r FROM dly d JOIN cnd c USING (symbol) WHERE ((SELECT max(t) FROM dly) - d.t) / 86400 < {CORR_DAYS}) WHERE r IS NOT NULL),
+CORR_SQL = f"""{DAILY_SQL}, cnd AS MATERIALIZED (SELECT symbol, row_number() OVER (ORDER BY round(v, 4) DESC, symbol) AS rank FROM (SELECT symbol, sum(quote_volume) AS v FROM dly GROUP BY symbol)),
+ret AS MATERIALIZED (SELECT * FROM (SELECT d.symbol, c.rank, d.t, d.close / nullif(lag(d.close) OVER (PARTITION BY d.symbol ORDER BY d.t), 0) - 1 AS r FROM dly d JOIN cnd c USING (symbol)) WHERE r IS NOT NULL),
 okv AS (SELECT symbol FROM ret GROUP BY symbol HAVING count(*) >= 5),
 prs AS MATERIALIZED (SELECT a.symbol AS sym_a, a.rank AS rank_a, b.symbol AS sym_b, b.rank AS rank_b, covar_pop(a.r, b.r) / nullif(sqrt(var_pop(a.r) * var_pop(b.r)), 0) AS corr FROM ret a JOIN ret b ON a.t = b.t AND a.rank < b.rank
   WHERE a.symbol IN (FROM okv) AND b.symbol IN (FROM okv) GROUP BY ALL HAVING count(*) >= 3 AND abs(covar_pop(a.r, b.r) / nullif(sqrt(var_pop(a.r) * var_pop(b.r)), 0)) > 0.95)"""
 
 
-def candidates(spark, d):
-    return snapshot(spark, d).withColumn("volume_24h", F.round("volume_24h", 4)).orderBy(F.desc("volume_24h"), "symbol").limit(CORR_LIMIT).select("symbol", "volume_24h")
-
-
 def ranked_candidates(spark, d):
-    from pyspark.sql import Window
-    # at most CORR_LIMIT rows
-    return candidates(spark, d).select("symbol", F.row_number().over(Window.orderBy(F.desc("volume_24h"), "symbol")).alias("rank"))
+    """All symbols by volume; volumes of one sixteenth of an octave are numbered together."""
+    v = snapshot(spark, d).select("symbol", F.round("volume_24h", 4).alias("volume_24h"))
+    octave = F.coalesce(F.floor(F.log2("volume_24h") * -16), F.lit(2**31))
+    n = index_series(v, [], [F.desc("volume_24h"), F.col("symbol")], [octave], out="rank")
+    return n.select("symbol", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def pairs(spark, d):
     ranked = ranked_candidates(spark, d)
-    v = U.aligned_returns(daily(spark, d), ranked, CORR_DAYS, least=5).join(ranked, "symbol")
-    return U.correlated_pairs(v, CORR_LIMIT, CORR_DAYS, threshold=0.95, least=3)
+    v = U.aligned_returns(daily(spark, d), ranked, least=5).join(ranked, "symbol")
+    return U.correlated_pairs(v, threshold=0.95, least=3)
 
 
 @query("correlated_pairs", "J09 A35", f"WITH {CORR_SQL} SELECT sym_a, sym_b, CAST(rank_a AS INT) AS rank_a, CAST(rank_b AS INT) AS rank_b, round(corr, 5) AS corr FROM prs")

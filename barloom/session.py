@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,12 +51,22 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@functools.cache
+def own_folder() -> str:
+    return tempfile.mkdtemp(prefix="barloom-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that is unset (tests, local runs) does it lie in the machine's temp folder.
+    Executors must see it, so there is no fallback to a folder of one machine; only a session in
+    a single process (tests, local runs) gets one of its own where the setting is missing.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = own_folder()
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

@@ -46,8 +46,7 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame, staging: str) ->
     touched = with_month(new).select("interval", "month").distinct()
     old = read_bars(spark, path).join(F.broadcast(touched), ["interval", "month"], "left_semi").drop("month")
     write_bars(merge_bars(old, new), staging, mode="overwrite")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    read_bars(spark, staging).write.mode("overwrite").partitionBy("interval", "month").parquet(path)
+    read_bars(spark, staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "month").parquet(path)
 
 
 def audit_files(spark: SparkSession, path: str, required: Sequence[str] = ("open_time", "open", "high", "low", "close", "volume"), limit: int = 50 << 20) -> DataFrame:

@@ -20,10 +20,13 @@ Step = Callable[[dict, dict], tuple[dict, Sequence[tuple]]]
 
 
 class Fold(StatefulProcessor):
-    """Runs ``step`` over the rows of a key in the order of ``order``; rows at or before the last
-    order value seen are late and dropped when ``drop_late`` is set."""
+    """Runs ``step`` over the rows of a key, those of a micro-batch in the order of ``order``.
 
-    def __init__(self, step: Step, start: dict, order: Sequence[str], columns: Sequence[str], keys: Sequence[str], drop_late: bool = True):
+    No row is lost: one that comes in a later batch than its place is folded when it arrives, so
+    a source that delivers in order gives the same rows however it is cut into batches. With
+    ``drop_late`` such rows are skipped instead."""
+
+    def __init__(self, step: Step, start: dict, order: Sequence[str], columns: Sequence[str], keys: Sequence[str], drop_late: bool = False):
         self.step, self.start, self.order, self.columns, self.keys = step, start, list(order), list(columns), list(keys)
         self.drop_late = drop_late
 
