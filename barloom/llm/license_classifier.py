@@ -113,9 +113,9 @@ class LicenseModel:
         return sorted({max((w for w in g.split(" ") if w not in COMMON), key=len) for g, w in self.weights.items() if w.max() > 0})
 
 
-def altered(notice: str, spare: list[str], rng: random.Random) -> str:
-    """A copy with words dropped and words of other paragraphs around it."""
-    kept = [w for w in notice.split() if rng.random() > 0.06] or notice.split()
+def altered(notice: str, telling: set[str], spare: list[str], rng: random.Random) -> str:
+    """A copy with words dropped, but for those that only its family has, and words of other paragraphs around it."""
+    kept = [w for w in notice.split() if telling.intersection(words(w)) or rng.random() > 0.08]
     other = rng.choice(spare).split() if spare else []
     cut = rng.randint(0, min(12, len(other)))
     return " ".join(rng.choice(([*kept], [*other[:cut], *kept], [*kept, *other[:cut]], [*other[:cut], *kept, *other[cut:2 * cut]])))
@@ -126,8 +126,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(paragraphs: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, copies: int = COPIES, rounds: int = 200, penalty: float = 2e-4, seed: int = 5) -> LicenseModel:
-    """Proximal gradient steps on the penalised likelihood; a quarter of the rows calibrates the temperature.
+def fit(paragraphs: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, copies: int = COPIES, rounds: int = 150, penalty: float = 2e-4, seed: int = 5) -> LicenseModel:
+    """Adam steps with soft thresholds on the penalised likelihood; a quarter of the rows calibrates the temperature.
 
     ``paragraphs`` are of the unknown class but for those that hold most of a notice, which are left out.
     """
@@ -139,8 +139,10 @@ def fit(paragraphs: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, co
     # near misses: licence words out of place are not a licence
     vocabulary = sorted({w for ns in notices.values() for n in ns for w in words(n)})
     rows += [(" ".join([*rng.sample(vocabulary, 2), *(rng.choice(plain).split()[:20] if plain else [])]), len(families)) for _ in range(20 * len(families))]
+    used = {f: {w for n in ns for w in words(n)} for f, ns in notices.items()}
     for f, family in enumerate(families):
-        rows += [(altered(n, plain, rng), f) for n in notices[family] for _ in range(copies)] + [(n, f) for n in notices[family]]
+        telling = used[family].difference(*(w for g, w in used.items() if g != family))
+        rows += [(altered(n, telling, plain, rng), f) for n in notices[family] for _ in range(copies)] + [(n, f) for n in notices[family]]
     rng.shuffle(rows)
     grams = [ngrams(t) for t, _ in rows]
     allowed = sorted({g for ns in notices.values() for n in ns for g in ngrams(n)})[:FIT_NGRAMS]
@@ -156,11 +158,14 @@ def fit(paragraphs: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, co
     held = np.arange(len(rows)) % 4 == 0
     a, b, s = x[~held], y[~held], (weigh / weigh[~held].sum())[~held]
     w = np.zeros((x.shape[1], len(families)))
-    step = 4.0 / max(1e-9, (np.square(a).sum(axis=1) * s).sum())
-    for _ in range(rounds):
+    m, v, rate = np.zeros_like(w), np.zeros_like(w), 0.1
+    for t in range(1, rounds + 1):
         p = softmax(np.hstack([a @ w, np.zeros((len(a), 1))]))
-        w -= step * a.T @ ((p - b)[:, :-1] * s[:, None])
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step * penalty, 0)
+        g = a.T @ ((p - b)[:, :-1] * s[:, None])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        scale = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        w -= scale * m / (1 - 0.9**t)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(scale[:-1], 10) * penalty, 0)
     logits = np.hstack([x[held] @ w, np.zeros((int(held.sum()), 1))])
     likely = [(-(np.log(softmax(logits / t)[y[held] == 1] + 1e-12)).mean(), t) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)]
     return LicenseModel(families, np.minimum(w[-1], -1e-6), {g: w[i] for g, i in place.items() if np.abs(w[i]).max() > 0}, min(likely)[1])
