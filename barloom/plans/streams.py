@@ -124,7 +124,20 @@ def _(spark, d):
     return live.replay(live.adaptive_coverage(pred_stream(spark, d).select("model", "t", "id", "prob", "y"), grid), "coverage").select("model", "id", "covered", rnd("alpha").alias("alpha"), rnd("threshold").alias("threshold"))
 
 
-@query("stream_health_alerts", "T11")
+def ece_sql() -> str:
+    """Weighted gap of mean probability and hit rate in each of five cells of the last 100 rows."""
+    parts = []
+    for i in range(5):
+        inside = f"FILTER (WHERE prob >= {0.5 + i * 0.1!r}::DOUBLE AND prob < {0.6 + i * 0.1!r}::DOUBLE) OVER w"
+        parts.append(f"coalesce(count(*) {inside} / (count(*) OVER w)::DOUBLE * abs(avg(prob) {inside} - avg(correct) {inside}), 0)")
+    return " + ".join(parts)
+
+
+@query("stream_health_alerts", "T11", f"""WITH RECURSIVE {PR}, z AS (SELECT model, CAST(floor(epoch(ts)) AS BIGINT) AS t, id, prob, correct, row_number() OVER (PARTITION BY model ORDER BY floor(epoch(ts)), id) AS n FROM prd),
+m AS (SELECT model, t, id, n, avg(correct) OVER w AS accuracy, {ece_sql()} AS ece FROM z WINDOW w AS (PARTITION BY model ORDER BY n ROWS 99 PRECEDING)),
+c AS MATERIALIZED (SELECT * FROM m WHERE n % 10 = 0 AND n >= 30 AND (accuracy < 0.5 OR ece > 0.15)),
+kept AS (SELECT model, min(n) AS n FROM c GROUP BY model UNION ALL SELECT c.model, min(c.n) FROM kept k JOIN c l ON l.model = k.model AND l.n = k.n JOIN c ON c.model = k.model AND c.n > k.n AND c.t >= l.t + 3600 GROUP BY c.model)
+SELECT model, t, id, round(accuracy, 6) AS accuracy, round(ece, 6) AS ece FROM c JOIN kept USING (model, n)""")
 def _(spark, d):
     return live.replay(live.health_alerts(pred_stream(spark, d).select("model", "t", "id", "prob", "correct")), "health").select("model", "t", "id", rnd("accuracy").alias("accuracy"), rnd("ece").alias("ece"))
 
@@ -139,7 +152,9 @@ def _(spark, d):
     return r.select("agent", "trade_idx", rnd("daily", 6).alias("daily_pnl"), losses.alias("losses"), F.when(losses >= 3, F.greatest(F.lit(0.25), F.pow(F.lit(0.5), (losses - 2).cast("double")))).otherwise(1.0).alias("size_factor"))
 
 
-@query("stream_loss_streaks", "T12")
+@query("stream_loss_streaks", "T12", """WITH x AS (SELECT event_type AS agent, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id AS id, value - 40 AS pnl FROM events),
+z AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY t, id) - 1 AS i FROM x), g AS (SELECT *, max(CASE WHEN pnl >= 0 THEN i END) OVER (PARTITION BY agent ORDER BY i ROWS UNBOUNDED PRECEDING) AS ok, sum(pnl) OVER (PARTITION BY agent, t // 86400 ORDER BY i ROWS UNBOUNDED PRECEDING) AS daily FROM z)
+SELECT agent, t, id, round(daily, 4) AS daily_pnl, CAST(i - coalesce(ok, -1) AS INT) AS losses, CASE WHEN i - coalesce(ok, -1) >= 3 THEN greatest(0.25, 0.5 ** (i - coalesce(ok, -1) - 2)) ELSE 1.0 END::DOUBLE AS size_factor FROM g""")
 def _(spark, d):
     x = event_stream(spark, d).select(F.col("event_type").alias("agent"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"), (F.col("value") - 40).alias("pnl"))
     return live.replay(live.loss_streaks(x), "streaks").select("agent", "t", "id", rnd("daily_pnl", 4).alias("daily_pnl"), "losses", "size_factor")
@@ -155,7 +170,24 @@ def pick_rows(spark, d):
                     direction.alias("direction"), F.col("value").alias("price"), *[c.alias(n) for n, c in lv.items()])
 
 
-@query("stream_picks", "T06 R13")
+PICK_SQL = """e AS MATERIALIZED (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id AS id, value AS price, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 97 THEN 'pick' ELSE 'price' END AS kind, CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS s,
+  row_number() OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+p AS MATERIALIZED (SELECT *, price * (1 + s * 20.0 * 1.5 / 100.0::DOUBLE) AS tp1, price * (1 + s * 20.0 * 3.0 / 100.0::DOUBLE) AS tp2, price * (1 + s * 20.0 * 4.5 / 100.0::DOUBLE) AS tp3, price * (1 + s * -1 * 20.0 * 1.5 / 100.0::DOUBLE) AS sl FROM e WHERE kind = 'pick')"""
+
+
+@query("stream_picks", "T06 R13", f"""WITH RECURSIVE {PICK_SQL}, tk AS (SELECT symbol, min(i) AS i FROM p GROUP BY symbol UNION ALL SELECT c.symbol, min(c.i) FROM tk k JOIN p l ON l.symbol = k.symbol AND l.i = k.i JOIN p c ON c.symbol = k.symbol AND c.i > k.i AND c.t - l.t >= 43200 GROUP BY c.symbol),
+a AS MATERIALIZED (SELECT p.* FROM p JOIN tk USING (symbol, i)), x AS (SELECT a.id AS pick, min(e.i) AS xi FROM a JOIN e ON e.symbol = a.symbol AND e.i > a.i AND e.t - a.t > 86400 GROUP BY a.id),
+h AS (SELECT a.id AS pick, a.symbol, e.i, e.t, a.s, (a.s * e.price >= a.s * a.tp1)::INT + (a.s * e.price >= a.s * a.tp2)::INT + (a.s * e.price >= a.s * a.tp3)::INT AS reached, a.s * e.price <= a.s * a.sl AS stop,
+  greatest(a.s * a.price, max(a.s * e.price) OVER w) AS best, least(a.s * a.price, min(a.s * e.price) OVER w) AS worst
+  FROM a JOIN e ON e.symbol = a.symbol AND e.i > a.i AND e.kind = 'price' LEFT JOIN x ON x.pick = a.id WHERE e.i < coalesce(xi, 9223372036854775807) WINDOW w AS (PARTITION BY a.id ORDER BY e.i ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, coalesce(max(reached) OVER (PARTITION BY pick ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was, min(CASE WHEN reached >= 1 THEN i END) OVER (PARTITION BY pick) AS hit, min(CASE WHEN stop THEN i END) OVER (PARTITION BY pick) AS si FROM h),
+lost AS (SELECT DISTINCT pick FROM r WHERE si < coalesce(hit, 9223372036854775807)), won AS (SELECT DISTINCT pick FROM r WHERE reached = 3 AND pick NOT IN (FROM lost)),
+lst AS (SELECT pick, max(was) FILTER (WHERE true) AS w0, max(reached) AS top, arg_max(best, i) AS best, arg_max(worst, i) AS worst FROM r GROUP BY pick),
+o AS (SELECT a.symbol, a.id, a.t, 'PENDING' AS status, a.s, a.s * a.price AS best, a.s * a.price AS worst, FALSE AS final FROM a
+UNION ALL SELECT symbol, pick, t, 'SL', s, best, worst, TRUE FROM r WHERE i = si AND pick IN (FROM lost)
+UNION ALL SELECT symbol, pick, t, 'TP' || reached, s, best, worst, reached = 3 FROM r WHERE reached > was AND pick NOT IN (FROM lost)
+UNION ALL SELECT a.symbol, a.id, e.t, CASE WHEN coalesce(top, 0) = 0 THEN 'EXPIRED' ELSE 'TP' || top END, a.s, coalesce(l.best, a.s * a.price), coalesce(l.worst, a.s * a.price), TRUE FROM a JOIN x ON x.pick = a.id JOIN e ON e.symbol = a.symbol AND e.i = x.xi LEFT JOIN lst l ON l.pick = a.id WHERE a.id NOT IN (FROM lost) AND a.id NOT IN (FROM won))
+SELECT symbol, id, t, status, round(s * best, 6) AS best, round(s * worst, 6) AS worst, final FROM o""")
 def _(spark, d):
     return live.replay(live.picks(pick_rows(spark, d)), "picks").select("symbol", "id", "t", "status", rnd("best").alias("best"), rnd("worst").alias("worst"), "final")
 
@@ -166,7 +198,9 @@ def _(spark, d):
     return live.replay(live.capped_picks(x), "cap").select("id", "t", "day")
 
 
-@query("stream_decisions", "T14")
+@query("stream_decisions", "T14", f"""WITH {PICK_SQL}, h AS (SELECT p.symbol, p.id, p.i AS pi, min(e.i) AS i FROM p JOIN e ON e.symbol = p.symbol AND e.kind = 'price' AND e.i > p.i AND (p.s * e.price >= p.s * p.tp1 OR p.s * e.price <= p.s * p.sl) GROUP BY ALL),
+o AS (SELECT h.symbol, h.id, e.t, h.pi, h.i, CASE WHEN p.s * e.price >= p.s * p.tp1 THEN 0.0 ELSE 1.0 END::DOUBLE AS saved FROM h JOIN p ON p.id = h.id JOIN e ON e.symbol = h.symbol AND e.i = h.i)
+SELECT symbol, id, t, CASE WHEN saved = 1 THEN 'SAVED FROM LOSS' ELSE 'MISSED PROFIT' END AS outcome, round(avg(saved) OVER (PARTITION BY symbol ORDER BY i, pi ROWS 99 PRECEDING), 6) AS accuracy FROM o""")
 def _(spark, d):
     return live.replay(live.decisions(pick_rows(spark, d)), "decisions").select("symbol", "id", "t", "outcome", rnd("accuracy").alias("accuracy"))
 
