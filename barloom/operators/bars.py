@@ -130,12 +130,12 @@ def cached_universe(bars: DataFrame, min_bars: int = 0, limit: int | None = None
     return enough if limit is None else enough.orderBy(F.desc("n_bars"), "symbol").limit(limit)
 
 
-def clean_bars(rows: DataFrame, numeric: Sequence[str] = ("open", "high", "low", "close", "volume")) -> DataFrame:
-    """Numbers from text where possible; rows with a missing number go; one row per key."""
+def clean_bars(rows: DataFrame, numeric: Sequence[str] = ("open", "high", "low", "close", "volume"), seq: str = "ingest_seq") -> DataFrame:
+    """Numbers from text where possible; rows with a missing number go; of equal bars the one ingested last stays."""
     cast = rows
     for c in numeric:
         cast = cast.withColumn(c, F.expr(f"try_cast(`{c}` AS double)"))
-    return cast.dropna(subset=list(numeric)).dropDuplicates(["symbol", "open_time"])
+    return normalize_bars(cast.dropna(subset=list(numeric)).withColumn("_seq", F.col(seq)), ["symbol", "open_time"], "_seq").drop("_seq")
 
 
 # Column spellings accepted for bars.

@@ -89,9 +89,9 @@ def _(spark, d):
 
 
 @query("cleaned_rows", "S12", """WITH r AS (SELECT user_id AS symbol, ts, event_id, try_cast(CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS close FROM events)
-SELECT symbol, count(*) AS n, round(sum(close), 4) AS total FROM r WHERE close IS NOT NULL GROUP BY symbol""")
+SELECT symbol, count(*) AS n, round(sum(close), 4) AS total FROM (SELECT symbol, ts, arg_max(close, event_id) AS close FROM r WHERE close IS NOT NULL GROUP BY symbol, ts) GROUP BY symbol""")
 def _(spark, d):
-    raw = table(spark, d, "events").select(F.col("user_id").alias("symbol"), F.col("ts").alias("open_time"), F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("close"))
+    raw = table(spark, d, "events").select(F.col("user_id").alias("symbol"), F.col("ts").alias("open_time"), F.col("event_id").alias("ingest_seq"), F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("close"))
     return B.clean_bars(raw, ["close"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("close"), 4).alias("total"))
 
 
@@ -111,9 +111,7 @@ def _(spark, d):
     doc = li.select("l_orderkey", F.to_json(F.array(F.struct(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"), F.when(F.col("l_linenumber") == 3, "bad").otherwise(F.col("l_extendedprice").cast("string")).alias("quoteVolume"),
         F.col("l_discount").cast("string").alias("priceChangePercent"), F.col("l_quantity").cast("string").alias("lastPrice"), F.col("l_tax").cast("string").alias("lowPrice")))).alias("doc"))
-    s = doc.select("l_orderkey", F.explode(F.from_json("doc", S.TICKER)).alias("s")).select(F.col("l_orderkey").alias("batch"), F.to_json(F.array("s")).alias("doc"))
-    t = s.select("batch", F.explode(F.from_json("doc", S.TICKER)).alias("s"))
-    return t.select("batch", "s.symbol", *[F.expr(f"try_cast(s.{k} AS double)").alias(v) for k, v in (("quoteVolume", "volume_24h"), ("priceChangePercent", "pct_24h"), ("lastPrice", "last_price"), ("lowPrice", "low_price"))])
+    return S.parse_tickers(doc.withColumnRenamed("l_orderkey", "batch"), "doc").select("batch", "symbol", "volume_24h", "pct_24h", "last_price", "low_price")
 
 
 def messages(spark, d):

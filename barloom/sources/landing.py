@@ -83,7 +83,12 @@ def archive_months(frame: DataFrame, end: Column, days: Column) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Monthly zip files named SYMBOL-interval-YYYY-MM.zip, each holding one CSV with or without header.
+    """Monthly zip files named SYMBOL-interval-YYYY-MM.zip below ``path``."""
+    return parse_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
+
+
+def parse_archives(files: DataFrame) -> DataFrame:
+    """Bars of zip files (path, content), each holding one CSV with or without header.
 
     A file is one bounded month of one symbol, so it fits a task.
     """
@@ -96,8 +101,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         raw = pd.read_csv(z.open(name), header=None, names=list(ARCHIVE_COLUMNS), dtype=str)
                         yield raw.assign(symbol=symbol, interval=interval, source=f"{p}!{name}")
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    text = files.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in ARCHIVE_COLUMNS) + ", symbol string, interval string, source string")
+    text = files.select("path", "content").mapInPandas(unpack, ", ".join(f"`{c}` string" for c in ARCHIVE_COLUMNS) + ", symbol string, interval string, source string")
     num = {c: F.expr(f"try_cast(`{c}` AS double)") for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote")}
     ms = {c: F.timestamp_millis(F.expr(f"try_cast(`{c}` AS bigint)")) for c in ("open_time", "close_time")}
     # the header row is the one whose time is no number
@@ -126,9 +130,10 @@ def parse_exchange_info(rows: DataFrame, json_col: str) -> DataFrame:
 
 def parse_tickers(rows: DataFrame, json_col: str) -> DataFrame:
     """24 h statistics; numbers arrive as text, bad ones become NULL."""
-    s = rows.select(F.explode(F.from_json(json_col, TICKER)).alias("s")).select("s.*")
+    rest = [c for c in rows.columns if c != json_col]
+    s = rows.select(*rest, F.explode(F.from_json(json_col, TICKER)).alias("s")).select(*rest, "s.*")
     num = {"quoteVolume": "volume_24h", "priceChangePercent": "pct_24h", "lastPrice": "last_price", "highPrice": "high_price", "lowPrice": "low_price"}
-    return s.select("symbol", *[F.expr(f"try_cast({k} AS double)").alias(v) for k, v in num.items()])
+    return s.select(*rest, "symbol", *[F.expr(f"try_cast({k} AS double)").alias(v) for k, v in num.items()])
 
 
 def bar_field(json_col: str, name: str, kind: str = "double") -> Column:
@@ -206,9 +211,15 @@ def first_copy(copies: Sequence[DataFrame], key: str) -> DataFrame:
     return u.groupBy(key).agg(F.min_by(F.struct(*rest), "_copy").alias("r")).select(key, "r.*")
 
 
-def read_log(spark: SparkSession, paths: Sequence[str], key: str) -> DataFrame:
-    """Prediction log from its copies; broken files are skipped."""
-    return first_copy([spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(p) for p in paths], key)
+def read_log(spark: SparkSession, paths: Sequence[str], key: str, schema: str) -> DataFrame:
+    """Prediction log from its copies; broken and missing files are skipped. The schema is given, as a broken copy tells none."""
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return first_copy([reader.parquet(p) for p in paths], key)
+
+
+def append_audit_log(log: DataFrame, path: str) -> None:
+    """Append trade rows with their derived columns, by day of entry; earlier rows are never touched."""
+    audit_columns(log).withColumn("day", F.to_date("entry_time")).write.mode("append").parquet(path)
 
 
 def audit_columns(log: DataFrame) -> DataFrame:

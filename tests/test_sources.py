@@ -45,3 +45,27 @@ def test_audit_reports_broken_and_incomplete_files(spark, tmp_path):
 
 def test_report_table_is_text(spark):
     assert L.markdown_table(spark.sql("select 1 as a, 2.5D as b, cast(null as int) as c")).splitlines()[-1] == "| 1 | 2.50 | n/a |"
+
+
+def test_cleaned_bars_keep_the_last_ingested(spark):
+    from barloom.operators.bars import clean_bars
+    rows = spark.createDataFrame([("a", 1, "1.0", 1), ("a", 1, "2.0", 3), ("a", 1, "n/a", 4), ("a", 2, "5", 2)], "symbol string, open_time long, close string, ingest_seq long")
+    assert sorted((r.open_time, r.close) for r in clean_bars(rows, ["close"]).collect()) == [(1, 2.0), (2, 5.0)]
+
+
+def test_a_fold_gives_equal_rows_however_the_stream_is_cut(spark, tmp_path):
+    from barloom.streaming import live
+    from barloom.streaming.fold import use_rocksdb
+    use_rocksdb(spark)
+    rows = [("a" if i % 3 else "b", i, i, float(i % 7)) for i in range(60)]
+    schema = "symbol string, t long, seq long, value double"
+
+    def replayed(cuts: int) -> list:
+        path = str(tmp_path / f"in{cuts}")
+        for k in range(cuts):
+            part = rows[k * len(rows) // cuts:(k + 1) * len(rows) // cuts]
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/f={k:02d}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        return sorted(map(tuple, live.replay(live.rate_history(stream, 10), "cut").collect()))
+
+    assert replayed(1) == replayed(4) and len(replayed(3)) == len(rows)
