@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
-from barloom.operators.series import ema, over_chunks
+from barloom.operators.series import ema, index_series, over_chunks
 from barloom.session import settle
 
 # Quote suffix, stable-coin parts, excluded bases and anchors.
@@ -197,17 +197,19 @@ def best_per_symbol(rows: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def category_split(rows: DataFrame, anchors: Sequence[str], share: float = 0.4, least: int = 10) -> DataFrame:
-    """anchor / quality / volatile: the rest splits by volume at max(least, share).
-
-    The cut is a count-th order statistic, found by an ordered limit instead of a global rank.
-    """
+    """anchor / quality / volatile: the rest splits by volume at max(least, share)."""
     rest = rows.filter(~F.col("symbol").isin(*anchors))
-    n = rest.count()
-    cut = max(least, int(n * share))
-    quality = rest.select("symbol", "volume_24h").orderBy(F.desc("volume_24h"), "symbol").limit(cut).select("symbol", F.lit("quality").alias("category"))
-    others = rest.select("symbol").join(quality, "symbol", "left_anti").withColumn("category", F.lit("volatile"))
+    cut = F.greatest(F.lit(least), F.floor(rest.agg(F.count(F.lit(1)).alias("n")).scalar() * share))
+    split = volume_rank(rest).select("symbol", F.when(F.col("rank") <= cut, "quality").otherwise("volatile").alias("category"))
     anchor = rows.filter(F.col("symbol").isin(*anchors)).select("symbol", F.lit("anchor").alias("category"))
-    return quality.unionByName(others).unionByName(anchor)
+    return split.unionByName(anchor)
+
+
+def volume_rank(rows: DataFrame, volume: str = "volume_24h") -> DataFrame:
+    """Symbols with their rank by volume (from 1); volumes of one sixteenth of an octave are sorted in one task."""
+    octave = F.coalesce(F.floor(F.log2(F.col(volume)) * -16), F.lit(2**31))
+    n = index_series(rows.select("symbol", volume), [], [F.desc(volume), F.col("symbol")], [octave], out="rank")
+    return n.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 # -- correlation ----------------------------------------------------------------------------------

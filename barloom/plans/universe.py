@@ -227,11 +227,8 @@ prs AS MATERIALIZED (SELECT a.symbol AS sym_a, a.rank AS rank_a, b.symbol AS sym
 
 
 def ranked_candidates(spark, d):
-    """All symbols by volume; volumes of one sixteenth of an octave are numbered together."""
-    v = snapshot(spark, d).select("symbol", F.round("volume_24h", 4).alias("volume_24h"))
-    octave = F.coalesce(F.floor(F.log2("volume_24h") * -16), F.lit(2**31))
-    n = index_series(v, [], [F.desc("volume_24h"), F.col("symbol")], [octave], out="rank")
-    return n.select("symbol", (F.col("rank") + 1).cast("int").alias("rank"))
+    """All symbols by volume."""
+    return U.volume_rank(snapshot(spark, d).select("symbol", F.round("volume_24h", 4).alias("volume_24h"))).select("symbol", "rank")
 
 
 def pairs(spark, d):

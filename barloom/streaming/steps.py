@@ -187,21 +187,26 @@ def daily_cap(limit: int = 20):
     return step
 
 
-def decision_outcome():
-    """Vetoed decisions of a symbol: did the price then run to the target or to the stop."""
+def decision_outcome(life: float = 30 * 86400.0):
+    """Vetoed decisions of a symbol: did the price then run to the target or to the stop.
+
+    A decision that neither reached within ``life`` seconds is given out as expired, so the state does not grow without end.
+    """
     def step(s: dict, r: dict) -> tuple[dict, list[tuple]]:
         waiting, hits = s.get("open", []), s.get("hits", [])
         if r["kind"] == "pick":
-            return {"open": [*waiting, [r["id"], r["direction"] == "BULLISH", r["tp1"], r["sl"]]], "hits": hits}, []
+            return {"open": [*waiting, [r["id"], r["direction"] == "BULLISH", r["tp1"], r["sl"], r["t"]]], "hits": hits}, []
         out, left = [], []
-        for pid, up, tp, sl in waiting:
+        for pid, up, tp, sl, at in waiting:
             sign = 1 if up else -1
-            if sign * r["price"] >= sign * tp or sign * r["price"] <= sign * sl:
+            if r["t"] - at > life:
+                out.append((pid, r["t"], "EXPIRED", float(np.mean(hits)) if hits else None))
+            elif sign * r["price"] >= sign * tp or sign * r["price"] <= sign * sl:
                 saved = not sign * r["price"] >= sign * tp
                 hits = [*hits, float(saved)][-100:]
                 out.append((pid, r["t"], "SAVED FROM LOSS" if saved else "MISSED PROFIT", float(np.mean(hits))))
             else:
-                left.append([pid, up, tp, sl])
+                left.append([pid, up, tp, sl, at])
         return {"open": left, "hits": hits}, out
     return step
 
