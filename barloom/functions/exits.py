@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from barloom.functions.scores import top_score, wave_score
+
 SL, TP, TIMEOUT = 0, 1, 2
 LABELS = np.array(["SL", "TP", "TIMEOUT"])
 
@@ -130,10 +132,8 @@ def adaptive_exit(path: dict, first: dict, entry, atr, stop, bank: float, fracti
         dd, up = np.fmax(peak - b["close"], 0) / a, np.fmax(peak - e, 0) / a
         since = np.maximum(j + 1 - peak_off, 0)
         scale = material if material > 0 else 1e-12
-        wave = 100 * (0.28 * _c((b["participation"] - 45) / 45) + 0.22 * _c((b["taker_slope"] + 0.02) / 0.10)
-                      + 0.18 * _c((b["win_prob"] - 0.35) / 0.35) + 0.18 * _c((b["trend"] + 0.15) / 0.60) + 0.14 * (1 - _c(dd / scale)))
-        risk = 100 * (0.22 * _c((up - 1.5) / 3) + 0.20 * _c(dd / scale) + 0.18 * _c(peak_vr - b["volume_ratio"])
-                      + 0.14 * _c((peak_qs - b["quote_slope"]) / 0.10) + 0.14 * _c((b["exhaustion"] - 45) / 55) + 0.12 * _c(since / 6))
+        wave = wave_score(b, dd / scale, _c)
+        risk = top_score(up, dd / scale, peak_vr - b["volume_ratio"], peak_qs - b["quote_slope"], b["exhaustion"], since, _c)
         risky = _c((risk - 55) / 35)
         tight = (0.32 * risky + 0.20 * _c((65 - wave) / 35) + 0.18 * _c((b["exhaustion"] - 55) / 35) + 0.15 * _c((0.60 - b["close_pos"]) / 0.60)
                  + 0.15 * np.fmax(_c((b["upper_wick"] - 0.30) / 0.45), _c(since / 8)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
+from barloom.functions.scores import WAVE_PARTS, top_score, wave_score
 from barloom.operators.labels import forward_bars
 from barloom.operators.series import Frames, carry_last, over_chunks
 
@@ -44,18 +45,12 @@ def bar_context(bars: DataFrame, trend: Column | None = None, win_prob: Column |
 
 
 def wave_strength(drawdown: Column, scale: float, g=F.col) -> Column:
-    return 100.0 * (
-        0.28 * R.clip01((g("participation") - 45.0) / 45.0) + 0.22 * R.clip01((g("taker_slope") + 0.02) / 0.10)
-        + 0.18 * R.clip01((g("win_prob") - 0.35) / 0.35) + 0.18 * R.clip01((g("trend") + 0.15) / 0.60)
-        + 0.14 * (1.0 - R.clip01(drawdown / max(scale, 1e-12))))
+    return wave_score({p: g(p) for p in WAVE_PARTS}, drawdown / max(scale, 1e-12), R.clip01)
 
 
 def top_risk(runup: Column, drawdown: Column, scale: float, vol_decay: Column, quote_decay: Column,
              since_peak: Column, g=F.col) -> Column:
-    return 100.0 * (
-        0.22 * R.clip01((runup - 1.5) / 3.0) + 0.20 * R.clip01(drawdown / max(scale, 1e-12))
-        + 0.18 * R.clip01(-vol_decay) + 0.14 * R.clip01(-quote_decay / 0.10)
-        + 0.14 * R.clip01((g("exhaustion") - 45.0) / 55.0) + 0.12 * R.clip01(since_peak / 6.0))
+    return top_score(runup, drawdown / max(scale, 1e-12), -vol_decay, -quote_decay, g("exhaustion"), since_peak, R.clip01)
 
 
 def episode_path(starts: DataFrame, ctx: DataFrame, horizon: int, material: float = 1.0) -> DataFrame:
