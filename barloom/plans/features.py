@@ -194,11 +194,11 @@ dm AS MATERIALIZED (SELECT symbol, bar_idx, tr AS tra, CASE WHEN bar_idx = 0 THE
 {sql_ema('ta', 'dm', 'tr0', 14)}, {sql_ema('pe', 'dm', 'pdm', 14)}, {sql_ema('me', 'dm', 'mdm', 14)}, {sql_ema('atx', 'dm', 'tra', 14)},
 dx AS MATERIALIZED (SELECT symbol, bar_idx, coalesce(100 * abs(p - m) / nullif(p + m, 0), 0) AS dx FROM (SELECT ta.symbol, ta.bar_idx, coalesce(100 * pe.y / nullif(ta.y, 0), 0) AS p, coalesce(100 * me.y / nullif(ta.y, 0), 0) AS m FROM ta JOIN pe USING (symbol, bar_idx) JOIN me USING (symbol, bar_idx))), {sql_ema('ad', 'dx', 'dx', 14)},
 {sql_recur('ru', 'dm', 'g0', '(p.y * 13 + b.gain) / 14', 'bar_idx = 14')}, {sql_recur('rd', 'dm', 'l0', '(p.y * 13 + b.loss) / 14', 'bar_idx = 14')},
-k0 AS (SELECT b.*, avg(close) OVER {last(20)} AS m20, avg(close) OVER {last(50)} AS m50, stddev_pop(close) OVER {last(20)} AS s20, close / nullif(lag(close) OVER ({W}), 0) - 1 AS ret,
+k0 AS (SELECT b.*, coalesce(close - lag(close) OVER ({W}), 0) AS dc, coalesce((2 * sum(taker_buy_base) OVER {last(10)} - sum(volume) OVER {last(10)}) / (sum(volume) OVER {last(10)} + 1e-8), 0) AS tim, avg(close) OVER {last(20)} AS m20, avg(close) OVER {last(50)} AS m50, stddev_pop(close) OVER {last(20)} AS s20, close / nullif(lag(close) OVER ({W}), 0) - 1 AS ret,
   CASE WHEN bar_idx >= 13 THEN coalesce(100.0 * (close - min(low) OVER {last(14)}) / nullif(max(high) OVER {last(14)} - min(low) OVER {last(14)}, 0), 50.0) ELSE 50.0 END AS k FROM bars b),
 k1 AS (SELECT *, CASE WHEN bar_idx >= 15 THEN avg(k) OVER {last(3)} ELSE k END AS d, CASE WHEN bar_idx >= 19 AND s20 > 0 THEN (close - m20 + 2 * s20) / (4 * s20) ELSE 0.5 END AS bb, CASE WHEN bar_idx >= 20 THEN stddev_pop(coalesce(ret, 0)) OVER {last(20)} ELSE 0 END AS vola,
-  coalesce(volume / nullif(avg(volume) OVER {last(20)}, 0), 1) AS vr, {', '.join(f'coalesce(close / nullif(lag(close, {n}) OVER ({W}), 0) - 1, 0) AS mo{n}' for n in (5, 10, 20))} FROM k0),
-an0 AS (SELECT k1.*, mc.macd AS ml, sg.y AS sgl, atx.y AS atr, ad.y AS adx, CASE WHEN ru.y IS NULL THEN 50.0 WHEN rd.y = 0 THEN 100.0 ELSE 100 - 100 / (1 + ru.y / rd.y) END AS rsi FROM k1 JOIN mc USING (symbol, bar_idx) JOIN sg USING (symbol, bar_idx) JOIN atx USING (symbol, bar_idx) JOIN ad USING (symbol, bar_idx) LEFT JOIN ru USING (symbol, bar_idx) LEFT JOIN rd USING (symbol, bar_idx)),
+  coalesce(volume / nullif(avg(volume) OVER {last(20)}, 0), 1) AS vr, {', '.join(f'coalesce(close / nullif(lag(close, {n}) OVER ({W}), 0) - 1, 0) AS mo{n}' for n in (5, 10, 20, 50))}, list(dc) OVER {last(13)} AS ds, list(volume) OVER {last(13)} AS vs FROM k0),
+an0 AS (SELECT k1.*, CASE WHEN k1.bar_idx >= 13 AND list_stddev_pop(list_append(ds, 0.0)) > 0 AND list_sum(vs) > 0 THEN abs(list_sum(list_transform(list_zip(ds, vs), lambda z: z[2] * tanh(z[1] / list_stddev_pop(list_append(ds, 0.0)) * 0.79788456)))) / list_sum(vs) ELSE 0.5 END AS vpin, mc.macd AS ml, sg.y AS sgl, atx.y AS atr, ad.y AS adx, CASE WHEN ru.y IS NULL THEN 50.0 WHEN rd.y = 0 THEN 100.0 ELSE 100 - 100 / (1 + ru.y / rd.y) END AS rsi FROM k1 JOIN mc USING (symbol, bar_idx) JOIN sg USING (symbol, bar_idx) JOIN atx USING (symbol, bar_idx) JOIN ad USING (symbol, bar_idx) LEFT JOIN ru USING (symbol, bar_idx) LEFT JOIN rd USING (symbol, bar_idx)),
 an1 AS (SELECT *, CASE WHEN rsi > 70 THEN 20 WHEN rsi < 30 THEN -20 WHEN rsi > 50 THEN 10 ELSE -10 END + CASE WHEN ml > sgl AND ml - sgl > 0 THEN 20 WHEN ml < sgl AND ml - sgl < 0 THEN -20 ELSE 0 END + CASE WHEN close > m20 AND m20 > m50 THEN 20 WHEN close < m20 AND m20 < m50 THEN -20 ELSE 0 END
   + CASE WHEN bb > 0.8 THEN 10 WHEN bb < 0.2 THEN -10 ELSE 0 END + CASE WHEN k > 80 AND d > 80 THEN 10 WHEN k < 20 AND d < 20 THEN -10 ELSE 0 END AS trend_score FROM an0),
 an AS MATERIALIZED (SELECT *, split_part(symbol, '|', 1) AS sym, split_part(symbol, '|', 2) AS interval, CASE WHEN trend_score > 30 THEN 'BULLISH' WHEN trend_score < -30 THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend, CAST(floor(round(least(100.0, abs(trend_score) * adx / 25), 9)) AS INT) AS strength FROM an1)"""
@@ -209,11 +209,13 @@ def analysis(spark, d):
 
 
 @query("timeframe_analysis", "E23", f"""WITH RECURSIVE {AN_SQL} SELECT sym AS symbol, interval, bar_idx, trend_score, trend, strength, round(rsi, 5) AS rsi, round(ml - sgl, 5) AS macd, round(bb, 5) AS bb_position, round(adx, 5) AS adx, round(atr, 5) AS atr, round(k, 5) AS k, round(d, 5) AS d, round(vola, 5) AS volatility, round(vr, 5) AS volume_ratio,
-  round(m20 - m50, 8) AS mean_shift, {', '.join(f'round(mo{n}, 5) AS momentum_{n}' for n in (5, 10, 20))} FROM an""")
+  round(m20 - m50, 8) AS mean_shift, {', '.join(f'round(mo{n}, 5) AS momentum_{n}' for n in (5, 10, 20, 50))}, round(close, 5) AS price, round(volume, 5) AS volume,
+  round(coalesce((atr - lag(atr, 9) OVER ({W})) / nullif(atr, 0), 0), 5) AS volatility_accel, round(coalesce(abs(m20 - m50) / nullif(atr, 0), 0), 4) AS trend_strength, round(vpin, 5) AS vpin, round(tim, 5) AS taker_imbalance FROM an""")
 def _(spark, d):
     # means over 8, 16, 32 or 40 prices have up to seven decimals: at eight no value lies between two roundings
-    shown = ["rsi", "macd", "bb_position", "adx", "atr", "k", "d", "volatility", "volume_ratio", "momentum_5", "momentum_10", "momentum_20"]
-    return analysis(spark, d).select("symbol", "interval", "bar_idx", "trend_score", "trend", "strength", rnd("mean_shift", 8).alias("mean_shift"), *[rnd(c, 5).alias(c) for c in shown])
+    shown = ["rsi", "macd", "bb_position", "adx", "atr", "k", "d", "volatility", "volume_ratio", "momentum_5", "momentum_10", "momentum_20", "momentum_50", "price", "volume", "volatility_accel", "vpin",
+             "taker_imbalance"]
+    return analysis(spark, d).select("symbol", "interval", "bar_idx", "trend_score", "trend", "strength", rnd("mean_shift", 8).alias("mean_shift"), rnd("trend_strength", 4).alias("trend_strength"), *[rnd(c, 5).alias(c) for c in shown])
 
 
 TFW = {"1h": 0.2, "2h": 0.3, "4h": 0.5}
@@ -236,23 +238,25 @@ def tf_columns(spark, d):
 
 
 PIV = f"""{AN_SQL}, l AS (SELECT *, ml - sgl AS hist FROM an QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) = 1), p AS (SELECT x.sym AS symbol, x.rsi AS ar, y.rsi AS br, z.rsi AS cr, x.hist AS ah, y.hist AS bh, z.hist AS ch, x.bb AS ab, y.bb AS bb, x.adx AS aa, y.adx AS ba, x.atr AS ata, y.atr AS bt, z.atr AS ct, x.strength AS asx, y.strength AS bs,
-  x.volume AS av, y.volume AS bv, z.volume AS cv, x.close AS ap, y.close AS bp, z.close AS cp, x.trend AS atd FROM l x JOIN l y ON y.sym = x.sym AND y.interval = '2h' JOIN l z ON z.sym = x.sym AND z.interval = '4h' WHERE x.interval = '1h')"""
+  x.volume AS av, y.volume AS bv, z.volume AS cv, x.close AS ap, y.close AS bp, z.close AS cp, x.trend AS atd, x.vpin AS avp, y.vpin AS bvp FROM l x JOIN l y ON y.sym = x.sym AND y.interval = '2h' JOIN l z ON z.sym = x.sym AND z.interval = '4h' WHERE x.interval = '1h')"""
 
 
-@query("cross_timeframe_deltas", "F14", f"""WITH RECURSIVE {PIV} SELECT symbol, round(ar - br, 5) AS rsi_delta, round(ah - bh, 5) AS macd_delta, round(ab - bb, 5) AS bb_position_delta, round(aa - ba, 5) AS adx_delta, round(ata - bt, 5) AS atr_delta, (asx - bs)::INT AS strength_delta, round(av / greatest(bv, 1e-8) - 1, 5) AS volume_delta, round(br - cr, 5) AS rsi_accel, round(bh - ch, 5) AS macd_accel FROM p""")
+@query("cross_timeframe_deltas", "F14", f"""WITH RECURSIVE {PIV} SELECT symbol, round(ar - br, 5) AS rsi_delta, round(ah - bh, 5) AS macd_delta, round(ab - bb, 5) AS bb_position_delta, round(aa - ba, 5) AS adx_delta, round(ata - bt, 5) AS atr_delta, (asx - bs)::INT AS strength_delta, round(av / greatest(bv, 1e-8) - 1, 5) AS volume_delta, round(br - cr, 5) AS rsi_accel, round(bh - ch, 5) AS macd_accel, round(avp - bvp, 5) AS vpin_delta FROM p""")
 def _(spark, d):
     c = X.cross_deltas({"5m": F.col("a"), "15m": F.col("b"), "1h": F.col("c")})
-    return rounded(tf_columns(spark, d).select("symbol", *[v.alias(k) for k, v in c.items() if k != "vpin_delta"]), 5)
+    return rounded(tf_columns(spark, d).select("symbol", *[v.alias(k) for k, v in c.items()]), 5)
 
 
-@query("spike_reversal_block", "E22", f"""WITH RECURSIVE {PIV}, q AS (SELECT *, CASE WHEN cp > 0 THEN (ap / cp - 1) * 100 ELSE 0 END AS mv, least(10, asx // 10) AS run FROM p)
-SELECT symbol, round(least(50, mv), 4) AS spike, round(CASE WHEN av / nullif(cv, 0) > 1.5 THEN least(10.0, av / cv) ELSE 0 END, 5) AS volume_spike, round(CASE WHEN ar > 70 THEN (ar - 70) / 30 ELSE 0 END, 5) AS overbought, round(least(5.0, ata / ((bt + ct) / 2)), 5) AS atr_spike, round(least(50, abs(least(0, mv))), 4) AS dump, round(abs(least(0, cr - ar)) / 50, 5) AS rsi_fall,
-  CASE WHEN ah < 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS macd_bearish, CAST((ap - cp) / nullif(cp, 0) < -0.01 AND ar - cr > 0.02 AS INT) AS divergence, CAST(ah > bh AND bh < 0 AS INT) AS macd_turn, round(CASE WHEN ab < 0.2 THEN greatest(0, (0.2 - ab) / 0.2) ELSE 0 END, 5) AS band_bounce, CAST(CASE WHEN atd = 'BULLISH' THEN run ELSE 0 END AS INT) AS green_run, CAST(CASE WHEN atd = 'BEARISH' THEN run ELSE 0 END AS INT) AS red_run FROM q""")
+@query("spike_reversal_block", "E22", f"""WITH RECURSIVE {PIV}, q AS (SELECT *, CASE WHEN cp > 0 THEN (ap / cp - 1) * 100 ELSE 0 END AS mv, least(10, asx // 10) AS run FROM p),
+q2 AS (SELECT *, CAST(CASE WHEN atd = 'BULLISH' THEN run ELSE 0 END AS INT) AS gr, CAST(CASE WHEN atd = 'BEARISH' THEN run ELSE 0 END AS INT) AS rr, CASE WHEN ar < 30 THEN (30 - ar) / 30 ELSE 0.0 END AS un, list_filter([CASE WHEN bp > 0 THEN (ap - bp) / bp * 100 END, CASE WHEN cp > 0 THEN (bp - cp) / cp * 100 END], lambda v: v < 0) AS fl FROM q)
+SELECT symbol, round(ab, 5) AS band_top, round(coalesce(least(1.0, greatest(0, (cv - av) / nullif(av, 0))), 0), 5) AS exhaustion, round(least(10.0, coalesce(-list_avg(fl), 0)), 5) AS dump_speed, round(un, 5) AS oversold, round(least(1.0, least(50, mv) / 50 * 0.3 + least(50, abs(least(0, mv))) / 20 * 0.3 + un * 0.4), 4) AS pattern,
+  round(CASE WHEN rr >= 5 THEN 1.0 ELSE rr / 5 END, 5)::DOUBLE AS red_share, round(CASE WHEN gr >= 3 THEN 1.0 ELSE gr / 3 END, 5)::DOUBLE AS green_share, round(least(50, mv), 4) AS spike, round(CASE WHEN av / nullif(cv, 0) > 1.5 THEN least(10.0, av / cv) ELSE 0 END, 5) AS volume_spike, round(CASE WHEN ar > 70 THEN (ar - 70) / 30 ELSE 0 END, 5) AS overbought, round(least(5.0, ata / ((bt + ct) / 2)), 5) AS atr_spike, round(least(50, abs(least(0, mv))), 4) AS dump, round(abs(least(0, cr - ar)) / 50, 5) AS rsi_fall,
+  CASE WHEN ah < 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS macd_bearish, CAST((ap - cp) / nullif(cp, 0) < -0.01 AND ar - cr > 0.02 AS INT) AS divergence, CAST(ah > bh AND bh < 0 AS INT) AS macd_turn, round(CASE WHEN ab < 0.2 THEN greatest(0, (0.2 - ab) / 0.2) ELSE 0 END, 5) AS band_bounce, gr AS green_run, rr AS red_run FROM q2""")
 def _(spark, d):
     t = tf_columns(spark, d)
     c = X.spike_block({"5m": F.col("a"), "15m": F.col("b"), "1h": F.col("c"), "4h": F.col("c")})
-    names = ["spike", "volume_spike", "overbought", "atr_spike", "dump", "rsi_fall", "macd_bearish", "divergence", "macd_turn", "band_bounce", "green_run", "red_run"]
-    return t.select("symbol", *[rnd(c[k], 4 if k in ("spike", "dump") else 5).alias(k) if k not in ("divergence", "macd_turn", "green_run", "red_run") else c[k].cast("int").alias(k) for k in names])
+    whole = ("divergence", "macd_turn", "green_run", "red_run")
+    return t.select("symbol", *[v.cast("int").alias(k) if k in whole else rnd(v, 4 if k in ("spike", "dump", "pattern") else 5).alias(k) for k, v in c.items()])
 
 
 ADJ_SQL = f"""{sql_bars(86400, True)}, rk AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS rank FROM bars GROUP BY symbol), ret AS MATERIALIZED (SELECT * FROM (SELECT symbol, t, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS r FROM bars) WHERE r IS NOT NULL),
