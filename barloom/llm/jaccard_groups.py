@@ -110,14 +110,15 @@ def fingerprints(docs: DataFrame, rule: JaccardRule) -> DataFrame:
 
 def candidates(classes: DataFrame, rule: JaccardRule) -> DataFrame:
     """(key, token): the tokens of each class's prefix that another class holds."""
-    tokens = classes.select("key", "n", F.size("first").alias("kept"), F.explode("first").alias("token")).repartition("token")
+    sizes = classes.select("key", "n", F.size("first").alias("kept")).distinct()
+    tokens = classes.select("key", F.explode("first").alias("token")).repartition("token")
     held = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     shared = tokens.join(held, "token")
     # hashes are unsigned: the upper half of the range are negative longs
     token, low = F.col("token"), rule.low()
     counted = (token >= 0) & (token < low) if low < 2**63 else (token >= 0) | (token < low - 2**64)
     rank = F.struct(F.when(counted, F.col("held")).otherwise(2**62).alias("held"), "token")
-    lists = shared.groupBy("key").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.sort_array(F.collect_list(rank)).alias("shared"))
+    lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(rank)).alias("shared")).join(sizes, "key")
     take = F.expr(f"n + 1 - ceil({rule.percent} * n / 100) - (kept - size(shared))").cast("int")
     return lists.withColumn("take", take).filter("take > 0").select("key", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("s")).select("key", "s.token")
 
@@ -248,8 +249,9 @@ def joined(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text
     slim = prints.select("doc_id", "n", "key")
     ids = settle(slim.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # copies other than the first are taken out by (key, doc_id), which is small where there are few copies
-    again = slim.join(ids.filter("copies > 1"), "key").filter("doc_id <> rep").select("key", "doc_id")
-    classes = prints.filter("key IS NOT NULL").join(again, ["key", "doc_id"], "left_anti")
+    again = settle(slim.join(ids.filter("copies > 1"), "key").filter("doc_id <> rep").select("key", "doc_id").distinct(), "again")
+    few = again.count() <= BROADCAST_ROWS
+    classes = prints.filter("key IS NOT NULL").join(F.broadcast(again) if few else again, ["key", "doc_id"], "left_anti")
     edges = links(docs, classes, rule, block)
     nodes = settle(components(edges), "nodes")
     named = nodes.join(ids.select(F.col("key").alias("node"), "rep"), "node")
