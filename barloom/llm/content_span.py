@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.samples import smallest
+
 #: Bound of the labelled pages that the weights are counted on, and of the tag names kept.
 FIT_PAGES, FIT_TAGS = 2000, 200
 
@@ -178,10 +180,7 @@ def trained(pages: DataFrame, key: str = "page_id", page: str = "html", fit_page
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
                                           pa.array([total[k] for k in keys], pa.int64())], names=["tag", "inside", "n"])
 
-    least = pages.select(F.xxhash64(key).alias("h")).orderBy("h").limit(fit_pages).agg(F.max("h")).first()[0]
-    if least is None:
-        return Weights()
-    sample = pages.filter(F.xxhash64(key) <= least).select(page)
+    sample = smallest(pages.select(key, page), F.col(key), fit_pages).select(page)
     rows = sample.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n")).orderBy(
         F.col("n").desc(), "tag", "inside").limit(FIT_TAGS).collect()
     return weights_of({(r["tag"], r["inside"]): r["n"] for r in rows})

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.samples import smallest
 from barloom.session import settle
 
 #: Bounds of the fit: vectors, queries for the calibration, centroids a half, and the recall aimed at.
@@ -116,10 +117,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def fitted(entries: DataFrame, width: int, near: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Centroids of both halves and the share to open, from at most FIT_ROWS entries with the smallest hashes."""
-    sample = entries.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("vector").toArrow()
+    total = entries.count()
+    sample = smallest(entries.select("key", "vector"), F.col("key"), FIT_ROWS, total).select("vector").toArrow()
     units = unit(stacked(sample["vector"], width))
     half = max(1, width // 2)
-    k = int(min(MOST_CENTROIDS, max(4, (entries.count() / 200) ** 0.5), len(units)))
+    k = int(min(MOST_CENTROIDS, max(4, (total / 200) ** 0.5), len(units)))
     first, second = centroids(units[:, :half], k), centroids(units[:, half:], k)
     return first, second, needed_share(units, first, second, near, RECALL)
 

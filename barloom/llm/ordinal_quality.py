@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.samples import smallest
 from barloom.llm.text import words_of
 
 DIMS = 1 << 16
@@ -145,10 +146,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame, ratings: DataFrame, levels: int = 3, fit_rows: int = FIT_ROWS, text: str = "text") -> OrdinalModel:
     """Model of at most ``fit_rows`` labelled rows, those with the smallest hashes of the id, an even share for each grade."""
-    rank = F.xxhash64(F.lit(7), "doc_id")
+    counts = {r["grade"]: r["count"] for r in ratings.groupBy("grade").count().collect()}
     some = None
     for g in range(levels):
-        part = ratings.filter(F.col("grade") == g).orderBy(rank, "doc_id").limit(fit_rows // levels)
+        part = smallest(ratings.filter(F.col("grade") == g), F.col("doc_id"), fit_rows // levels, counts.get(g, 0))
         some = part if some is None else some.unionByName(part)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
