@@ -62,3 +62,17 @@ def assign_windows(rows: DataFrame, windows: DataFrame, at: str, lo: str, hi: st
     w = windows.withColumn("_blk", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
     return (rows.withColumn("_blk", F.floor(F.col(at) / width)).join(w, "_blk")
             .filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_blk"))
+
+
+def contains_join(texts: DataFrame, words: DataFrame, text: str, word: str) -> DataFrame:
+    """Pairs of a text and a word that it contains, whatever the case, as an equi join.
+
+    Every distinct stretch of a text that is as long as some word is a join key; words have few
+    lengths, so a text gives at most its length times that number of keys. Empty words match nothing.
+    """
+    table = words.filter(F.length(word) > 0).withColumn("_w", F.lower(word))
+    sizes = table.agg(F.collect_set(F.length("_w")).alias("n"))
+    low = texts.withColumn("_t", F.lower(text)).withColumn("_n", F.explode(sizes.scalar())).filter(F.length("_t") >= F.col("_n"))
+    starts = F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1)
+    keys = F.array_distinct(F.transform(starts, lambda i: F.substr("_t", i, F.col("_n"))))
+    return low.withColumn("_w", F.explode(keys)).drop("_t", "_n").join(table, "_w").drop("_w")

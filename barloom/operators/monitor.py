@@ -173,6 +173,11 @@ def news_sentiment(headlines: DataFrame, cap: int | None = None) -> tuple[DataFr
     return g, long.select("ticker", F.col("sentiment").alias("s")).groupBy("ticker").agg(*measures)
 
 
+def first_headlines(headlines: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` headlines in order ``seq``."""
+    return headlines.orderBy("seq").limit(n)
+
+
 def fills(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Filled quantity, volume-weighted price and progress of each plan."""
     done = F.col("status") == "FILLED"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import text as X
+from barloom.operators import joins as J
 from barloom.operators import monitor as M
 from barloom.plans.inputs import rnd, table
 from barloom.plans.registry import query
@@ -78,3 +79,21 @@ def _(spark, d):
     s = scored(spark, d)
     f = X.sentiment_features(F.col("n_chars") % 101, F.col("sentiment"), F.size("tickers"), F.when(F.col("doc_id") % 2 == 0, F.col("uncertainty")))
     return s.select("doc_id", *[rnd(c).alias(k) for k, c in f.items()])
+
+
+TITLE_SQL = "trim(string_split(text, chr(10))[1])"
+
+
+@query("first_headlines", "A27", f"SELECT doc_id AS seq, {TITLE_SQL} AS title FROM documents ORDER BY doc_id LIMIT 5")
+def _(spark, d):
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.trim(F.split("text", "\n")[0]).alias("title"))
+    return M.first_headlines(titles, 5)
+
+
+@query("ticker_mentions", "J15", f"""WITH {SCORE_SQL}, sym AS (SELECT DISTINCT upper(substring(n_name, 1, 3)) AS ticker FROM nation UNION SELECT DISTINCT upper(substring(c_mktsegment, 1, 3)) FROM customer)
+SELECT ticker, count(*) AS headlines, round(avg(sentiment), 6) AS sentiment, min(doc_id) AS first_doc FROM sc JOIN sym ON contains(lower({TITLE_SQL}), lower(ticker)) GROUP BY ticker""")
+def _(spark, d):
+    symbols = table(spark, d, "nation").select(F.upper(F.substring("n_name", 1, 3)).alias("ticker")).union(table(spark, d, "customer").select(F.upper(F.substring("c_mktsegment", 1, 3)))).distinct()
+    titles = scored(spark, d).select("doc_id", "sentiment", F.trim(F.split("text", "\n")[0]).alias("title"))
+    found = J.contains_join(titles, symbols, "title", "ticker")
+    return found.groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines"), rnd(F.avg("sentiment")).alias("sentiment"), F.min("doc_id").alias("first_doc"))
