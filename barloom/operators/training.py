@@ -19,10 +19,9 @@ from barloom.operators.series import Frames, index_series, over_chunks
 def number_rows(rows: DataFrame, order: Sequence[str], bucket: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
     """Time position ``pos`` and total ``n`` of the rows (per key), in two levels."""
     k = list(keys)
-    base = rows if k else rows.withColumn("_all", F.lit(1))
-    idx = index_series(base, k or ["_all"], order, bucket, out="pos")
-    size = base.groupBy(*(k or ["_all"])).agg(F.count(F.lit(1)).alias("n"))
-    return idx.join(size, k or ["_all"]).drop("_all")
+    idx = index_series(rows, k, order, bucket, out="pos")
+    size = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    return idx.join(size, k) if k else idx.withColumn("n", size.scalar())
 
 
 def chronological_split(rows: DataFrame, purge: int, share: float = 0.2) -> DataFrame:
@@ -80,7 +79,11 @@ def class_weights(rows: DataFrame, label: str = "label", keys: Sequence[str] = (
     """The minority class weighs as much more as it is rarer; the majority weighs 1."""
     c = rows.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
     w = F.when((F.col(label) == 1) & (F.col("_p") < F.col("_n")), F.col("_n") / F.col("_p")).when((F.col(label) == 0) & (F.col("_n") <= F.col("_p")), F.col("_p") / F.col("_n")).otherwise(1.0)
-    x = rows.join(c, list(keys)) if keys else rows.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    if keys:
+        x = rows.join(c, list(keys))
+    else:
+        one = c.select(F.struct("_p", "_n").alias("c"))
+        x = rows.withColumn("_c", one.scalar()).select(*rows.columns, F.col("_c._p").alias("_p"), F.col("_c._n").alias("_n"))
     return x.withColumn("class_weight", w).drop("_p", "_n")
 
 
@@ -96,7 +99,7 @@ def temporal_undersample(rows: DataFrame, id_col: str, label: str = "label", rat
     x = rows.withColumn("_f", facts.scalar())
     keep = x.filter(~F.col("_f.act") | (F.col(label) != F.col("_f.major"))).drop("_f")
     major = x.filter(F.col("_f.act") & (F.col(label) == F.col("_f.major"))).withColumn("_h", F.md5(F.col(id_col).cast("string")))
-    at = index_series(major.withColumn("_all", F.lit(1)), ["_all"], ["pos"], [F.floor(F.col("pos") / 65536)], out="_i")
+    at = index_series(major, [], ["pos"], [F.floor(F.col("pos") / 65536)], out="_i")
     at = at.withColumn("_b", F.least(F.floor(F.col("_i") * buckets / F.col("_f.mm")), F.lit(buckets - 1)).cast("int"))
     size = at.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
     quota = F.greatest(F.lit(1), F.floor(F.floor(F.col("_f.m") * ratio) * F.col("_bn") / F.col("_f.mm")))
