@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.samples import smallest
+
 #: Bounds of the fit: paragraphs taken from the corpus, altered copies of a notice, n-grams.
 FIT_PARAGRAPHS, COPIES, FIT_NGRAMS = 2000, 16, 4000
 UNKNOWN = "unknown"
@@ -173,8 +175,8 @@ def fit(paragraphs: list[str], notices: dict[str, tuple[str, ...]] = NOTICES, co
 
 def trained(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_paragraphs: int = FIT_PARAGRAPHS) -> LicenseModel:
     """Model with at most ``fit_paragraphs`` corpus paragraphs, one of each document with the smallest hashes of the key."""
-    first = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.element_at(F.split(text, "\n", 2), 1).alias("p"))
-    return fit([r["p"] for r in first.orderBy("h", "p").limit(fit_paragraphs).collect()])
+    some = smallest(docs.filter(F.col(text).isNotNull()).select(key, text), F.col(key), fit_paragraphs)
+    return fit(sorted(r["p"] for r in some.select(F.element_at(F.split(text, "\n", 2), 1).alias("p")).collect()))
 
 
 def sql_words(line: Column) -> Column:
