@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
-#: Words that a worker remembers; a batch with more is encoded all the same.
-REMEMBERED = 500_000
+#: Words that a worker remembers, and texts whose words are sorted together: both bound a worker's memory.
+REMEMBERED, SLICE = 200_000, 2000
 UNKNOWN_COST = 10
 
 
@@ -107,6 +107,8 @@ def marked_words(text: str) -> list[str]:
 
 def encoded_batch(texts: list[str | None], pieces: Pieces) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers; null and empty texts have none."""
+    if len(texts) > SLICE:
+        return [ids for i in range(0, len(texts), SLICE) for ids in encoded_batch(texts[i:i + SLICE], pieces)]
     split = [marked_words(t or "") for t in texts]
     known = pieces.known
     if len(known) > REMEMBERED:
