@@ -25,7 +25,8 @@ from barloom.session import settle
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length that are ranked in one task, and words a tokenizer worker remembers.
+#: Pieces of one length that are ranked in one task (a common length is spread over more tasks by a smaller
+#: number), and words a tokenizer worker remembers.
 BUCKET_ROWS = 500
 REMEMBERED = 500_000
 #: The split of the public byte-level vocabulary, a fixed value.
