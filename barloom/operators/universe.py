@@ -225,23 +225,31 @@ def aligned_returns(daily: DataFrame, candidates: DataFrame, least: int = 15, da
     return r.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("_d", "r"))).alias("rets")).filter(F.size("rets") >= least)
 
 
-def tile_correlations(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pearson correlation of every row of x with every row of y over the columns both have (NaN where not), and their number."""
-    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
-    x, y = np.nan_to_num(x), np.nan_to_num(y)
-    n = mx @ my.T
-    with np.errstate(all="ignore"):
-        ex, ey = x @ my.T / n, mx @ y.T / n
-        cov = x @ y.T / n - ex * ey
-        vx, vy = np.square(x) @ my.T / n - ex**2, mx @ np.square(y).T / n - ey**2
-        return cov / np.sqrt(vx * vy), n
+def tile_correlations(x: np.ndarray, y: np.ndarray, least: int, wanted: np.ndarray, step: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, correlation) of the ``wanted`` pairs that have ``least`` columns in common (NaN where a row has none).
+
+    Rows that share few columns are left out by one product of the masks; the others are correlated pair by pair.
+    """
+    mx, my = (~np.isnan(x)).astype(np.float32), (~np.isnan(y)).astype(np.float32)
+    a, b = np.nonzero(wanted & (mx @ my.T >= least))
+    out = [np.zeros(0)]
+    for i in range(0, len(a), step):
+        u, v = x[a[i:i + step]], y[b[i:i + step]]
+        both = ~(np.isnan(u) | np.isnan(v))
+        n = both.sum(axis=1)
+        u, v = np.where(both, u, 0.0), np.where(both, v, 0.0)
+        with np.errstate(all="ignore"):
+            eu, ev = u.sum(axis=1) / n, v.sum(axis=1) / n
+            cov = (u * v).sum(axis=1) / n - eu * ev
+            out.append(cov / np.sqrt(((u * u).sum(axis=1) / n - eu**2) * ((v * v).sum(axis=1) / n - ev**2)))
+    return a, b, np.concatenate(out)
 
 
 def correlated_pairs(vectors: DataFrame, threshold: float = 0.85, least: int = 15, tile: int = 500) -> DataFrame:
     """Pairs with an absolute correlation above the threshold, of all ranked vectors (symbol, rank from 1, rets).
 
     The ranking is cut into blocks of ``tile`` vectors; each pair of blocks is one task that
-    correlates them by matrix products and returns the strong pairs. A task holds two blocks.
+    correlates them and returns the strong pairs. A task holds two blocks.
     """
     last = vectors.agg(F.max("rank")).first()[0] or 1
     own, other = F.floor((F.col("rank") - 1) / tile).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(int((last - 1) // tile))))
@@ -261,11 +269,12 @@ def correlated_pairs(vectors: DataFrame, threshold: float = 0.85, least: int = 1
 
         out = {c: [] for c in ("sym_a", "rank_a", "sym_b", "rank_b", "corr")}
         if len(left) and len(right):
-            corr, n = tile_correlations(dense(left), dense(right))
             ranks = left["rank"].to_numpy()[:, None] < right["rank"].to_numpy()[None, :]
-            a, b = np.nonzero(ranks & (n >= least) & (np.abs(corr) > threshold))
+            a, b, corr = tile_correlations(dense(left), dense(right), least, ranks)
+            strong_ones = np.abs(corr) > threshold
+            a, b, corr = a[strong_ones], b[strong_ones], corr[strong_ones]
             out = {"sym_a": left["symbol"].to_numpy()[a], "rank_a": left["rank"].to_numpy()[a], "sym_b": right["symbol"].to_numpy()[b],
-                   "rank_b": right["rank"].to_numpy()[b], "corr": corr[a, b]}
+                   "rank_b": right["rank"].to_numpy()[b], "corr": corr}
         return pd.DataFrame(out)
 
     return tiles.groupBy("i", "j").applyInPandas(strong, "sym_a string, rank_a int, sym_b string, rank_b int, corr double")
