@@ -90,6 +90,18 @@ def test_shards_of_awkward_rows(awkward, nothing):
     assert max(Counter(r["shard"] for r in label_shards.sharded(one_text).collect()).values()) == 2
 
 
+def test_pure_copies_stay_in_one_shard(spark):
+    texts = {f"copied page {n}, whose only line of forty characters nobody else has": 300 - 20 * n for n in range(5)}
+    texts["one page that fills more than a shard and needs two, no more than two"] = 700
+    rows = [t for t, n in texts.items() for _ in range(n)] + [f"single page {n}" for n in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = label_shards.sharded(docs).collect()
+    loads = Counter(r["shard"] for r in got)
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 1 and len({(r["shard"], r["slot"]) for r in got}) == len(rows)
+    held = {t: len({r["shard"] for r in got if rows[r["doc_id"]] == t}) for t in texts}
+    assert sorted(held.values()) == [1, 1, 1, 1, 1, 2]
+
+
 def test_quotas_take_the_largest_gains_first():
     flow = [{"shard": 0, "to": 1, "power": 5, "rows": 10}, {"shard": 0, "to": 1, "power": 2, "rows": 10}]
     assert label_shards.quotas(flow, [50, 35], 50) == {(1, 5): 1.0, (1, 2): 0.5}
