@@ -45,6 +45,11 @@ def either_case(word: str) -> str:
 
 NAMES = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 #: Lengths that only drop matches are kept out of the automaton: counters of several rules multiply its states.
+#: A key block from BEGIN to END, its header fields too (a single hyphen is text, five begin the last line). In a text that
+#: ends or breaks off before END, the first line and the lines of key characters after it.
+KEY_NAME = "[A-Z0-9 ]*PRIVATE KEY( BLOCK)?"
+KEY_BODY = "(-?[A-Za-z0-9+/=\\x20\\x0a\\x0d\\x09:,.;()@<>_\\\\])*"
+KEY_LINES = "([\\x0a\\x0d\\\\]+[A-Za-z0-9+/=]+)*"
 #: Fixed formats: the base kinds first, in the order in which ties are listed, then public token formats.
 BASE = (
     Rule("assign", "[A-Za-z0-9+/_.=-]+", f"""({NAMES})["']?\\x20*[:=]\\x20*["']?""", 6),
@@ -57,7 +62,7 @@ ADDED = (
     Rule("google", "[A-Za-z0-9_-]+", "AIza", 35),
     Rule("stripe", "[A-Za-z0-9]+", "[rs]k_live_", 16),
     Rule("jwt", "[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ", 40),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", f"-----BEGIN {KEY_NAME}-----({KEY_BODY}-----END {KEY_NAME}-----|{KEY_LINES})?"),
     Rule("url_login", "[A-Za-z0-9._~!$%^*+=-]+@", "://[A-Za-z0-9._-]+:", 7),
 )
 RULES = BASE + ADDED
