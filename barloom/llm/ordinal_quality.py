@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -26,6 +26,8 @@ DIMS = 1 << 16
 #: Bound of the labelled rows that the model is fitted on, and words a worker remembers.
 FIT_ROWS = 4000
 REMEMBERED = 300_000
+#: Share of the held-out documents of the top grade that the decision on the top grade lets stay.
+STAY = 0.98
 MARKS = b".,;:!?\"'()*#$%&|"
 SHAPES = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 
@@ -85,10 +87,11 @@ class Features:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """``thresholds`` ascend; there are ``len(thresholds) + 1`` grades from 0 on."""
+    """``thresholds`` ascend; there are ``len(thresholds) + 1`` grades from 0 on. ``least_top`` is the least P(top grade) of a kept document."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    least_top: float = 0.0
 
     def at_least(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k), a column for each k from 1 on."""
@@ -138,6 +141,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     return OrdinalModel(p[:DIMS].copy(), p[DIMS] + np.concatenate([[0.0], np.cumsum(np.exp(p[DIMS + 1:]))]))
 
 
+def scores_of(rows: Iterable[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
+    """w.x of each row; minus infinity without words."""
+    return np.array([(weights[k] * v).sum() if len(k) else -np.inf for k, v in rows], dtype=np.float64)
+
+
+def least_top(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, stay: float = STAY) -> float:
+    """Least P(top grade) by which ``stay`` of the top-graded rows of every fourth row stay, by a model of the others; 0 if nothing can be told apart."""
+    held = np.arange(len(rows)) % 4 == 3
+    if not {levels - 2, levels - 1} <= set(grades[held]) & set(grades[~held]):
+        return 0.0
+    model = fit([r for r, h in zip(rows, held) if not h], grades[~held], levels)
+    clean = scores_of([r for r, h, g in zip(rows, held, grades) if h and g == levels - 1], model.weights)
+    return float(np.quantile(model.at_least(clean)[:, -1], 1 - stay, method="lower"))
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id and grade: 0 poor, 1 good but toxic, 2 good and clean; rows with nulls are left out."""
     return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(
@@ -162,7 +180,8 @@ def trained(docs: DataFrame, ratings: DataFrame, levels: int = 3, fit_rows: int
     sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id").select("grade", "text")
     rows = sample.mapInArrow(features, "grade int, slots binary, worth binary").collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["slots"]), bytes(r["worth"])))
-    return fit([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["worth"], np.float32)) for r in rows], np.array([r["grade"] for r in rows], dtype=np.int64), levels)
+    sparse, grades = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["worth"], np.float32)) for r in rows], np.array([r["grade"] for r in rows], dtype=np.int64)
+    return replace(fit(sparse, grades, levels), least_top=least_top(sparse, grades, levels))
 
 
 def rating(text: Column, model: OrdinalModel) -> Column:
@@ -173,8 +192,8 @@ def rating(text: Column, model: OrdinalModel) -> Column:
 
     @F.arrow_udf("struct<score:double,expected_grade:double,tail:array<double>>")
     def ordinal_rating(texts: pa.Array) -> pa.Array:
-        known, w = Features(), model.weights
-        score = np.array([(w[k] * v).sum() if len(k) else -np.inf for k, v in (known.of(t.as_py()) for t in texts)], dtype=np.float64)
+        known = Features()
+        score = scores_of((known.of(t.as_py()) for t in texts), model.weights)
         tail = np.where(np.isneginf(score)[:, None], 0.0, model.at_least(score))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1) * tail.shape[1], pa.int32()), pa.array(tail.ravel()))
         return pa.StructArray.from_arrays([pa.array(np.where(np.isneginf(score), -40.0, score)), pa.array(tail.sum(axis=1)), flat], names=["score", "expected_grade", "tail"])
@@ -187,7 +206,12 @@ def rated(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
     return docs.withColumn("rating", rating(F.col(text), model)).drop(text)
 
 
+def kept(tail: Column, model: OrdinalModel, level: int = 1, least: float = 0.5) -> Column:
+    """Whether P(grade >= level) is ``least`` or more and P(top grade) that of the held-out rows or more."""
+    return (F.element_at(tail, level) >= least) & (F.element_at(tail, -1) >= model.least_top)
+
+
 def selected(docs: DataFrame, model: OrdinalModel, level: int = 1, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose tail probability P(grade >= level) is ``least`` or more, unchanged."""
+    """The rows that are ``kept``, unchanged."""
     mark = "__rating__"
-    return docs.withColumn(mark, rating(F.col(text), model)).filter(F.element_at(F.col(f"{mark}.tail"), level) >= least).drop(mark)
+    return docs.withColumn(mark, rating(F.col(text), model)).filter(kept(F.col(f"{mark}.tail"), model, level, least)).drop(mark)

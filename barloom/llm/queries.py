@@ -69,7 +69,7 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ordinal_quality.trained(docs, ordinal_quality.graded(table(spark, sf_dir, "labels")))
     tail = F.col("rating.tail")
     return ordinal_quality.rated(docs, model).select(
-        "doc_id", "rating.score", "rating.expected_grade", tail[0].alias("p_good"), tail[1].alias("p_good_and_clean"), (tail[0] >= 0.5).alias("kept"))
+        "doc_id", "rating.score", "rating.expected_grade", tail[0].alias("p_good"), tail[1].alias("p_good_and_clean"), ordinal_quality.kept(tail, model).alias("kept"))
 
 
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

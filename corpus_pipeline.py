@@ -15,7 +15,7 @@ from barloom.session import settle
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of being good is a half or more, by the model of the labelled documents among the raw ones."""
+    """Documents whose chance of being good is a half or more and that are not likely toxic, by the model of the labelled documents among the raw ones."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = ordinal_quality.trained(raw, ordinal_quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return ordinal_quality.selected(docs, model)

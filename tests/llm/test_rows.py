@@ -139,6 +139,18 @@ def test_ordinal_model_orders_grades_and_holds_out(spark):
     assert all(abs(sum(r["tail"]) - r["expected_grade"]) < 1e-9 and r["tail"][0] >= r["tail"][1] for r in held)
 
 
+def test_selection_drops_toxic_and_keeps_clean(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    grades = ordinal_quality.graded(labels)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    docs = docs.select("doc_id", "text").join(F.broadcast(grades), "doc_id").drop("grade")
+    model = ordinal_quality.trained(docs, grades.filter(fold > 0))
+    ids = {r["doc_id"] for r in ordinal_quality.selected(docs.filter(fold == 0), model).select("doc_id").collect()}
+    stay = [np.mean([r["doc_id"] in ids for r in grades.filter(fold == 0).filter(F.col("grade") == g).collect()]) for g in range(3)]
+    print("kept of poor, toxic, clean", stay, model.least_top)
+    assert stay[0] < 0.05 and stay[1] < 0.7 and stay[2] > 0.95
+
+
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(1)
     rows = [(np.array([0, 1], np.int32), rng.normal(size=2).astype(np.float32)) for _ in range(60)]
