@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import compression_bands, content_span, histogram_packing, jaccard_groups, label_shards, license_classifier, multi_index, ordinal_quality, prefix_viterbi, secret_automaton
+from barloom.llm import (
+    compression_bands, content_span, histogram_packing, importance_resampling, jaccard_groups, label_shards, license_classifier, multi_index, ordinal_quality,
+    phrase_growth, prefix_viterbi, secret_automaton, twins)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +84,15 @@ def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_classifier.scanned(docs, license_classifier.trained(docs))
 
 
+def op11_importance_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resampling.resampled(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_growth.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op3_label_propagation, op4_prefix_viterbi, op5_content_span, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton,
-                                                  op9_histogram_packing, op10_license_classifier)}
-SQL: dict[str, str] = {}
+                                                  op9_histogram_packing, op10_license_classifier, op11_importance_radix, op13_phrase_growth)}
+SQL: dict[str, str] = twins.SQL
