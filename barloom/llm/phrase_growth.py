@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from barloom.session import settle
 
 #: Words gathered in a task before their n-grams are counted, distinct words remembered, bits (as a power of 2) of a filter, rows of a batch.
-GATHERED, REMEMBERED, FILTER_BITS, BATCH = 2_000_000, 1_000_000, 24, 100_000
+GATHERED, REMEMBERED, FILTER_BITS, BATCH = 1_000_000, 400_000, 24, 100_000
 #: Score steps of the histogram that levels are read from, and how the rank aimed at grows.
 STEP, FIRST_AIM, NEXT_AIM = 1000, 2, 4
 UNKNOWN_LANG = "und"
@@ -161,11 +161,12 @@ def gram_counts(docs: DataFrame, width: int, seed: int, wanted) -> DataFrame:
             hashes = np.array(numbers.hashes, dtype=np.uint64)
             for lang, own in texts.items():
                 ids = np.concatenate(own)
-                at = np.flatnonzero(np.all([ids[i:max(0, len(ids) - width + 1) + i] > 0 for i in range(width)], axis=0)) if len(ids) >= width else []
-                grams = np.stack([ids[np.asarray(at, dtype=np.int64) + i] for i in range(width)], axis=1)
-                if len(grams):
-                    grams = grams[wanted(lang, hashes[grams])]
-                grams, n = distinct(grams)
+                picked = [np.zeros((0, width), dtype=np.int64)]
+                for start in range(0, len(ids) - width + 1, BATCH):
+                    grams = np.lib.stride_tricks.sliding_window_view(ids[start:start + BATCH + width - 1], width)
+                    grams = grams[(grams > 0).all(axis=1)]
+                    picked.append(grams[wanted(lang, hashes[grams])])
+                grams, n = distinct(np.concatenate(picked))
                 columns = [pa.array(hashes[grams[:, i]].view(np.int64)) for i in range(width)]
                 out = pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), *columns, pa.array(n, pa.int64())], names=["lang", *heads(width), "n"])
                 yield from (out.slice(at, BATCH) for at in range(0, len(n), BATCH))
