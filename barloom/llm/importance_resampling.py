@@ -155,7 +155,7 @@ def counting_pass(rows: DataFrame, digit: Column, chunk_rows: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, chunk_rows: int = CHUNK_ROWS, digit_bits: int = DIGIT_BITS) -> DataFrame:
-    """``rows`` (doc_id, score, ...) with ``rank`` (from 1) by score descending, then doc_id ascending, null ids last.
+    """``rows`` (doc_id, score, ...) with ``rank`` (from 1) by score descending, then doc_id ascending; a null id counts as the largest number.
 
     Rows equal in both have following ranks. Digits cover only the bits in which keys differ.
     """

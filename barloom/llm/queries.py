@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import (
     compression_bands, content_span, histogram_packing, importance_resampling, jaccard_groups, label_shards, license_classifier, multi_index, ordinal_quality,
-    phrase_growth, prefix_viterbi, secret_automaton, twins)
+    phrase_growth, pii_boosting, prefix_viterbi, secret_automaton, twins)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -89,10 +89,16 @@ def op11_importance_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resampled(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op12_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_boosting.scanned(docs, pii_boosting.fit(docs)).select("doc_id", *pii_boosting.summary(F.col("pii")))
+
+
 def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_growth.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_compression_bands, op2_inverted_multi_index, op3_label_propagation, op4_prefix_viterbi, op5_content_span, op6_token_group_join, op7_ordinal_quality, op8_secret_automaton,
-                                                  op9_histogram_packing, op10_license_classifier, op11_importance_radix, op13_phrase_growth)}
+                                                  op9_histogram_packing, op10_license_classifier, op11_importance_radix, op12_pii_boosting,
+                                                  op13_phrase_growth)}
 SQL: dict[str, str] = twins.SQL

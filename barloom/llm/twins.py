@@ -52,15 +52,16 @@ OP13 = f"""
   grams AS (
     SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase, k
     FROM lists, range(1, 5) r(k) WHERE len(w) >= k),
-  f AS (SELECT lang, phrase, k, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+  f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
   words AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+  parts AS MATERIALIZED (
+    SELECT lang, phrase, a, c.k AS cut, array_to_string(w[1:c.k], ' ') AS first, array_to_string(w[c.k + 1:], ' ') AS rest
+    FROM words p JOIN range(1, 4) c(k) ON c.k < p.k),
   cuts AS (
-    SELECT p.lang, p.phrase, p.a, c.k AS cut, x.a AS l, y.a AS r, (2000000::HUGEINT * p.a) // (x.a::HUGEINT + y.a) AS score
-    FROM words p JOIN range(1, 4) c(k) ON c.k < p.k
-    JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(p.w[1:c.k], ' ')
-    JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(p.w[c.k + 1:], ' ')),
+    SELECT p.lang, p.phrase, p.a, cut, x.a AS l, y.a AS r, (2000000::HUGEINT * p.a) // (x.a::HUGEINT + y.a) AS score
+    FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.first JOIN f y ON y.lang = p.lang AND y.phrase = p.rest),
   scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-  inner_parts AS (
+  inner_parts AS MATERIALIZED (
     SELECT q.lang, array_to_string(q.w[i:i + m - 1], ' ') AS phrase, q.a AS b
     FROM words q, range(2, 4) s(m), range(1, 4) t(i) WHERE m < q.k AND i + m - 1 <= q.k),
   dropped AS (
