@@ -5,6 +5,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -242,3 +243,37 @@ def test_pages_query_equals_the_article(spark):
 def test_pages_of_an_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string, text string")
     assert content_span.extracted(none, content_span.trained(none)).count() == 0
+
+
+W60, C60 = (" ".join(f"{c}{i}" for i in range(60)) for c in "wc")
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><div class="nav">a b c</div><div class="post has-sidebar"><h1>T t</h1><p>{W60}</p></div><div class="sidebar">s s s s</div></body>', f"T t {W60}"),
+    (f'<body><div id="content-with-sidebar"><p>{W60}</p><div class="sidebar">s s s s</div></div></body>', W60),
+    (f'<body><div class="notice-board"><p>{W60}</p></div><div class="cookie-notice">c c c</div></body>', W60),
+    (f'<body><div class="search-results"><p>{W60}</p></div></body>', W60),
+    (f"<body><header>Site x</header><article><header><h1>Title</h1></header><p>{W60}</p><footer>by me</footer></article></body>", f"Title {W60}"),
+    (f'<body><article><p>{W60}</p><section class="comments"><article class="comment"><p>{C60}</p></article><article><p>{C60}</p></article></section></article></body>', W60),
+    (f"<body><main><p>{W60}</p></main><aside><article><p>{C60}</p></article></aside></body>", W60),
+    (f'<body><div class="entry"><p>{W60}</p></div><div id="comments"><ol class="comment-list"><li>{C60}</li><li>{C60} {C60}</li></ol></div><footer>f</footer></body>', W60),
+    (f'<body><form id="page"><nav>a</nav><main><p>{W60}</p><div class="social-share">share me</div><p>end it</p></main></form></body>', f"{W60} end it"),
+    (f'<body><table><tr><td class="menu"><a>x</a> <a>y</a></td><td><h1>Title here</h1><p>{W60}<p>{W60}<div class="related-posts"><a>r r</a></div></td></tr></table>', f"Title here {W60} {W60}"),
+])
+@pytest.mark.parametrize("learned", [False, True])
+def test_names_of_wrappers_take_no_article(spark, page, want, learned):
+    weights = content_span.Weights()
+    if learned:
+        weights = content_span.trained(spark.read.parquet(f"{DIR}/pages.parquet"))
+    if learned or not want.startswith("Title w"):
+        assert content_span.main_text(page, weights) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script ", '<a "', "<a '", "<!-- ", "<", "</a ", '<div class="x">', "</i>", "<p><i></b>", '<a href="x>', "<script>", "<nav><article>", "<ul><li>"])
+def test_a_megabyte_of_unclosed_tags_is_read_once(piece):
+    def seconds(n):
+        start = time.process_time()
+        content_span.main_text(piece * (n // len(piece)), content_span.Weights())
+        return time.process_time() - start
+
+    assert min(seconds(1_000_000), seconds(1_000_000)) < 8 * max(min(seconds(250_000), seconds(250_000)), 0.05)
