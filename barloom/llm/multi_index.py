@@ -7,7 +7,8 @@ cosine. The share is calibrated: it is the one at which ``recall`` of the true n
 sample queries are in opened cells. The index is fitted on a bounded sample and holds every vector.
 
 Equal vectors are one entry with its smallest ids: as ties go to the smaller id, the others can
-never be among the nearest of any query, so a vector that a third of the rows share is no hot spot.
+never be among the nearest of any query, so a vector that a third of the rows share is no hot spot. Cosines
+that agree to twelve decimals are ties, since the scale of a vector alone moves the digits after these.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from barloom.llm.samples import smallest
 from barloom.session import settle
 
-#: Bounds of the fit: vectors, queries for the calibration, centroids a half, and the recall aimed at.
-FIT_ROWS, FIT_QUERIES, MOST_CENTROIDS, RECALL = 20_000, 200, 64, 0.97
-#: Entries and queries that meet in one task, and entries opened at least.
-CHUNK, SLAB, LEAST_OPEN = 4000, 512, 1000
+#: Bounds of the fit: vectors, queries for the calibration, vectors of the sample for each centroid of a half, and the recall aimed at.
+FIT_ROWS, FIT_QUERIES, FIT_EACH, RECALL = 20_000, 200, 40, 0.97
+#: Entries and queries that meet in one task, queries multiplied at once, entries opened at least.
+CHUNK, ASKED, SLAB, LEAST_OPEN = 4000, 4000, 512, 1000
+#: Decimals that decide between cosines, and how far a matrix product may be from the cosine.
+DECIMALS, NEARLY = 12, 1e-9
 
 
 @dataclass(frozen=True)
@@ -86,12 +89,16 @@ def needed_share(units: np.ndarray, first: np.ndarray, second: np.ndarray, near:
     top = np.argsort(-like, axis=1, kind="stable")[:, :near]
     cell = distances(units[:, :half], first).argmin(axis=1) * len(second) + distances(units[:, half:], second).argmin(axis=1)
     counts = np.bincount(cell, minlength=len(first) * len(second))
-    sums = (distances(picked[:, :half], first)[:, :, None] + distances(picked[:, half:], second)[:, None, :]).reshape(len(picked), -1)
-    order = np.argsort(sums, axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-    held = np.take_along_axis(np.cumsum(counts[order], axis=1), place, axis=1) / len(units)
-    return float(np.quantile(held[np.arange(len(picked))[:, None], cell[top]], recall)) if len(units) > near else 1.0
+    if len(units) <= near:
+        return 1.0
+    one, two = distances(picked[:, :half], first), distances(picked[:, half:], second)
+    held = []
+    for x, y, own in zip(one, two, top):
+        order = np.argsort((x[:, None] + y[None, :]).ravel(), kind="stable")
+        until = np.empty(len(order))
+        until[order] = np.cumsum(counts[order]) / len(units)
+        held.append(until[cell[own]])
+    return float(np.quantile(np.array(held), recall))
 
 
 def usable(vector: Column) -> Column:
@@ -121,7 +128,7 @@ def fitted(entries: DataFrame, width: int, near: int) -> tuple[np.ndarray, np.nd
     sample = smallest(entries.select("key", "vector"), F.col("key"), FIT_ROWS, total).select("vector").toArrow()
     units = unit(stacked(sample["vector"], width))
     half = max(1, width // 2)
-    k = int(min(MOST_CENTROIDS, max(4, (total / 200) ** 0.5), len(units)))
+    k = int(min(max(4, min((total / 200) ** 0.5, FIT_ROWS / FIT_EACH)), len(units)))
     first, second = centroids(units[:, :half], k), centroids(units[:, half:], k)
     return first, second, needed_share(units, first, second, near, RECALL)
 
@@ -140,7 +147,7 @@ def assigned(entries: DataFrame, first: np.ndarray, second: np.ndarray, width: i
 
 
 def visits(queries: DataFrame, index: MultiIndex, width: int, chunks: list[int]) -> DataFrame:
-    """(one, chunk, key, vector, twos): for each first-half centroid that a query opens, the second-half ones."""
+    """(one, chunk, key, vector, twos): for each first-half centroid that a query opens, the second-half ones, once for each chunk of its entries."""
 
     def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,8 +167,8 @@ def visits(queries: DataFrame, index: MultiIndex, width: int, chunks: list[int])
 def nearest(vectors: DataFrame, is_query: Column, near: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine in double precision) of the ``near`` nearest found.
 
-    Candidates are all rows but the query's own id; ties go to the smaller id; fewer candidates than
-    ``near`` are all returned. Rows with a null id, or with a vector that is null, empty, zero, or holds null
+    Candidates are all rows but the query's own id; ties (cosines equal to DECIMALS decimals) go to the smaller id; fewer
+    candidates than ``near`` are all returned. Rows with a null id, or with a vector that is null, empty, zero, or holds null
     or non-finite components, take no part. Vectors of different lengths are filled up
     with zeros. An id that occurs more than once with one vector counts once.
     """
@@ -179,14 +186,17 @@ def nearest(vectors: DataFrame, is_query: Column, near: int = 5, vec_id: str = "
     first, second, share = fitted(entries, width, near)
     cells = settle(assigned(entries, first, second, width), "cells")
     counts = np.zeros((len(first), len(second)), dtype=np.int64)
-    for r in cells.groupBy("one", "two").count().collect():  # at most MOST_CENTROIDS ** 2 rows
+    for r in cells.groupBy("one", "two").count().collect():  # at most (FIT_ROWS / FIT_EACH) ** 2 rows
         counts[r["one"], r["two"]] = r["count"]
     chunks = [max(1, -(-int(n) // CHUNK)) for n in counts.sum(axis=1)]
     table = F.array(*[F.lit(c) for c in chunks])
     parts = cells.withColumn("chunk", F.expr("pmod(xxhash64(key), 2147483647)") % F.element_at(table, F.col("one") + 1)).select(
         "one", F.col("chunk").cast("int").alias("chunk"), "two", "ids", "vector")
-    asked = rows.filter("asks").select("key", "vector").groupBy("key").agg(F.first("vector").alias("vector"))
-    visit = visits(asked, MultiIndex(first, second, counts, share), width, chunks)
+    asked = settle(rows.filter("asks").select("key", "vector").groupBy("key").agg(F.first("vector").alias("vector")), "asked")
+    shares = max(1, -(-asked.count() // ASKED))
+    share_of = F.expr(f"pmod(xxhash64(key, 1), {shares})").cast("int")
+    visit = visits(asked, MultiIndex(first, second, counts, share), width, chunks).withColumn("asks", share_of)
+    parts = parts.withColumn("asks", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     keep = near + 1
 
     def rerank(mine: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -206,22 +216,23 @@ def nearest(vectors: DataFrame, is_query: Column, near: int = 5, vec_id: str = "
                     who = np.flatnonzero(opens[:, j])
                     if len(who):
                         like[np.ix_(who, at)] = q[who] @ base[at].T
-                best = np.argsort(-like, axis=1, kind="stable")[:, :2 * keep] if like.shape[1] <= 4 * keep else np.argpartition(-like, 2 * keep, axis=1)[:, :2 * keep]
+                last = min(keep, like.shape[1])
+                least = -np.partition(-like, last - 1, axis=1)[:, last - 1] - NEARLY
                 for n, key in enumerate(slab["key"]):
+                    # whatever may tie with the last place is scored exactly before the smaller ids are taken
                     found = []
-                    for e in best[n]:
-                        if like[n, e] > -np.inf:
-                            score = float((q[n] * base[e]).sum())
-                            found += [(-score, int(i)) for i in mine["ids"].iloc[e]]
-                    for score, i in sorted(found)[:keep]:
+                    for e in np.flatnonzero((like[n] >= least[n]) & (like[n] > -np.inf)):
+                        score = float((q[n] * base[e]).sum())
+                        found += [(-round(score, DECIMALS), int(i), score) for i in mine["ids"].iloc[e]]
+                    for _, i, score in sorted(found)[:keep]:
                         out["key"].append(key)
                         out["id"].append(i)
-                        out["score"].append(-score)
+                        out["score"].append(score)
         return pd.DataFrame(out).astype({"key": str, "id": np.int64, "score": np.float64})
 
-    found = parts.groupBy("one", "chunk").cogroup(visit.groupBy("one", "chunk")).applyInPandas(rerank, "key string, id long, score double")
-    best = Window.partitionBy("key").orderBy(F.col("score").desc(), "id")
+    found = parts.groupBy("one", "chunk", "asks").cogroup(visit.groupBy("one", "chunk", "asks")).applyInPandas(rerank, "key string, id long, score double")
+    best = Window.partitionBy("key").orderBy(F.round("score", DECIMALS).desc(), "id")
     top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep).select("key", F.col("id").alias("vec_id"), "score")
     ranked = rows.filter("asks").select("key", F.col("id").alias("query_id")).distinct().join(top, "key").filter("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", DECIMALS).desc(), "vec_id"))
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= near).select("query_id", "rank", "vec_id", "score")
