@@ -88,13 +88,15 @@ def set_key(tokens: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """doc_id, n (set size), key (128-bit digest of the set, null if empty) and its first tokens in hash order."""
+    """The columns before ``text``, n (set size), key (128-bit digest of the set, null if empty) and its first tokens in hash order."""
     low = np.uint64(rule.low())
+    carried = [f for f in docs.schema.fields if f.name != "text"]
+    docs = docs.select(*[f.name for f in carried], "text")
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, firsts = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(len(carried)):
                 tokens = shingles(value.as_py(), rule.words)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
@@ -102,10 +104,10 @@ def fingerprints(docs: DataFrame, rule: JaccardRule) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             flat = np.concatenate(firsts).view(np.int64) if firsts else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n", "key", "first"])
+                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=[*[f.name for f in carried], "n", "key", "first"])
 
-    return docs.mapInArrow(prints, "doc_id long, n long, key binary, first array<long>")
+    return docs.mapInArrow(prints, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in carried], "n long", "key binary", "first array<long>"]))
 
 
 def candidates(classes: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -207,27 +209,39 @@ def linked(sets: list[np.ndarray], side: np.ndarray, rule: JaccardRule, group: i
     return found
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows``, broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def links(docs: DataFrame, classes: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between classes that connect all that are linked. ``docs``: doc_id, text; ``classes``: key, n, first, doc_id."""
-    spark = docs.sparkSession
+    """(a, b): links between classes that connect all that are linked. ``docs``: row, text; ``classes``: key, n, first, row, many.
+
+    ``many`` says that more than one row has this ``row`` and set, so that only one of their texts may go on.
+    """
     near = settle(candidates(classes, rule), "near")
     hubs = near.groupBy("token").agg(F.min("key").alias("hub"))
     roots = components(near.join(hubs, "token").select("key", "hub"), "key", "hub")
-    wanted = settle(roots.select(F.col("node").alias("key"), "root").join(classes.select("key", "doc_id"), "key"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
+    wanted = settle(roots.select(F.col("node").alias("key"), "root").join(classes.select("key", "row", "many"), "key"), "wanted")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, root, value in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for key, root, many, value in zip(*batch.columns):
                 tokens = shingles(value.as_py(), rule.words)
-                # a doc_id may stand for several texts: only the one that is meant counts
+                # a row number may stand for several texts: only the one that is meant counts
                 if len(tokens) and set_key(tokens) == key.as_py():
-                    rows.append((key.as_py(), root.as_py(), tokens.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(3)], names=["key", "root", "tokens"])
-
-    text = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("key", "root", "text")
-    members = in_blocks(text.mapInArrow(full, "key binary, root binary, tokens binary"), block)
+                    rows.append((key.as_py(), root.as_py(), many.as_py(), tokens.tobytes()))
+            types = [pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "root", "many", "tokens"])
+
+    text = docs.join(counted(wanted), "row").select("key", "root", "many", "text")
+    sets = text.mapInArrow(full, "key binary, root binary, many boolean, tokens binary")
+    if not wanted.filter("many").isEmpty():
+        sets = settle(sets, "sets")
+        one = sets.filter("many").groupBy("key").agg(F.first("root").alias("root"), F.first("tokens").alias("tokens"))
+        sets = sets.filter("NOT many").select("key", "root", "tokens").unionByName(one)
+    members = in_blocks(sets.select("key", "root", "tokens"), block)
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "side"]).sort_values(["side", "key"]).reset_index(drop=True)
@@ -237,35 +251,65 @@ def links(docs: DataFrame, classes: DataFrame, rule: JaccardRule, block: int = B
     return members.groupBy("root", "i", "j").applyInPandas(match, "a binary, b binary")
 
 
+def grouped(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataFrame:
+    """The columns of ``docs`` (row, text, others) but the text, with n (set size), key and ``group``: the least key its class is linked to, null if the set is empty.
+
+    ``row`` tells rows apart as far as it can; it is not null.
+    """
+    prints = settle(fingerprints(docs, rule), "prints")
+    slim = prints.drop("first")
+    rows = slim.filter("key IS NOT NULL").groupBy("key", "row").agg(F.count("*").alias("copies"))
+    ids = settle(rows.groupBy("key").agg(F.min(F.struct("row", "copies")).alias("rep"), F.sum("copies").alias("copies")), "classes")
+    # copies other than the first are taken out by (key, row), which is small where there are few copies
+    again = settle(slim.join(ids.filter("copies > 1").select("key", "rep"), "key").filter("row <> rep.row").select("key", "row").distinct(), "again")
+    first = prints.filter("key IS NOT NULL").join(counted(again), ["key", "row"], "left_anti").select("key", "n", "first", "row")
+    many = settle(ids.filter("rep.copies > 1").select("key"), "many")
+    if many.isEmpty():
+        classes = first.withColumn("many", F.lit(False))
+    else:
+        repeated = first.join(counted(many), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "first", "row")])
+        classes = first.join(counted(many), "key", "left_anti").withColumn("many", F.lit(False)).unionByName(repeated.withColumn("many", F.lit(True)))
+        classes = settle(classes, "class-rows")
+    nodes = settle(components(links(docs, classes, rule, block)), "nodes")
+    group = nodes.select(F.col("node").alias("key"), F.col("root").alias("group"))
+    return slim.join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))
+
+
 def joined(docs: DataFrame, rule: JaccardRule = JaccardRule(), text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
     A null or empty text, or one of white space, has an empty set and is linked with nothing: its
     component is its own doc_id. Equal texts are one class. Repeated rows stay repeated; rows
-    whose doc_id is null belong to the component of their text but never name one.
+    whose doc_id is null link like others but never name a component, which is null if it has no other rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = settle(fingerprints(docs, rule), "prints")
-    slim = prints.select("doc_id", "n", "key")
-    ids = settle(slim.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # copies other than the first are taken out by (key, doc_id), which is small where there are few copies
-    again = settle(slim.join(ids.filter("copies > 1"), "key").filter("doc_id <> rep").select("key", "doc_id").distinct(), "again")
-    few = again.count() <= BROADCAST_ROWS
-    classes = prints.filter("key IS NOT NULL").join(F.broadcast(again) if few else again, ["key", "doc_id"], "left_anti")
-    edges = links(docs, classes, rule, block)
-    nodes = settle(components(edges), "nodes")
-    named = nodes.join(ids.select(F.col("key").alias("node"), "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    component = nodes.join(least, "root").select(F.col("node").alias("key"), "component")
-    return slim.join(ids.select("key", "rep"), "key", "left").join(component, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    body = F.col(text).cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(body)).alias("row"), body.alias("text"))
+    rows = settle(grouped(docs, rule, block).select("doc_id", "n", "group"), "groups")
+    least = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component"))
+    return rows.join(least, "group", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: JaccardRule = JaccardRule(5, 80), text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
+    """The rows of ``docs`` without near copies: of each component one row stays, that with the smallest doc_id (a null one is last).
 
-    Rows with an empty set stay, and so do rows without a doc_id.
+    Rows are told apart by all their columns (but maps), so a row that shares its doc_id with a near copy of another text is judged
+    alone, and of rows that are equal throughout one stays. Rows with an empty set all stay.
     """
-    found = joined(docs, rule, text)
-    gone = found.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumn("__row__", F.xxhash64(*own)).withColumn("__more__", F.xxhash64(F.lit(1), *own))
+    # the row number serves to read the text again, so it is the document's own where there is one
+    found = grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), "__row__").alias("row"), "__row__", "__more__",
+                                  F.col(text).cast("string").alias("text")), rule)
+    found = settle(found.filter("group IS NOT NULL").select("group", "doc_id", "__row__", "__more__"), "groups")
+    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row__", "__more__")
+    size = found.groupBy("group").agg(F.min(name).alias("best"), F.count("*").alias("rows")).filter("rows > 1")
+    judged = found.join(size, "group").groupBy("__row__", "__more__").agg(
+        F.max((F.col("__row__") == F.col("best.__row__")) & (F.col("__more__") == F.col("best.__more__"))).alias("stays"), F.count("*").alias("times"))
+    judged = settle(judged.filter("NOT stays OR times > 1"), "judged")
+    rest = marked.join(counted(judged.select("__row__", "__more__")), ["__row__", "__more__"], "left_anti").select(*docs.columns)
+    repeated = judged.filter("stays").select("__row__", "__more__")
+    if repeated.isEmpty():
+        return rest
+    once = marked.join(counted(repeated), ["__row__", "__more__"], "left_semi").groupBy("__row__", "__more__").agg(*[F.first(c).alias(c) for c in docs.columns])
+    return rest.unionByName(once.select(*docs.columns))

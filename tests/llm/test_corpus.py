@@ -62,6 +62,18 @@ def test_neighbours_of_awkward_vectors(spark):
     assert multi_index.nearest(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("asked", [4000, 3])
+def test_ties_between_scaled_copies_go_to_the_smaller_id(spark, monkeypatch, asked):
+    monkeypatch.setattr(multi_index, "ASKED", asked)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=8)
+    rows = [(i, [float(x) for x in v * (1 + i % 17) * 3.7**(i % 5)]) for i in range(60)] + [(100 + i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    got = defaultdict(list)
+    for r in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4] and all(len(g) == 5 for g in got.values()) and len(got) == 10
+
+
 # balanced label propagation
 
 def test_shards_are_even_and_keep_links(spark):
@@ -182,6 +194,42 @@ def test_jaccard_of_awkward_rows(spark, awkward, nothing):
     assert left.columns == awkward.columns and sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 5, 7]
 
 
+def test_links_go_through_rows_without_an_id(spark):
+    rng = random.Random(12)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    b, c = [*a[:-2], "x", "y"], [*a[2:-2], "x", "y", "z", "u"]
+    far = [f"v{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(10, a), (None, b), (20, c), *[(None, far)] * 40, (None, [*far[:-1], "q"]), (7, [*far[1:], "r"]), (None, ["alone"] * 3), (None, None)]
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in rows], "doc_id long, text string")
+    rule = jaccard_groups.JaccardRule(3, 90)
+    got = jaccard_groups.joined(docs, rule).collect()
+    assert len(got) == len(rows)
+    assert {r["component_id"] for r in got if r["n_shingles"] == 78 and r["doc_id"] in (10, 20)} == {10}
+    assert sorted(str(r["component_id"]) for r in got) == sorted(["10"] * 3 + ["7"] * 42 + ["None"] * 2)
+    left = jaccard_groups.one_of_each(docs, rule)
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["10", "7", "None", "None"])
+
+
+def test_one_row_of_each_component_stays_and_clean_rows_do(spark):
+    rng = random.Random(13)
+    t = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    text, near, clean = " ".join(t), " ".join([*t[:-1], "other"]), " ".join(f"c{n}" for n in range(50))
+    rows = [(1, text), (1, text), (2, near), (2, clean), (None, text), (None, text), (3, clean + " end"), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*r, {"a": 1}) for r in rows], "doc_id long, text string, extra map<string,int>")
+    left = jaccard_groups.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, text), (2, clean), (3, ""), (3, "")], key=str)
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_joins_of_many_candidates_equal_those_of_few(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_groups, "BROADCAST_ROWS", few)
+    texts = near_texts(random.Random(50))
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:30])], "doc_id long, text string")
+    got = {tuple(r) for r in jaccard_groups.joined(docs, jaccard_groups.JaccardRule(3, 90), block=25).collect()}
+    assert got == set(brute_components(range(len(texts)), texts, 3, 90))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(300, 300), (200, 201), (201, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
