@@ -45,47 +45,68 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of the byte-level vocabulary in ``path``; strings of special tokens are ordinary text.
+    """Ids of the byte-level vocabulary in ``path``, those of its added tokens wherever their strings stand, as the library does by default.
 
-    A single space between two visible characters always begins a token of its own, so text is cut
-    there and each distinct part is encoded once. Texts with other runs of blanks are encoded whole.
+    With ``added=False`` these strings are ordinary text. A single space between two visible characters always begins a token
+    of its own, so text is cut there and each distinct part is encoded once. Texts with other runs of blanks are encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = True) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
         letters = byte_letters()
-        ranks = {bytes(letters[c] for c in word): rank for word, rank in vocab.items() if all(c in letters for c in word)}
+        extra = file.get("added_tokens") or [] if added else []
+        if any(t.get(flag) for t in extra for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that reach beyond their string are not handled")
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in extra}
+        # at one place the longest string wins
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        ranks = {bytes(letters[c] for c in word): rank for word, rank in file["model"]["vocab"].items() if all(c in letters for c in word) and word not in self.added}
         self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
 
     def packed(self, part: str) -> bytes:
         return np.array(self.encode(part), dtype="<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if not text:
+            return b""
+        if self.cut is None:
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self.plain(text[at:m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])]) if out else self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0] == " " or text[-1] == " " or BLANKS.search(text):
             return self.packed(text)
-        parts = text.split(" ")
-        known, out = self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for n, part in enumerate(parts):
-            key = part if n else f"\0{part}"
-            got = known.get(key)
+        if len(self.first) + len(self.later) > REMEMBERED:
+            self.first.clear()
+            self.later.clear()
+        head, *rest = text.split(" ")
+        got = self.first.get(head)
+        if got is None:
+            got = self.first[head] = self.packed(head)
+        known, out = self.later, [got]
+        for part in rest:
+            got = known.get(part)
             if got is None:
-                got = known[key] = self.packed(f" {part}" if n else part)
+                got = known[part] = self.packed(f" {part}")
             out.append(got)
         return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = True) -> Encoder:
+    return Encoder(path, added)
 
 
 def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -97,16 +118,16 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "ids", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "ids", text: str = "text", added: bool = True) -> DataFrame:
     """doc_id, piece, start, length and ``ids`` (little-endian binary) or ``ids_crc32`` for every piece of every row.
 
-    A null or empty text is the end token alone.
+    A null or empty text is the end token alone. Strings of added tokens get their ids unless ``added`` is false.
     """
     kind = {"ids": "ids binary", "crc32": "ids_crc32 long"}[payload]
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        known = encoder(path, added)
         for batch in batches:
             rows = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -167,7 +188,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slots]:
     return out
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "ids", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "ids", text: str = "text", added: bool = True) -> DataFrame:
     """Every piece with ``sequence_id`` and ``offset``.
 
     Tokenised pieces are written to the shared folder once; the histogram (at most ``capacity``
@@ -175,7 +196,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str =
     gives an empty result.
     """
     spark = docs.sparkSession
-    cut = settle(pieces(docs, path, capacity, payload, text), "pieces")
+    cut = settle(pieces(docs, path, capacity, payload, text, added), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     slots = plan(counts, capacity)
     if not slots:

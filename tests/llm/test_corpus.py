@@ -258,13 +258,16 @@ def test_plan_places_all_and_wastes_little():
         assert len(used) <= 11 / 9 * max(1, -(-sum(n * c for n, c in counts.items()) // capacity)) + max(1, sum(c for n, c in counts.items() if 2 * n > capacity))
 
 
-def test_ids_equal_those_of_the_tokenizer():
+@pytest.mark.parametrize("added", [True, False])
+def test_ids_equal_those_of_the_tokenizer(added):
     rng = random.Random(7)
     plain = Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
-    own = histogram_packing.Encoder(VOCABULARY)
-    parts = [" ", "  ", "\n", "\t", "a", "Hello", "'s", "é", "1", "12", "!", "\xa0", "　", "\r\n", "<|endoftext|>", "漢", "ß", "x'll", "\x1c", "​", "\x85", " word"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    if not added:
+        plain.encode_special_tokens = True
+    own = histogram_packing.Encoder(VOCABULARY, added)
+    parts = [" ", "  ", "\n", "\t", "a", "Hello", "'s", "é", "1", "12", "!", "\xa0", "　", "\r\n", "<|endoftext|>", "漢", "ß", "x'll", "\x1c", "​", "\x85", " word", "\0", "\0The", "The", "<|endof", "text|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += ["The", "a \0The", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>a"]
     for t, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == want.ids, repr(t)
 
