@@ -15,19 +15,19 @@ from __future__ import annotations
 
 import random
 import string
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.arrays import folded, running
 from barloom.llm.samples import smallest
 
 #: Bounds of the fit: documents that lend prose, and examples made of each template.
 FIT_DOCUMENTS, COPIES = 300, 24
 TREES, DEPTH, RATE, PRECISION = 40, 3, 0.3, 0.99
-CONTEXT, AFTER, BLOCK = 40, 12, 256
+CONTEXT, AFTER = 40, 12
 
 #: Base kinds in the order they are listed: a cheap test of the text, and the expression. Possessive forms match the same
 #: as plain ones here, without deep recursion; a mail address can only begin where its run of characters does or the last match ended.
@@ -67,30 +67,6 @@ FORMAT = ("n_chars", "n_digits", "n_letters", "n_groups", "longest", "n_space",
 FEATURES = (*FORMAT, *CUES, *[f"is_{k}" for k in ADDED])
 
 
-def folded(x: Column, state: dict[str, Column], out: str, step: Callable[[Column, Column], Column]) -> Column:
-    """``aggregate`` whose state has a growing array ``out`` of that type: it grows in blocks, so little is copied.
-
-    ``step(acc, v)`` returns a struct of the names of ``state``, then ``out``; the result has ``out`` flattened.
-    """
-    def block(acc: Column, i: Column) -> Column:
-        start = F.struct(*[acc[n].alias(n) for n in state], F.array().cast(out).alias("out"))
-        inner = F.aggregate(F.slice(x, i * BLOCK + 1, F.lit(BLOCK)), start, step)
-        return F.transform(F.array(inner), lambda r: F.struct(*[r[n].alias(n) for n in state], F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
-
-    start = F.struct(*[c.alias(n) for n, c in state.items()], F.array().cast(f"array<{out}>").alias("out"))
-    # the block after the last is empty, so an empty array has one too
-    blocks = F.sequence(F.lit(0), F.floor(F.size(x) / BLOCK).cast("int"))
-    return F.transform(F.array(F.aggregate(blocks, start, block)), lambda r: F.struct(*[r[n].alias(n) for n in state], F.flatten(r["out"]).alias("out")))[0]
-
-
-def running(x: Column) -> Column:
-    """Sums of the elements before each element."""
-    def step(acc: Column, v: Column) -> Column:
-        return F.struct((acc["t"] + v).alias("t"), F.concat(acc["out"], F.array(acc["t"])).alias("out"))
-
-    return F.when(F.size(x) == 0, F.array().cast("array<long>")).otherwise(folded(x, {"t": F.lit(0).cast("long")}, "array<long>", step)["out"])
-
-
 def with_matches(docs: DataFrame, text: str, name: str, guard: str, pattern: str, context: bool) -> DataFrame:
     """``docs`` with column ``name``: start, end (code points, end exclusive), value and, if asked, the characters before and after of all matches."""
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -316,6 +316,74 @@ def test_licences_of_rows(spark, awkward, nothing):
     assert license_classifier.scanned(nothing, license_classifier.trained(nothing)).count() == 0
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:""",
+    "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "apache": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""}
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    docs = spark.createDataFrame([(n, f"Copyright 2020 Someone\n\n  \n{t}\n\nint main() {{ the river under }}\n") for n, t in enumerate(WRAPPED.values())], "doc_id long, text string")
+    rows = license_classifier.scanned(docs, license_classifier.trained(spark.read.parquet(f"{DIR}/documents.parquet"))).filter("confirmed").collect()
+    assert {(r["doc_id"], r["family"], r["first_line"], r["last_line"]) for r in rows} == {(n, f, 3, 3 + t.count("\n")) for n, (f, t) in enumerate(WRAPPED.items())}
+
+
+def plain_paragraphs(text):
+    """(first line, last line, lines) by a walk over the lines."""
+    out, run = [], []
+    for n, line in enumerate([*text.split("\n"), ""]):
+        if line.strip(" \t\r\f\x0b"):
+            run.append((n, line))
+        if run and (not line.strip(" \t\r\f\x0b") or line.rstrip(" \t\r\f\x0b")[-1] in ".!?"):
+            out.append((run[0][0], run[-1][0], "\n".join(x for _, x in run)))
+            run = []
+    return out
+
+
+def test_paragraphs_equal_a_walk_over_lines(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(["a b", ".", "!", " ", "\t", "\n", "\n", "\n\n", "é", "x.", "\r\n"]) for _ in range(rng.randint(0, 40))) for _ in range(600)] + ["w\n" * 20000, "x " * 50000]
+    got = defaultdict(list)
+    for r in license_classifier.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").orderBy("doc_id", "paragraph").collect():
+        got[r["doc_id"]].append((r["first_line"], r["last_line"], r["line"].rstrip(" \t\r\n")))
+    for n, t in enumerate(texts):
+        assert got[n] == [(a, b, p.rstrip(" \t\r\n")) for a, b, p in plain_paragraphs(t)], repr(t[:200])
+
+
+def test_scoring_of_a_table_equals_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = license_classifier.trained(docs)
+    got = {(r["doc_id"], r["paragraph"]): r for r in license_classifier.scanned(docs, model).collect()}
+    cues, seen = set(model.cues()), set()
+    for r in docs.collect():
+        for n, (_, _, p) in enumerate(plain_paragraphs(r["text"])):
+            if cues.intersection(license_classifier.words(p)):
+                seen.add((r["doc_id"], n))
+                all_grams = {*license_classifier.words(p), *license_classifier.pairs(p)}
+                hits = [model.weights[g] for g in all_grams if g in model.weights]
+                row = got[r["doc_id"], n]
+                z = (model.bias + sum(hits)) / model.temperature if hits else None
+                chance = license_classifier.softmax(np.append(z, 0.0)[None, :])[0] if hits else np.zeros(1)
+                assert row["probability"] == pytest.approx(chance[:-1].max() if hits else 0.0, abs=1e-9)
+                assert row["family"] == (model.families[int(chance[:-1].argmax())] if hits and chance[:-1].max() >= 0.5 else "unknown")
+    assert seen == set(got)
+
+
 # pipeline
 
 def test_pipeline_stages_take_effect(spark):
