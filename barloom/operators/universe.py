@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
+from barloom.operators.graphs import components
 from barloom.operators.series import ema, index_series, over_chunks
-from barloom.session import settle
+from barloom.session import scratch, settle
 
 # Quote suffix, stable-coin parts, excluded bases and anchors.
 SUFFIX = "USDT"
@@ -225,34 +226,67 @@ def aligned_returns(daily: DataFrame, candidates: DataFrame, least: int = 15, da
     return r.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("_d", "r"))).alias("rets")).filter(F.size("rets") >= least)
 
 
-def tile_correlations(x: np.ndarray, y: np.ndarray, least: int, wanted: np.ndarray, step: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair_sums(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, most: int = 2_000_000) -> list[np.ndarray]:
+    """For every row of x with every row of y, over the columns both have: how many, sums of x, y, xx, yy and xy.
+
+    ``x`` and ``y`` are zero where the masks ``mx`` and ``my`` are. Well-filled tiles are six matrix products. In sparse ones the
+    rows that share a column meet there, at most ``most`` meetings at a time.
+    """
+    meetings = mx.sum(axis=0) * my.sum(axis=0)
+    size = len(x) * len(y)
+    if 16 * int(meetings.sum()) > size * x.shape[1]:
+        fx, fy = mx.astype(np.float64), my.astype(np.float64)
+        return [fx @ fy.T, x @ fy.T, fx @ y.T, (x * x) @ fy.T, fx @ (y * y).T, x @ y.T]
+    sums = [np.zeros(size) for _ in range(6)]
+    (day_x, row_x), (day_y, row_y) = np.nonzero(mx.T), np.nonzero(my.T)
+    first, each = np.searchsorted(day_y, day_x), my.sum(axis=0)[day_x]
+    ends = np.cumsum(each)
+    lo = 0
+    while lo < len(each):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        n = each[lo:hi]
+        left = np.repeat(np.arange(lo, hi), n)
+        right = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(len(left))
+        code = row_x[left] * len(y) + row_y[right]
+        u, v = x[row_x[left], day_x[left]], y[row_y[right], day_y[right]]
+        for total, weight in zip(sums, (None, u, v, u * u, v * v, u * v)):
+            total += np.bincount(code, weight, size)
+        lo = hi
+    return [total.reshape(len(x), len(y)) for total in sums]
+
+
+def tile_correlations(x: np.ndarray, y: np.ndarray, least: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, correlation) of the ``wanted`` pairs that have ``least`` columns in common (NaN where a row has none).
 
-    Rows that share few columns are left out by one product of the masks; the others are correlated pair by pair.
+    A pair of which one side does not vary on the common columns has no correlation.
     """
-    mx, my = (~np.isnan(x)).astype(np.float32), (~np.isnan(y)).astype(np.float32)
-    a, b = np.nonzero(wanted & (mx @ my.T >= least))
-    out = [np.zeros(0)]
-    for i in range(0, len(a), step):
-        u, v = x[a[i:i + step]], y[b[i:i + step]]
-        both = ~(np.isnan(u) | np.isnan(v))
-        n = both.sum(axis=1)
-        u, v = np.where(both, u, 0.0), np.where(both, v, 0.0)
-        with np.errstate(all="ignore"):
-            eu, ev = u.sum(axis=1) / n, v.sum(axis=1) / n
-            cov = (u * v).sum(axis=1) / n - eu * ev
-            out.append(cov / np.sqrt(((u * u).sum(axis=1) / n - eu**2) * ((v * v).sum(axis=1) / n - ev**2)))
-    return a, b, np.concatenate(out)
-
-
-def correlated_pairs(vectors: DataFrame, threshold: float = 0.85, least: int = 15, tile: int = 500) -> DataFrame:
+    def centred(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = ~np.isnan(rows)
+        mean = np.where(mask, rows, 0).sum(axis=1, keepdims=True) / np.maximum(mask.sum(axis=1, keepdims=True), 1)
+        return np.where(mask, rows - mean, 0.0), mask
+
+    (x, mx), (y, my) = centred(x), centred(y)
+    sums = pair_sums(x, y, mx, my)
+    a, b = np.nonzero(wanted & (sums[0] >= least))
+    n, sx, sy, sxx, syy, sxy = (s[a, b] for s in sums)
+    with np.errstate(all="ignore"):
+        vx, vy = sxx / n - (sx / n)**2, syy / n - (sy / n)**2
+        flat = (vx <= 1e-13 * sxx / n) | (vy <= 1e-13 * syy / n)
+        corr = np.where(flat, np.nan, (sxy / n - sx * sy / n**2) / np.sqrt(vx * vy))
+    return a, b, corr
+
+
+def correlated_pairs(vectors: DataFrame, threshold: float = 0.85, least: int = 15, tile: int = 1000) -> DataFrame:
     """Pairs with an absolute correlation above the threshold, of all ranked vectors (symbol, rank from 1, rets).
 
     The ranking is cut into blocks of ``tile`` vectors; each pair of blocks is one task that
     correlates them and returns the strong pairs. A task holds two blocks.
     """
     last = vectors.agg(F.max("rank")).first()[0] or 1
-    own, other = F.floor((F.col("rank") - 1) / tile).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(int((last - 1) // tile))))
+    blocks = int((last - 1) // tile) + 1
+    # few bytes but much work a tile: tasks are counted by tiles, not by bytes
+    tasks = min(blocks * (blocks + 1) // 2, max(4 * vectors.sparkSession.sparkContext.defaultParallelism, blocks * blocks // 128))
+    own, other = F.floor((F.col("rank") - 1) / tile).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     tiles = vectors.select("symbol", F.col("rank").cast("int").alias("rank"), F.map_keys("rets").alias("days"), F.map_values("rets").alias("r"), own.alias("own"), other.alias("other")).select(
         "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -277,26 +311,55 @@ def correlated_pairs(vectors: DataFrame, threshold: float = 0.85, least: int = 1
                    "rank_b": right["rank"].to_numpy()[b], "corr": corr}
         return pd.DataFrame(out)
 
-    return tiles.groupBy("i", "j").applyInPandas(strong, "sym_a string, rank_a int, sym_b string, rank_b int, corr double")
+    return tiles.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(strong, "sym_a string, rank_a int, sym_b string, rank_b int, corr double")
+
+
+def walked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks that a walk by rank drops, for edges from ``a`` to the larger ``b``: those with a smaller neighbour that it keeps."""
+    order = np.lexsort((b, a))
+    lost: set[int] = set()
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        if x not in lost:
+            lost.add(y)
+    return np.array(sorted(lost), dtype=np.int64)
 
 
-def drop_correlated(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+def drop_correlated(ranked: DataFrame, pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
     """Walk the ranking and drop every symbol that correlates with a kept better one.
 
-    The walk is done in rounds on all symbols at once: a symbol with a kept better partner is dropped,
-    one whose better partners are all dropped is kept. The best open symbol is always decided, so the rounds end.
+    Symbols of different connected parts do not touch one another, so each part is walked in a task of its own. Of a part of
+    more than ``most`` edges a round walks the best ranks, with about that many edges among them, and then drops
+    what their kept symbols reach; so the rounds are counted by the edges of the largest part, not by the length of its chains.
     """
-    edges = settle(pairs.select(F.col("sym_a").alias("a"), F.col("sym_b").alias("b")), "edges")
-    gone, open_edges = None, edges
-    while open_edges.limit(1).count():
-        blocked = open_edges.select(F.col("b").alias("a")).distinct()
-        free = settle(open_edges.select("a").distinct().join(blocked, "a", "left_anti"), "kept")
-        lost = settle(open_edges.join(free, "a", "left_semi").select(F.col("b").alias("a")).distinct(), "gone")
-        gone = lost if gone is None else gone.unionByName(lost)
-        # edges of dropped symbols say nothing any more, and those of kept ones are done
-        rest = open_edges.join(free, "a", "left_anti").join(lost, "a", "left_anti").join(lost.select(F.col("a").alias("b")), "b", "left_anti")
-        open_edges = settle(rest.select("a", "b"), "edges")
-    return ranked if gone is None else ranked.join(gone.select(F.col("a").alias("symbol")), "symbol", "left_anti")
+    spark = ranked.sparkSession
+    edges = settle(pairs.select(F.col("rank_a").cast("long").alias("a"), F.col("rank_b").cast("long").alias("b")), "edges")
+    folder, found = scratch(spark, "gone"), False
+    while n := edges.count():
+        if n <= most:
+            now = edges.select("a", "b", F.lit(0).cast("long").alias("part"), F.lit(None).cast("long").alias("cut"))
+        else:
+            parts = edges.join(components(edges).select(F.col("node").alias("a"), F.col("root").alias("part")), "a")
+            cuts = parts.groupBy("part").agg(F.count("*").alias("n"), F.percentile_approx("b", most / n, 10_000).cast("long").alias("cut"))
+            now = settle(parts.join(cuts.withColumn("cut", F.when(F.col("n") > most, F.col("cut"))).drop("n"), "part"), "parts")
+
+        def walk(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"rank": walked(rows["a"].to_numpy(), rows["b"].to_numpy())})
+
+        first = now.filter("cut IS NULL OR b <= cut")
+        lost = settle(first.groupBy("part").applyInPandas(walk, "rank long"), "lost")
+        # a better symbol that was walked and kept drops what lies beyond the cut
+        beyond = now.filter("b > cut AND a <= cut").join(lost.select(F.col("rank").alias("a")), "a", "left_anti").select(F.col("b").alias("rank"))
+        gone = settle(lost.unionByName(beyond).distinct(), "gone")
+        gone.write.mode("append").parquet(folder)
+        found = True
+        left = now.filter("a > cut").select("a", "b")
+        for end in ("a", "b"):
+            left = left.join(gone.select(F.col("rank").alias(end)), end, "left_anti")
+        edges = settle(left.select("a", "b"), "edges")
+    if not found:
+        return ranked
+    gone = spark.read.schema("rank long").parquet(folder)
+    return ranked.join(gone.select(F.col("rank").alias("_lost")), ranked["rank"] == F.col("_lost"), "left_anti")
 
 
 def survivorship(history: DataFrame, today: DataFrame, now: Column, days: int = 7) -> DataFrame:
