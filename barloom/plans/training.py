@@ -119,16 +119,19 @@ def _(spark, d):
 @query("training_matrix", "M09", f"""WITH RECURSIVE {FEATURES_SQL}, un AS (SELECT symbol, count(*) AS nb FROM bars GROUP BY symbol HAVING count(*) >= 100),
 cand AS MATERIALIZED (SELECT symbol, bar_idx, close, atr, 1 AS direction FROM fp WHERE symbol IN (SELECT symbol FROM un) AND bar_idx >= 50 AND cusum_pos > {thr(E.EXTREME)} AND close < range_high),
 {sql_label('cand', SEQ_P)}, labm AS MATERIALIZED (SELECT * FROM lab), {sql_thin('labm', E.MIN_GAP)}
-SELECT k.symbol, k.bar_idx, label, round(weight * (1 + 2.0 * k.bar_idx / 600), 6) AS weight, round(f.atr_pct, 5) AS atr_pct, round(f.cusum_pos, 5) AS cusum_pos, round((f.close - f.range_low) / nullif(f.range_high - f.range_low, 0), 6) AS range_pos FROM labm JOIN kept k USING (symbol, bar_idx) JOIN fp f ON f.symbol = k.symbol AND f.bar_idx = k.bar_idx""")
+SELECT k.symbol, k.bar_idx, label, round(weight * (1 + 2.0 * k.bar_idx / un.nb), 6) AS weight, round(f.atr_pct, 5) AS atr_pct, round(f.cusum_pos, 5) AS cusum_pos,
+  round((f.close - f.range_low) / nullif(f.range_high - f.range_low, 0), 6) AS range_pos
+FROM labm JOIN kept k USING (symbol, bar_idx) JOIN fp f ON f.symbol = k.symbol AND f.bar_idx = k.bar_idx JOIN un ON un.symbol = k.symbol""")
 def _(spark, d):
     from barloom.operators.bars import cached_universe
     b = bars_table(spark, d)
     chosen = b.join(cached_universe(b, 100).select("symbol"), "symbol", "left_semi")
     feats = E.event_features(chosen)
     side = F.when((F.col("cusum_pos") > F.greatest(E.EXTREME["mult"] * F.col("atr_pct"), F.lit(E.EXTREME["floor"]))) & (F.col("close") < F.col("range_high")), 1)
-    ev = T.cap_events(E.detect(feats, chosen, side, SEQ_P), ["symbol"], 1500, tie=["bar_idx"])
-    x = ev.select("symbol", "bar_idx", "label", "weight").join(feats, ["symbol", "bar_idx"])
-    return x.select("symbol", "bar_idx", "label", rnd(F.col("weight") * (1 + 2.0 * F.col("bar_idx") / 600)).alias("weight"), rnd("atr_pct", 5).alias("atr_pct"), rnd("cusum_pos", 5).alias("cusum_pos"),
+    # every event takes part; capped_events shows the cap. Later bars of a series weigh more, by its own length
+    ev = E.detect(feats, chosen, side, SEQ_P).select("symbol", "bar_idx", "label", "weight")
+    x = ev.join(feats, ["symbol", "bar_idx"]).join(chosen.groupBy("symbol").agg(F.count("*").alias("n")), "symbol").withColumn("pos", F.col("bar_idx"))
+    return x.select("symbol", "bar_idx", "label", rnd(F.col("weight") * T.recency_weight()).alias("weight"), rnd("atr_pct", 5).alias("atr_pct"), rnd("cusum_pos", 5).alias("cusum_pos"),
                     rnd(F.try_divide(F.col("close") - F.col("range_low"), F.col("range_high") - F.col("range_low"))).alias("range_pos"))
 
 

@@ -74,8 +74,15 @@ def loss_streaks(trades: DataFrame, limit: int = 3, factor: float = 0.5) -> Data
     return keyed_fold(trades, ["agent"], ["t", "id"], S.loss_streak(limit, factor), {}, "t long, id long, daily_pnl double, losses int, size_factor double, agent string")
 
 
-def picks(rows: DataFrame) -> DataFrame:
-    return keyed_fold(rows, ["symbol"], ["t", "seq"], S.pick_lifecycle(), {}, "id long, t long, status string, best double, worst double, final boolean, symbol string")
+def timed(rows: DataFrame, watermark: str) -> DataFrame:
+    """Rows with the event time of ``t`` (seconds) and a watermark; later ones than that are dropped by Spark."""
+    return rows.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", watermark)
+
+
+def picks(rows: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """Status of the picks of each symbol. A pick of a symbol without further rows expires when the watermark passes its end."""
+    return keyed_fold(timed(rows, watermark), ["symbol"], ["t", "seq"], S.pick_lifecycle(), {},
+                      "id long, t long, status string, best double, worst double, final boolean, symbol string", S.quiet_picks())
 
 
 def capped_picks(picked: DataFrame, limit: int = 20) -> DataFrame:
@@ -83,8 +90,9 @@ def capped_picks(picked: DataFrame, limit: int = 20) -> DataFrame:
     return keyed_fold(picked.withColumn("day", F.floor(F.col("t") / 86400)), ["day"], ["t", "id"], S.daily_cap(limit), {}, "t long, id long, day long")
 
 
-def decisions(rows: DataFrame) -> DataFrame:
-    return keyed_fold(rows, ["symbol"], ["t", "seq"], S.decision_outcome(), {}, "id long, t long, outcome string, accuracy double, symbol string")
+def decisions(rows: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """Outcome of vetoed decisions; one that reaches nothing expires by its rows or by the watermark."""
+    return keyed_fold(timed(rows, watermark), ["symbol"], ["t", "seq"], S.decision_outcome(), {}, "id long, t long, outcome string, accuracy double, symbol string", S.quiet_decisions())
 
 
 def replay(stream: DataFrame, name: str) -> DataFrame:

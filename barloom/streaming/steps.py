@@ -29,28 +29,46 @@ def ring(size: int):
     return step
 
 
-def adwin_update(window: list[float], x: float, delta: float, longest: int = 2000) -> tuple[list[float], bool]:
-    """One ADWIN observation: cut the window where its two parts differ most beyond the bound."""
-    w = [*window, x][-longest:]
-    n = len(w)
+#: Buckets of one size in an ADWIN window before two of them become one of double size.
+PER_SIZE = 5
+
+
+def adwin_update(window: list[list[float]], x: float, delta: float) -> tuple[list[list[float]], bool]:
+    """One ADWIN observation on a window of buckets [values, sum], oldest first: cut it where its two parts differ most beyond the bound.
+
+    Bucket sizes are powers of two that fall towards the present, at most PER_SIZE of each, so a window of n values is
+    about PER_SIZE * log2(n) buckets, and the cuts tried are those between buckets.
+    """
+    w = [*window, [1, x]]
+    i, size = len(w), 1
+    while True:
+        first = next((j for j in range(i) if w[j][0] == size), i)
+        if i - first <= PER_SIZE:
+            break
+        w[first:first + 2] = [[2 * size, w[first][1] + w[first + 1][1]]]
+        # the merged bucket is the newest of the next size
+        i, size = first + 1, 2 * size
+    sizes, sums = np.array([v[0] for v in w]), np.array([v[1] for v in w])
+    n, total = int(sizes.sum()), sums.sum()
     if n < 10:
         return w, False
-    a = np.cumsum(w)
-    stride = max(1, n // 20)
-    cuts = np.array([c for c in range(stride, n - stride + 1, stride) if c >= 5 and n - c >= 5])
-    if not len(cuts):
+    cuts, left = np.cumsum(sizes)[:-1], np.cumsum(sums)[:-1]
+    able = (cuts >= 5) & (n - cuts >= 5)
+    if not able.any():
         return w, False
-    gap = np.abs(a[cuts - 1] / cuts - (a[-1] - a[cuts - 1]) / (n - cuts))
+    cuts, left, at = cuts[able], left[able], np.flatnonzero(able)
+    gap = np.abs(left / cuts - (total - left) / (n - cuts))
     bound = np.sqrt((1.0 / cuts + 1.0 / (n - cuts)) / 2.0 * math.log(4.0 * math.log(n) / delta))
     over = np.where(gap >= bound, gap, 0.0)
     best = int(np.argmax(over))
-    return (w[int(cuts[best]):], True) if over[best] > 0 else (w, False)
+    return (w[int(at[best]) + 1:], True) if over[best] > 0 else (w, False)
 
 
 def adwin(delta: float = 0.002):
     def step(s: dict, r: dict) -> tuple[dict, list[tuple]]:
         w, hit = adwin_update(s.get("w", []), r["x"], delta)
-        return {"w": w}, [(r["t"], r["id"], hit, float(np.mean(w)), len(w))]
+        n = sum(v[0] for v in w)
+        return {"w": w}, [(r["t"], r["id"], hit, float(sum(v[1] for v in w) / n), int(n))]
     return step
 
 
@@ -179,6 +197,24 @@ def pick_lifecycle(hold: float = 43200.0, life: float = 86400.0):
     return step
 
 
+def quiet_picks(life: float = 86400.0):
+    """What a timer does for the picks of a symbol without rows: when the next one ends, and those that have ended by ``now``."""
+    def expire(s: dict, now: float) -> tuple[dict, list[tuple]]:
+        over = [p for p in s.get("open", []) if now - p["t"] > life]
+        out = [(p["id"], int(p["t"] + life), "EXPIRED" if p["status"] == "PENDING" else p["status"], p["best"], p["worst"], True) for p in over]
+        return {**s, "open": [p for p in s.get("open", []) if now - p["t"] <= life]}, out
+    return lambda s: min(p["t"] for p in s["open"]) + life if s.get("open") else None, expire
+
+
+def quiet_decisions(life: float = 30 * 86400.0):
+    """The same for decisions that wait for a target or a stop."""
+    def expire(s: dict, now: float) -> tuple[dict, list[tuple]]:
+        hits = s.get("hits", [])
+        out = [(d[0], int(d[4] + life), "EXPIRED", float(np.mean(hits)) if hits else None) for d in s.get("open", []) if now - d[4] > life]
+        return {**s, "open": [d for d in s.get("open", []) if now - d[4] <= life]}, out
+    return lambda s: min(d[4] for d in s["open"]) + life if s.get("open") else None, expire
+
+
 def daily_cap(limit: int = 20):
     """The first ``limit`` picks of a day pass."""
     def step(s: dict, r: dict) -> tuple[dict, list[tuple]]:
