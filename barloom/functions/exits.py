@@ -15,15 +15,6 @@ SL, TP, TIMEOUT = 0, 1, 2
 LABELS = np.array(["SL", "TP", "TIMEOUT"])
 
 
-def pad(column) -> np.ndarray:
-    """Ragged list column to a matrix, NaN beyond each path."""
-    rows = [np.asarray(v, dtype=float) for v in column]
-    out = np.full((len(rows), max((len(r) for r in rows), default=0)), np.nan)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
-
-
 def grid_exit(o, h, lo, c, entry, atr, bank, fraction, trail, stop, pre: int, post: int,
               penetration: float, slip_cap: float):
     """Bank-and-trail rule on a grid: (label, realized, drawdown), each events x grid.

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,45 @@ def path_arrays(events: DataFrame, bars: DataFrame, horizon: int, cols: Sequence
     )
 
 
+#: Bars of a chunk in a sweep, and numbers of the paths that a task holds at once.
+SWEEP_BARS, SWEEP_CELLS = 2048, 4_000_000
+
+
+def sweep(events: DataFrame, bars: DataFrame, horizon: int, cols: Sequence[str], walk: Callable[[pd.DataFrame, dict[str, np.ndarray]], pd.DataFrame], schema: str,
+          first: int = 1, chunk: int = SWEEP_BARS) -> DataFrame:
+    """``walk(events, paths)`` over all events (symbol, bar_idx, ...) of a chunk of a series, with a matrix (events x bars ``first`` .. ``horizon``) of each column.
+
+    Bars move once for their own chunk, and once more for an earlier chunk if events there reach them; events move once. Paths are cut
+    from the chunk's arrays inside the task, a bounded number at a time, NaN beyond the end of the series.
+    """
+    chunk = max(chunk, 1)
+    ev = events.withColumn("_blk", F.floor(F.col("bar_idx") / chunk))
+    reach = F.sequence(F.floor((F.col("bar_idx") - horizon) / chunk), F.floor((F.col("bar_idx") - first) / chunk))
+    wanted = ev.select("symbol", "_blk").distinct()
+    halo = bars.select("symbol", "bar_idx", *[F.col(c).cast("double").alias(f"_{c}") for c in cols]).withColumn("_blk", F.explode(reach)).join(wanted, ["symbol", "_blk"], "left_semi")
+    most = max(1, SWEEP_CELLS // ((horizon - first + 1) * len(cols)))
+    steps = np.arange(first, horizon + 1)
+
+    def run(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values("bar_idx")
+        at = near["bar_idx"].to_numpy()
+        values = {c: np.append(near[f"_{c}"].to_numpy(), np.nan) for c in cols}
+        mine = mine.sort_values("bar_idx", kind="stable").drop(columns="_blk")
+        out = []
+        for lo in range(0, len(mine), most):
+            some = mine.iloc[lo:lo + most]
+            want = some["bar_idx"].to_numpy()[:, None] + steps[None, :]
+            place = np.searchsorted(at, want)
+            place = np.where((place < len(at)) & (np.append(at, -1)[place] == want), place, len(at))
+            # events without a bar ahead have no path
+            some, place = some[(place < len(at)).any(axis=1)], place[(place < len(at)).any(axis=1)]
+            if len(some):
+                out.append(walk(some, {c: v[place] for c, v in values.items()}))
+        return pd.concat(out) if out else pd.DataFrame({c.strip().split(" ")[0]: [] for c in schema.split(",")})
+
+    return ev.groupBy("symbol", "_blk").cogroup(halo.groupBy("symbol", "_blk")).applyInPandas(run, schema)
+
+
 def barrier_label(events: DataFrame, bars: DataFrame, tp_atr: float, sl_atr: float, max_bars: int,
                   keys: Sequence[str] = ("symbol", "bar_idx", "direction")) -> DataFrame:
     """First of target and stop to be touched within ``max_bars``.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions import exits as X
 from barloom.operators.aggregates import exact_quantiles, profit_factor
 from barloom.operators.episodes import gap_bucket, nearest_choice, outcome_bucket, score_band
-from barloom.operators.labels import path_arrays, staged_exit
+from barloom.operators.labels import SWEEP_BARS, path_arrays, staged_exit, sweep
 
 # Stop levels and the exit grid.
 STOPS = (0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.4, 3.0)
@@ -38,39 +38,28 @@ def staged_outcomes(starts: DataFrame, bars: DataFrame, stops: Sequence[float] =
         (F.col("start_bar") + F.col("_o.off")).alias("exit_bar"), F.col("_o.banked").alias("banked"))
 
 
-def path_columns(starts: DataFrame, bars: DataFrame, horizon: int, cols: Sequence[str], first: int = 1) -> DataFrame:
-    """Forward paths as one array<double> per field: the shape the Arrow batches want."""
-    ev = starts.withColumnRenamed("start_bar", "bar_idx")
-    p = path_arrays(ev, bars, horizon, cols, ["symbol", "bar_idx"], first)
-    return p.select(*[c for c in p.columns if c != "path"],
-                    *[F.col(f"path.f_{c}").cast("array<double>").alias(f"p_{c}") for c in cols])
-
-
 def grid_rows(pre: int, post: int, stops: Sequence[float] = STOPS) -> list[tuple[float, float, float, float, float]]:
     return [(b, f, t, r, s) for b in BANK for f in FRACTION for t in ACTIVATE for r in TRAIL for s in stops]
 
 
 def decision_matrix(starts: DataFrame, bars: DataFrame, pre: int = 24, post: int = 48, penetration: float = 0.20,
-                    slip_cap: float = 0.25, stops: Sequence[float] = STOPS) -> DataFrame:
-    """Outcome totals per exit grid point. Each task reduces its own events before the shuffle."""
+                    slip_cap: float = 0.25, stops: Sequence[float] = STOPS, chunk: int = SWEEP_BARS) -> DataFrame:
+    """Outcome totals per exit grid point. Each chunk of a series reduces its own events before the shuffle."""
     grid = grid_rows(pre, post, stops)
     g = np.array(grid)
     names = ["bank_atr", "bank_fraction", "trail_activate_atr", "runner_trail_atr", "sl_atr"]
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            lab, val, dd = X.grid_exit(
-                X.pad(b.p_open), X.pad(b.p_high), X.pad(b.p_low), X.pad(b.p_close), b.close.to_numpy(), b.atr.to_numpy(),
-                g[:, 0], g[:, 1], g[:, 3], g[:, 4], pre, post, penetration, slip_cap)
-            yield pd.DataFrame(dict(
-                zip(names, g.T), n=len(b), tp=(lab == X.TP).sum(0), sl=(lab == X.SL).sum(0), timeout=(lab == X.TIMEOUT).sum(0),
-                total=val.sum(0), gains=np.maximum(val, 0).sum(0), losses=-np.minimum(val, 0).sum(0), dd_sum=dd.sum(0), dd_max=dd.max(0)))
+    def reduce(b: pd.DataFrame, path: dict[str, np.ndarray]) -> pd.DataFrame:
+        lab, val, dd = X.grid_exit(
+            path["open"], path["high"], path["low"], path["close"], b.close.to_numpy(), b.atr.to_numpy(),
+            g[:, 0], g[:, 1], g[:, 3], g[:, 4], pre, post, penetration, slip_cap)
+        return pd.DataFrame(dict(
+            zip(names, g.T), n=len(b), tp=(lab == X.TP).sum(0), sl=(lab == X.SL).sum(0), timeout=(lab == X.TIMEOUT).sum(0),
+            total=val.sum(0), gains=np.maximum(val, 0).sum(0), losses=-np.minimum(val, 0).sum(0), dd_sum=dd.sum(0), dd_max=dd.max(0)))
 
     schema = ", ".join(f"{n} double" for n in names) + ", n long, tp long, sl long, timeout long, total double, gains double, losses double, dd_sum double, dd_max double"
-    paths = path_columns(starts, bars, pre + post, ["open", "high", "low", "close"])
-    part = paths.select("close", "atr", "p_open", "p_high", "p_low", "p_close").mapInPandas(reduce, schema)
+    ev = starts.select("symbol", F.col("start_bar").alias("bar_idx"), "close", "atr")
+    part = sweep(ev, bars, pre + post, ["open", "high", "low", "close"], reduce, schema, chunk=chunk)
     t = part.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("n", "tp", "sl", "timeout", "total", "gains", "losses", "dd_sum")], F.max("dd_max").alias("dd_max"))
     pf = F.when(F.col("losses") == 0, F.when(F.col("gains") > 0, float("inf")).otherwise(0.0)).otherwise(F.try_divide("gains", "losses"))
     return t.select(*names, F.col("n").alias("count"), F.col("tp").alias("tp_count"), F.col("sl").alias("sl_count"), F.col("timeout").alias("timeout_count"),
@@ -84,28 +73,23 @@ FLOW = ["open", "high", "low", "close", "volume_ratio", "quote_slope", "taker_sl
 
 def adaptive_outcomes(starts: DataFrame, ctx: DataFrame, stops: Sequence[float] = STOPS, bank: float = 5.4, fraction: float = 0.5,
                       activate: float = 5.4, trail: float = 6.0, pre: int = 288, post: int = 288, penetration: float = 0.20,
-                      slip_cap: float = 0.25, material: float = 1.0) -> DataFrame:
+                      slip_cap: float = 0.25, material: float = 1.0, chunk: int = SWEEP_BARS) -> DataFrame:
     """Flow-adaptive staged exits of every event at every stop level (one walk serves all stops)."""
     levels = np.array(stops, dtype=float)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            full = {c: X.pad(b[f"p_{c}"]) for c in FLOW}
-            head = {c: v[:, 0] for c, v in full.items()}
-            lab, val, off, px, slip, banked, dd = X.adaptive_exit(
-                {c: v[:, 1:] for c, v in full.items()}, head, b.close.to_numpy(), b.atr.to_numpy(), levels, bank, fraction,
-                activate, trail, pre, post, penetration, slip_cap, material)
-            k = len(levels)
-            yield pd.DataFrame({
-                "symbol": np.repeat(b.symbol.to_numpy(), k), "start_bar": np.repeat(b.bar_idx.to_numpy(), k), "sl_atr": np.tile(levels, len(b)),
-                "outcome": X.LABELS[lab].ravel(), "realized": val.ravel(), "exit_bar": (b.bar_idx.to_numpy()[:, None] + off).ravel(),
-                "exit_price": px.ravel(), "stop_slip_atr": slip.ravel(), "banked": banked.ravel(), "max_drawdown": dd.ravel()})
+    def walk(b: pd.DataFrame, path: dict[str, np.ndarray]) -> pd.DataFrame:
+        lab, val, off, px, slip, banked, dd = X.adaptive_exit(
+            {c: v[:, 1:] for c, v in path.items()}, {c: v[:, 0] for c, v in path.items()}, b.close.to_numpy(), b.atr.to_numpy(), levels,
+            bank, fraction, activate, trail, pre, post, penetration, slip_cap, material)
+        k = len(levels)
+        return pd.DataFrame({
+            "symbol": np.repeat(b.symbol.to_numpy(), k), "start_bar": np.repeat(b.bar_idx.to_numpy(), k), "sl_atr": np.tile(levels, len(b)),
+            "outcome": X.LABELS[lab].ravel(), "realized": val.ravel(), "exit_bar": (b.bar_idx.to_numpy()[:, None] + off).ravel(),
+            "exit_price": px.ravel(), "stop_slip_atr": slip.ravel(), "banked": banked.ravel(), "max_drawdown": dd.ravel()})
 
     schema = "symbol string, start_bar long, sl_atr double, outcome string, realized double, exit_bar long, exit_price double, stop_slip_atr double, banked boolean, max_drawdown double"
-    horizon = pre + post + 12
-    return path_columns(starts, ctx, horizon, FLOW, first=0).mapInPandas(walk, schema)
+    ev = starts.select("symbol", F.col("start_bar").alias("bar_idx"), "close", "atr")
+    return sweep(ev, ctx, pre + post + 12, FLOW, walk, schema, first=0, chunk=chunk)
 
 
 # -- statistics ---------------------------------------------------------------------------------
