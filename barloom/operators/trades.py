@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -152,25 +153,45 @@ def multi_fold_score(folds: DataFrame, keys: Sequence[str], p: dict = FOLD) -> D
         + F.least(F.lit(p["bonus_cap"]), F.col("total") / p["bonus_target"] * p["bonus_cap"])).alias("score"))
 
 
-def bootstrap_profit_factor(trades: DataFrame, value: str, id_cols: Sequence[str], reps: int = 1000, q: float = 0.05, floor_rows: int = 0) -> DataFrame:
+def poisson_cuts(steps: int = 65536) -> list[int]:
+    """Least of ``steps`` equal chances at which a Poisson(1) weight is 1, 2, ..."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 20):
+        total += term
+        term /= k
+        if total * steps < steps - 0.5:
+            out.append(math.ceil(total * steps))
+    return out
+
+
+def bootstrap_chance(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """A number below 65536 for every id and replicate: integer mixing on 32 bits."""
+    x = (ids.astype(np.uint32)[:, None] * np.uint32(2654435761)) ^ (reps.astype(np.uint32)[None, :] * np.uint32(2246822519))
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return (x ^ (x >> np.uint32(16))) >> np.uint32(16)
+
+
+def bootstrap_profit_factor(trades: DataFrame, value: str, id_col: str, reps: int = 1000, q: float = 0.05, floor_rows: int = 0) -> DataFrame:
     """Lower quantile of the bootstrap profit factor.
 
-    Poisson bootstrap: each row draws a Poisson(1) weight per replicate from a hash of its id,
-    so the result does not depend on partitioning; tasks pass on only their replicate sums.
+    Poisson bootstrap: each row draws a Poisson(1) weight per replicate from a hash of its integer id (its low 32 bits) and the
+    replicate, so the result does not depend on partitioning; tasks pass on only their replicate sums.
     """
-    base = trades.select(F.col(value).cast("double").alias("v"), F.xxhash64(*id_cols).alias("h"))
+    base = trades.select(F.col(value).cast("double").alias("v"), (F.col(id_col).cast("long").bitwiseAND(F.lit(2**32 - 1))).alias("id"))
+    weights = np.searchsorted(np.array(poisson_cuts()), np.arange(65536), side="right").astype(np.float32)
+    every = np.arange(reps)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gains, losses, rows = np.zeros(reps), np.zeros(reps), 0
         for b in batches:
-            for v, h in zip(b.v.to_numpy(), b.h.to_numpy()):
-                w = np.random.default_rng(int(h) & (2**63 - 1)).poisson(1.0, reps)
-                if v > 0:
-                    gains += w * v
-                else:
-                    losses -= w * v
+            v, ids = b["v"].to_numpy(), b["id"].to_numpy()
+            for lo in range(0, len(v), 1000):
+                w, part = weights[bootstrap_chance(ids[lo:lo + 1000], every)], v[lo:lo + 1000]
+                gains += np.maximum(part, 0) @ w
+                losses -= np.minimum(part, 0) @ w
             rows += len(b)
-        yield pd.DataFrame({"rep": np.arange(reps), "g": gains, "l": losses, "n": rows})
+        yield pd.DataFrame({"rep": every, "g": gains, "l": losses, "n": rows})
 
     per = base.mapInPandas(sums, "rep int, g double, l double, n long").groupBy("rep").agg(F.sum("g").alias("g"), F.sum("l").alias("l"), F.sum("n").alias("n"))
     pf = per.select("n", F.when(F.col("l") == 0, 10.0).otherwise(F.try_divide("g", "l")).alias("pf"))

@@ -143,9 +143,18 @@ def _(spark, d):
     return m.select(*[rnd(c, 5).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
-@query("bootstrap_profit_factor", "A37")
+BOOT_WEIGHT = " + ".join(f"(c >= {cut})::INT" for cut in T.poisson_cuts())
+
+
+@query("bootstrap_profit_factor", "A37", f"""WITH {TR}, i AS (SELECT (id & 4294967295)::UBIGINT AS id, pnl FROM trd), r AS (SELECT i::UBIGINT AS rep FROM range(1000) t(i)),
+x0 AS (SELECT rep, pnl, xor((id * 2654435761::UBIGINT) & 4294967295, (rep * 2246822519::UBIGINT) & 4294967295) AS x FROM i, r),
+x1 AS (SELECT rep, pnl, (xor(x, x >> 16) * 2246822507::UBIGINT) & 4294967295 AS x FROM x0),
+x2 AS (SELECT rep, pnl, (xor(x, x >> 13) * 3266489909::UBIGINT) & 4294967295 AS x FROM x1),
+x3 AS (SELECT rep, pnl, (xor(x, x >> 16) >> 16)::INT AS c FROM x2), w AS (SELECT rep, pnl, {BOOT_WEIGHT} AS w FROM x3),
+g AS (SELECT rep, sum(w * greatest(pnl, 0)) AS g, -sum(w * least(pnl, 0)) AS l, count(*) AS n FROM w GROUP BY rep)
+SELECT max(n) AS rows, round(quantile_cont(CASE WHEN l = 0 THEN 10.0 ELSE g / l END, 0.05), 8) AS pf_low FROM g""")
 def _(spark, d):
-    return T.bootstrap_profit_factor(trades(spark, d), "pnl", ["id"], reps=1000)
+    return T.bootstrap_profit_factor(trades(spark, d), "pnl", "id", reps=1000).select("rows", rnd("pf_low", 8).alias("pf_low"))
 
 
 @query("parameter_perturbation", "F16", f"""WITH {FOLD_SQL}, b AS (SELECT agent, quantile_cont(s, 0.5) AS base FROM s1 GROUP BY agent), x AS (SELECT agent, base, dir, base * (1 + dir * 0.2) AS value, base - abs(base) * 0.1 * (dir + 2) AS trial FROM b, (VALUES (-1), (1)) t(dir))

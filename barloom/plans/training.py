@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import episodes as P
 from barloom.operators import events as E
 from barloom.operators import labels as L
+from barloom.operators import filters as FL
 from barloom.operators import joins as J
 from barloom.operators import training as T
 from barloom.operators import universe as U
@@ -149,6 +150,34 @@ def _(spark, d):
     return T.learned_filter(model_rows(spark, d), COLS, "label", "weight", [0, 1, 2]).select("id", "fold", "label", rnd("proba", 4).alias("proba"))
 
 
+STOP_TARGETS = [f"up_{level}" for level in range(15, 55, 5)]
+
+
+def filter_rows(spark, d):
+    """Prediction rows with one target for each of eight levels."""
+    r = T.assign_folds(rows(spark, d), 3, 0.25)
+    hits = [(F.col("move") + F.col("k") > int(name[3:])).cast("int").alias(name) for name in STOP_TARGETS]
+    return r.select("id", "fold", "prob", F.col("k").cast("double").alias("k_num"), "move", F.hour("ts").cast("double").alias("hour"), *hits)
+
+
+def filtered(spark, d):
+    r = settle(filter_rows(spark, d), "filter-input")
+    return FL.scored_by_filters(r, FL.fit_filters(r, COLS, STOP_TARGETS, 3), COLS, STOP_TARGETS)
+
+
+@query("learned_filters_by_target", "M10")
+def _(spark, d):
+    names = F.array(*[F.lit(t) for t in STOP_TARGETS])
+    one = filtered(spark, d).select("id", "fold", F.posexplode("proba").alias("t", "proba"))
+    return one.select("id", "fold", F.element_at(names, F.col("t") + 1).alias("target"), rnd("proba", 5).alias("proba"))
+
+
+@query("learned_filter_quality", "M10")
+def _(spark, d):
+    q = FL.filter_quality(filtered(spark, d), STOP_TARGETS)
+    return q.select("target", "fold", "rows", "positives", rnd("auc", 4).alias("auc"), "weak")
+
+
 @query("top_coefficients", "K10")
 def _(spark, d):
     return T.top_coefficients(model_rows(spark, d), COLS, "label", "weight", 3)
