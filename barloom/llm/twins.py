@@ -71,4 +71,20 @@ OP13 = f"""
     FROM scored ANTI JOIN dropped USING (lang, phrase))
   SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranks JOIN totals USING (lang) WHERE rank <= 2000"""
 
-SQL: dict[str, str] = {"op11_importance_radix": OP11, "op13_phrase_growth": OP13}
+OP6 = f"""
+  WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, hash(g) AS s FROM (
+      SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g
+      FROM words WHERE len(w) > 0)),
+  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS MATERIALIZED (
+    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+  reached AS (SELECT doc_id, doc_id AS c FROM sizes UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.c)
+  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+  FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id) USING (doc_id)"""
+
+SQL: dict[str, str] = {"op6_token_group_join": OP6, "op11_importance_radix": OP11, "op13_phrase_growth": OP13}
