@@ -9,6 +9,8 @@ from barloom.operators import events as E
 from barloom.operators import labels as L
 from barloom.operators import filters as FL
 from barloom.operators import joins as J
+from barloom.operators import monitor as MO
+from barloom.operators import specialists as SP
 from barloom.operators import training as T
 from barloom.operators import universe as U
 from barloom.operators.series import thin
@@ -190,6 +192,21 @@ def _(spark, d):
     return T.boosted_classifier(train, test, COLS, "label", "weight").select("id", "label", rnd("proba", 4).alias("proba"))
 
 
+@query("specialist_classifiers", "M11 A40")
+def _(spark, d):
+    # the first three fifths fit, the next fifth stops the trees and sets the conformal limits, the last is scored
+    part = F.floor(F.col("pos") * 5 / F.col("n"))
+    target = (F.col("move") + F.col("k") > 30).cast("int")
+    r = settle(rows(spark, d).select("id", "model", "prob", F.col("k").cast("double").alias("k_num"), "move", F.hour("ts").cast("double").alias("hour"), target.alias("y"),
+                                     T.recency_weight().alias("weight"), part.alias("part")).withColumnRenamed("prob", "given"), "specialists")
+    names = ["given", "move", "hour"]
+    fitted = SP.fit_specialists(r.filter("part < 4").withColumn("valid", F.col("part") == 3), names, "y", "weight", "model", "valid", trees=20)
+    scored = SP.scored_by_specialists(r.filter("part >= 3"), fitted, names, "model")
+    limits = MO.conformal_threshold(scored.filter("part = 3"), ["model"])
+    return MO.conformal_sets(scored.filter("part = 4").select("id", "model", "y", "prob"), limits, ["model"]).select(
+        "id", "model", "y", rnd("prob", 5).alias("prob"), "set_size", "covered")
+
+
 VAR_SQL = """v AS (SELECT CAST(slot AS INT) AS slot, var_pop(x) AS variance FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS slot FROM embeddings) GROUP BY slot)"""
 
 

@@ -122,3 +122,13 @@ def test_confirmed_drift_needs_two_streams():
     both = run(S.confirmed_drift(0), [{"t": i, "id": i, "acc": float(i < 200), "cal": float(i >= 200), "feat": 0.5} for i in range(400)])
     only = run(S.confirmed_drift(0), [{"t": i, "id": i, "acc": float(i < 200), "cal": 0.5, "feat": 0.5} for i in range(400)])
     assert any(c for _, _, c in both) and not any(c for _, _, c in only)
+
+
+def test_regime_entropy_blends_its_parts(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.features import regime_entropy
+    rows = [(0.0, 0.5, 1.5, 0.0), (3.0, 0.9, 0.25, 0.5), (1.0, 0.1, 1.0, 1.0), (-1.0, 0.5, 0.0, 0.2)]
+    got = [r[0] for r in spark.createDataFrame(rows, "e double, h double, t double, w double").select(regime_entropy(*map(F.col, "ehtw"))).collect()]
+    want = [0.3 * (min(1, e / 2) if e > 0 else 0) + 0.6 * abs(h - 0.5) + 0.2 * (1 - t if t < 1 else 0) + 0.2 * w for e, h, t, w in rows]
+    assert np.allclose(got, want)

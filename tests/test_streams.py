@@ -92,3 +92,18 @@ def test_order_of_batches_does_not_matter_for_rows_in_order(spark, tmp_path):
     parts = fed(spark, str(tmp_path / "parts"), [rows[:37], rows[37:60], rows[60:]], live.picks)
     key = [F.col(c) for c in ("id", "t", "status", "final")]
     assert sorted(map(tuple, whole.select(*key).collect())) == sorted(map(tuple, parts.select(*key).collect())) and whole.count() > 10
+
+
+def test_adaptive_level_follows_its_recursion():
+    rng = np.random.default_rng(3)
+    scores = rng.random(500)
+    state, step, alpha = {}, S.adaptive_alpha(scores.tolist(), 0.1, 0.005), 0.1
+    limit = np.quantile(scores, min(1.0, math.ceil(0.9 * 501) / 500))
+    for i in range(3000):
+        p, y = rng.random(), 1
+        state, ((_, _, covered, level, threshold),) = step(state, {"t": i, "id": i, "prob": p, "y": y})
+        hit = 1 - p > limit
+        alpha = min(0.5, max(0.001, alpha + 0.005 * (float(hit) - 0.1)))
+        limit = np.quantile(scores, min(1.0, math.ceil((1 - alpha) * 501) / 500))
+        assert covered is not hit and abs(level - alpha) < 1e-12 and abs(threshold - limit) < 1e-12
+    assert 0.001 < alpha <= 0.5
