@@ -11,6 +11,7 @@ from barloom.plans.registry import query
 from barloom.plans.windows import W
 from barloom.session import scratch
 from barloom.sources import landing as S
+from barloom.sources.snapshots import read_table
 
 OHLCV = ["open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote"]
 
@@ -229,7 +230,7 @@ def _(spark, d):
     path = scratch(spark, "dataset")
     b = bars(spark, d).select("symbol", "bar_idx", "t", "close", "volume")
     S.write_event_dataset(b, b.filter(F.col("volume") > 500).select("symbol", "bar_idx"), path, 1, "v1")
-    return spark.read.parquet(f"{path}/manifest").select("symbol", "n_bars", "max_time", "version", "token")
+    return read_table(spark, path, "manifest").select("symbol", "n_bars", "max_time", "version", "token")
 
 
 @query("run_folder_tables", "S20 S21", """WITH t AS (SELECT CAST(year(l_shipdate) AS INT) AS w, l_extendedprice * (0.05 - l_discount) AS pnl, 50 + l_quantity AS score FROM lineitem)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators.bars import merge_bars, normalize_bars
+from barloom.sources.snapshots import publish
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("interval", T.StringType()), T.StructField("open_time", T.TimestampType()),
@@ -230,12 +231,20 @@ def audit_columns(log: DataFrame) -> DataFrame:
                       ((F.unix_seconds("exit_time") - F.unix_seconds("entry_time")) / 60.0).alias("hold_minutes"))
 
 
-def write_event_dataset(values: DataFrame, events: DataFrame, path: str, version: int, token: str) -> None:
-    """Bar values, events and a manifest row per symbol; the committer makes each write all-or-nothing."""
-    values.repartition("symbol", F.floor(F.col("bar_idx") / 65536)).write.mode("overwrite").parquet(f"{path}/values")
-    events.write.mode("overwrite").parquet(f"{path}/events")
-    manifest = values.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.count(F.lit(1)).alias("n_values"), F.max("t").alias("max_time"))
-    manifest.select("*", F.lit(version).alias("version"), F.lit(token).alias("token"), F.lit(True).alias("keys_ok")).write.mode("overwrite").parquet(f"{path}/manifest")
+def write_event_dataset(values: DataFrame, events: DataFrame, path: str, version: int, token: str) -> str:
+    """Publish bar values, events and a manifest row per symbol as one snapshot: all or nothing.
+
+    The manifest counts the values that were written.
+    """
+    spark = values.sparkSession
+
+    def manifest(folder: str) -> DataFrame:
+        written = spark.read.schema(values.schema).parquet(f"{folder}/values").groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("n_bars"), F.count(F.lit(1)).alias("n_values"), F.max("t").alias("max_time"))
+        return written.select("*", F.lit(version).alias("version"), F.lit(token).alias("token"), F.lit(True).alias("keys_ok"))
+
+    spread = values.repartition("symbol", F.floor(F.col("bar_idx") / 65536))
+    return publish(spark, {"values": spread, "events": events, "manifest": manifest}, path, version, token)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:

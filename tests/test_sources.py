@@ -1,5 +1,6 @@
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.sources import landing as L
@@ -69,3 +70,28 @@ def test_a_fold_gives_equal_rows_however_the_stream_is_cut(spark, tmp_path):
         return sorted(map(tuple, live.replay(live.rate_history(stream, 10), "cut").collect()))
 
     assert replayed(1) == replayed(4) and len(replayed(3)) == len(rows)
+
+
+def test_a_dataset_is_published_whole_or_not_at_all(spark, tmp_path):
+    from barloom.sources import snapshots as N
+    path = str(tmp_path / "set")
+    assert N.newest(spark, path) is None and N.catalog(spark, path).count() == 0
+    with pytest.raises(FileNotFoundError):
+        N.read_table(spark, path, "values")
+    values = spark.range(10).selectExpr("'a' AS symbol", "id AS bar_idx", "id AS t")
+    events = values.filter("bar_idx = 3")
+    first = L.write_event_dataset(values, events, path, 1, "one")
+
+    def state():
+        manifest = N.read_table(spark, path, "manifest").first()
+        return N.read_table(spark, path, "values").count(), N.read_table(spark, path, "events").count(), manifest["n_values"], manifest["token"]
+
+    assert state() == (10, 1, 10, "one")
+    # a writer that dies after the values of the second snapshot, before its events
+    broken = events.withColumn("t", F.expr("CAST(raise_error('lost') AS BIGINT)"))
+    with pytest.raises(Exception, match="lost"):
+        L.write_event_dataset(values.union(values), broken, path, 2, "two")
+    assert state() == (10, 1, 10, "one") and N.catalog(spark, path).select("snapshot").distinct().count() == 1
+    L.write_event_dataset(values.union(values), events, path, 2, "two")
+    assert state() == (20, 1, 20, "two") and N.read_table(spark, path, "values", first).count() == 10
+    assert {(r["name"], r["rows"], r["seq"]) for r in N.catalog(spark, path).collect()} == {("values", 10, 1), ("events", 1, 1), ("manifest", 1, 1), ("values", 20, 2), ("events", 1, 2), ("manifest", 1, 2)}
