@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.series import carry_last
@@ -64,13 +66,46 @@ def assign_windows(rows: DataFrame, windows: DataFrame, at: str, lo: str, hi: st
             .filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_blk"))
 
 
-def contains_join(texts: DataFrame, words: DataFrame, text: str, word: str) -> DataFrame:
-    """Pairs of a text and a word that it contains, whatever the case, as an equi join.
+#: Characters of all words of a contains join that one automaton in each task may hold.
+AUTOMATON_CHARS = 2_000_000
 
-    Every distinct stretch of a text that is as long as some word is a join key; words have few
-    lengths, so a text gives at most its length times that number of keys. Empty words match nothing.
+
+@functools.lru_cache(maxsize=4)
+def automaton(words: tuple[str, ...]):
+    """One automaton of all words, built once in a worker."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, w)
+    out.make_automaton()
+    return out
+
+
+def words_in(text: Column, words: tuple[str, ...]) -> Column:
+    """The different ``words`` that a text contains, in one pass over it."""
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        scan = automaton(words).iter
+        return pa.array([None if (t := v.as_py()) is None else sorted({w for _, w in scan(t)}) for v in texts], pa.list_(pa.string()))
+
+    return found(text)
+
+
+def contains_join(texts: DataFrame, words: DataFrame, text: str, word: str, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """Pairs of a text and a word that it contains, whatever the case. Empty words match nothing.
+
+    Words of at most ``most`` characters in all go to every task as one automaton, so only matches leave it. Beyond that, every
+    distinct stretch of a text that is as long as some word is the key of an equi join; words have few lengths, so a text
+    gives at most its length times that number of keys.
     """
     table = words.filter(F.length(word) > 0).withColumn("_w", F.lower(word))
+    size = table.agg(F.sum(F.length("_w"))).first()[0] or 0
+    if size == 0:
+        return texts.withColumn("_w", F.lit(None).cast("string")).join(table, "_w").drop("_w")
+    if size <= most:
+        every = tuple(sorted(r["_w"] for r in table.select("_w").distinct().collect()))
+        return texts.withColumn("_w", F.explode(words_in(F.lower(text), every))).join(F.broadcast(table), "_w").drop("_w")
     sizes = table.agg(F.collect_set(F.length("_w")).alias("n"))
     low = texts.withColumn("_t", F.lower(text)).withColumn("_n", F.explode(sizes.scalar())).filter(F.length("_t") >= F.col("_n"))
     starts = F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1)
