@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from barloom.llm.arrays import running
 from barloom.llm.samples import smallest
+from barloom.session import settle
 
 #: Bounds of the fit: paragraphs taken from the corpus (one of a document), altered copies of a notice.
 FIT_PARAGRAPHS, COPIES = 2000, 16
 UNKNOWN = "unknown"
-#: Lines with a visible character that follow one another, up to one that ends a sentence.
+#: Lines with a visible character that follow one another, up to one that ends a sentence (with at most 16 blanks after its last sign).
 LINE = r"[^\S\n]*+\S[^\n]*+"
-PARAGRAPH = rf"(?:[^\S\n]*+(?=\S)[^\n]*[^\s.!?][^\S\n]*\n)++(?:{LINE})?+|{LINE}"
+PARAGRAPH = rf"(?:{LINE}(?<![.!?])(?<![.!?][^\S\n]{{1,16}})\n)++(?:{LINE})?+|{LINE}"
+
 
 #: Short public notices of each family: fixed values.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -254,7 +256,11 @@ def scanned(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     cues = F.array(*[F.lit(c) for c in model.cues()])
-    lines = cut(docs, key, text).filter(F.arrays_overlap(sql_words(F.col("line")), cues)).withColumn("digest", F.unhex(F.md5("line")))
+    # words do not span lines, so only documents with a cue have a paragraph with one
+    some = docs.filter(F.arrays_overlap(sql_words(F.col(text).cast("string")), cues))
+    lines = cut(some, key, text).filter(F.arrays_overlap(sql_words(F.col("line")), cues)).withColumn("digest", F.unhex(F.md5("line")))
+    # scores and the result both start from these paragraphs
+    lines = settle(lines, "paragraphs")
     # model and notices are constants of a few hundred rows, whatever the corpus
     table = F.broadcast(spark.createDataFrame([(g, [float(v) for v in w]) for g, w in model.weights.items()], "ngram string, w array<double>"))
     notices = F.broadcast(spark.createDataFrame([(f, sorted(pairs(n))) for f, ns in NOTICES.items() for n in ns], "family string, pairs array<string>"))
