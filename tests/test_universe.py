@@ -57,3 +57,30 @@ def test_long_chains_end_in_few_rounds(spark, monkeypatch):
 
 
 real_components = U.components
+
+
+def test_equal_vectors_are_sent_and_correlated_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [sorted(rng.choice(30, 12, replace=False).tolist()) for _ in range(9)]
+    vectors = [dict(zip(days, rng.normal(size=12).tolist())) for days in base] + [dict(zip(base[0], [0.25] * 12))]
+    rows = [(f"s{r}", r, vectors[int(v)]) for r, v in enumerate(rng.permutation(np.repeat(range(10), 4)), 1)]
+    df = spark.createDataFrame(rows, "symbol string, rank int, rets map<int,double>")
+    want = set()
+    for sa, ra, a in rows:
+        for sb, rb, b in rows:
+            x = np.array([(a[d], b[d]) for d in a if d in b])
+            if ra < rb and len(x) >= 3 and np.ptp(x[:, 0]) and np.ptp(x[:, 1]) and abs(np.corrcoef(x.T)[0, 1]) > 0.5:
+                want.add((sa, ra, sb, rb))
+    sent = []
+    real = U.class_pairs
+    monkeypatch.setattr(U, "class_pairs", lambda classes, *a: sent.append(classes.count()) or real(classes, *a))
+    got = [(r.sym_a, r.rank_a, r.sym_b, r.rank_b) for r in U.correlated_pairs(df, 0.5, 3, tile=3).collect()]
+    assert len(got) == len(want) and set(got) == want and sent == [10]
+    kept = {r["rank"] for r in U.drop_correlated_vectors(df.select("symbol", "rank"), df, 0.5, 3).collect()}
+    assert kept == set(range(1, 41)) - walk({(a, b) for _, a, _, b in want}) and sent == [10, 10]
+
+
+def test_a_vector_goes_to_few_blocks(spark):
+    classes = spark.range(1, 401).selectExpr("int(id) AS lead", "array(1, 2, 3) AS days", "array(id, 1D, id * id) AS r")
+    plan = U.class_pairs(classes, 0.5, 3, tile=10, copies=4)
+    assert "sequence(0, 3" in plan._jdf.queryExecution().analyzed().toString() and plan.count() > 0
