@@ -14,7 +14,7 @@ from barloom.plans.registry import query
 from barloom.plans.trades import TR, trades
 from barloom.plans.trades import bucket as trade_bucket
 from barloom.plans.trades import ORDER as TRADE_ORDER
-from barloom.session import scratch
+from barloom.session import settle
 from barloom.streaming import live
 from barloom.streaming.fold import use_rocksdb
 
@@ -26,8 +26,13 @@ def event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def tick_stream(spark, d):
-    e = event_stream(spark, d)
+def event_feed(spark, d):
+    """The events table as a file stream in the order of its seconds and in bounded micro-batches, for keyed folds."""
+    use_rocksdb(spark)
+    return live.in_order(table(spark, d, "events"), F.unix_seconds(F.col("ts").cast("timestamp")), "feed")
+
+
+def tick_stream(e):
     k = F.get_json_object("props", "$.k").cast("double")
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("seq"), F.col("value").alias("price"), k.alias("volume"),
                     F.when(F.col("user_id") % 2 == 0, k).otherwise(0.0).alias("taker_buy"))
@@ -36,7 +41,7 @@ def tick_stream(spark, d):
 @query("stream_bar_rollup", "T05", """WITH b AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 14400) * 14400 AS BIGINT) AS t, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS trades FROM events GROUP BY ALL)
 SELECT * FROM b WHERE t + 14400 <= (SELECT max(epoch(ts)) FROM events) - 3600""")
 def _(spark, d):
-    x = tick_stream(spark, d)
+    x = tick_stream(event_stream(spark, d))
     at = F.struct("ts", "seq")
     r = x.withWatermark("ts", "1 hour").groupBy("symbol", F.window("ts", "4 hours").alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("trades"))
@@ -46,7 +51,7 @@ def _(spark, d):
 @query("stream_latest_bars", "T01 T02", """SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS t, arg_max(value, event_id) AS close, max(event_id) AS seq FROM events GROUP BY ALL
   HAVING CAST(floor(epoch(min(ts)) / 3600) * 3600 AS BIGINT) <= (SELECT max(floor(epoch(ts) / 3600) * 3600) FROM events) - 7200""")
 def _(spark, d):
-    x = tick_stream(spark, d).select("symbol", F.lit("1h").alias("interval"), F.timestamp_seconds(F.col("t") - F.col("t") % 3600).alias("open_time"), F.col("price").alias("close"), "seq", F.lit(True).alias("closed"))
+    x = tick_stream(event_stream(spark, d)).select("symbol", F.lit("1h").alias("interval"), F.timestamp_seconds(F.col("t") - F.col("t") % 3600).alias("open_time"), F.col("price").alias("close"), "seq", F.lit(True).alias("closed"))
     out = live.latest_bars(live.closed_bars(x.withColumn("n", F.col("seq"))).drop("closed"))
     return live.replay(out.select("symbol", seconds("open_time").alias("t"), "close", F.col("n").alias("seq")), "latest")
 
@@ -55,10 +60,8 @@ def _(spark, d):
 def _(spark, d):
     use_rocksdb(spark)
     # the bars are the batch ones, landed as files and streamed
-    root = scratch(spark, "bars")
-    b = bars(spark, d).select("symbol", "t", "open", "high", "low", "close", "volume")
-    b.write.parquet(root)
-    s = spark.readStream.schema(b.schema).parquet(root)
+    b = settle(bars(spark, d).select("symbol", "t", "open", "high", "low", "close", "volume"), "bars")
+    s = live.in_order(b, F.col("t"), "feed")
     return live.replay(live.breakouts(s, BREAKOUT_WIDE, cooldown=21), "breakouts").select("symbol", "t", "bar_idx", "tier", rnd("close").alias("close"), rnd("atr").alias("atr"))
 
 
@@ -66,17 +69,17 @@ def _(spark, d):
 w AS (SELECT symbol, i, t, seq, price, price AS last, true AS emit FROM o WHERE i = 1 UNION ALL SELECT o.symbol, o.i, o.t, o.seq, o.price, CASE WHEN w.last <> 0 AND o.price > 0 AND abs(o.price - w.last) / w.last < 0.9 THEN w.last ELSE o.price END, NOT (w.last <> 0 AND o.price > 0 AND abs(o.price - w.last) / w.last < 0.9) FROM w JOIN o ON o.symbol = w.symbol AND o.i = w.i + 1)
 SELECT symbol, t, seq, price FROM w WHERE emit""")
 def _(spark, d):
-    return live.replay(live.gated_prices(tick_stream(spark, d).select("symbol", "t", "seq", "price"), 0.9), "gate").select("symbol", "t", "seq", "price")
+    return live.replay(live.gated_prices(tick_stream(event_feed(spark, d)).select("symbol", "t", "seq", "price"), 0.9), "gate").select("symbol", "t", "seq", "price")
 
 
 @query("stream_rate_history", "T13", """SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(least(row_number() OVER w, 100) AS INT) AS held, round(avg(value) OVER (w ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id)""")
 def _(spark, d):
-    x = tick_stream(spark, d).select("symbol", "t", "seq", F.col("price").alias("value"))
+    x = tick_stream(event_feed(spark, d)).select("symbol", "t", "seq", F.col("price").alias("value"))
     return live.replay(live.rate_history(x), "rates").select("symbol", "t", "held", rnd("mean", 9).alias("mean"))
 
 
 def pred_stream(spark, d):
-    e = event_stream(spark, d)
+    e = event_feed(spark, d)
     k = F.get_json_object("props", "$.k").cast("int")
     p = F.round(F.least(F.lit(1.0), F.col("value") / 150), 4)
     ok = F.when((p >= 0.5).cast("int") == k % 2, 1.0).otherwise(0.0)
@@ -156,13 +159,13 @@ def _(spark, d):
 z AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY t, id) - 1 AS i FROM x), g AS (SELECT *, max(CASE WHEN pnl >= 0 THEN i END) OVER (PARTITION BY agent ORDER BY i ROWS UNBOUNDED PRECEDING) AS ok, sum(pnl) OVER (PARTITION BY agent, t // 86400 ORDER BY i ROWS UNBOUNDED PRECEDING) AS daily FROM z)
 SELECT agent, t, id, round(daily, 4) AS daily_pnl, CAST(i - coalesce(ok, -1) AS INT) AS losses, CASE WHEN i - coalesce(ok, -1) >= 3 THEN greatest(0.25, 0.5 ** (i - coalesce(ok, -1) - 2)) ELSE 1.0 END::DOUBLE AS size_factor FROM g""")
 def _(spark, d):
-    x = event_stream(spark, d).select(F.col("event_type").alias("agent"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"), (F.col("value") - 40).alias("pnl"))
+    x = event_feed(spark, d).select(F.col("event_type").alias("agent"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"), (F.col("value") - 40).alias("pnl"))
     return live.replay(live.loss_streaks(x), "streaks").select("agent", "t", "id", rnd("daily_pnl", 4).alias("daily_pnl"), "losses", "size_factor")
 
 
 def pick_rows(spark, d):
     """Prices of a symbol with a pick at every print of volume 97 or more."""
-    e = event_stream(spark, d)
+    e = event_feed(spark, d)
     k = F.get_json_object("props", "$.k").cast("int")
     direction = F.when(F.col("user_id") % 2 == 0, "BULLISH").otherwise("BEARISH")
     lv = X.barrier_levels(F.col("value"), F.lit(20.0), direction, {"tp1": 1.5, "tp2": 3.0, "tp3": 4.5, "sl": 1.5})
@@ -194,7 +197,7 @@ def _(spark, d):
 
 @query("stream_daily_cap", "T06", """WITH p AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 90) SELECT id, t, day FROM p QUALIFY row_number() OVER (PARTITION BY day ORDER BY t, id) <= 20""")
 def _(spark, d):
-    x = event_stream(spark, d).filter(F.get_json_object("props", "$.k").cast("int") >= 90).select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    x = event_feed(spark, d).filter(F.get_json_object("props", "$.k").cast("int") >= 90).select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
     return live.replay(live.capped_picks(x), "cap").select("id", "t", "day")
 
 

@@ -2,7 +2,7 @@
 
 The state of a key is one JSON text in the state store, so it survives the loss of an
 executor with the store's checkpoint. A micro-batch is sorted per key before the steps run;
-its size is bounded by the source's trigger limits.
+its size is bounded by the source's trigger limits (``live.in_order`` lands a table in such pieces).
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Step = Callable[[dict, dict], tuple[dict, Sequence[tuple]]]
+#: Rows that are taken out of Arrow, and given back, at a time.
+SLICE = 20_000
 #: When a state changes by itself (seconds, or None), and what it then becomes and emits.
 Timers = tuple[Callable[[dict], float | None], Callable[[dict, float], tuple[dict, Sequence[tuple]]]]
 
@@ -39,17 +41,19 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
         body = json.loads(held[0]) if held else {"s": self.start, "at": None}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        out: list[tuple] = []
-        for r in batch.to_dict("records"):
-            at = [_plain(r[c]) for c in self.order]
-            if self.drop_late and body["at"] is not None and at <= body["at"]:
-                continue
-            body["s"], emitted = self.step(body["s"], r)
-            body["at"] = at
-            out.extend(emitted)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        for lo in range(0, len(batch), SLICE):
+            out: list[tuple] = []
+            for r in batch.iloc[lo:lo + SLICE].to_dict("records"):
+                at = [_plain(r[c]) for c in self.order]
+                if self.drop_late and body["at"] is not None and at <= body["at"]:
+                    continue
+                body["s"], emitted = self.step(body["s"], r)
+                body["at"] = at
+                out.extend(emitted)
+            if out:
+                yield self.frame(key, out)
         self.store(body)
-        yield self.frame(key, out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """The watermark has passed what a quiet key waits for."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators.bars import ohlcv_rollup
 from barloom.session import scratch
@@ -95,6 +96,28 @@ def decisions(rows: DataFrame, watermark: str = "2 days") -> DataFrame:
     return keyed_fold(timed(rows, watermark), ["symbol"], ["t", "seq"], S.decision_outcome(), {}, "id long, t long, outcome string, accuracy double, symbol string", S.quiet_decisions())
 
 
+def in_order(rows: DataFrame, time: Column, name: str, most: int = 1_000_000) -> DataFrame:
+    """A table as a file stream of about ``most`` rows a micro-batch, by whole values of ``time`` (a long) in ascending order.
+
+    Pieces are cut at quantiles of ``time`` and land one after the other, each as one file, so the source takes them in
+    that order; a key has at most the rows of a piece in a micro-batch, however long the table is.
+    """
+    spark, root = rows.sparkSession, scratch(rows.sparkSession, name)
+    pieces = -(-rows.count() // most)
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = sorted(set(rows.agg(F.percentile_approx(time, shares, 100 * pieces)).first()[0] or [])) if pieces > 1 else []
+    if not cuts:
+        rows.coalesce(1).write.parquet(f"{root}/000000")
+    else:
+        # rows without a time come first
+        piece = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.coalesce(time, F.lit(cuts[0])))), F.lit(0))
+        rows.withColumn("_piece", piece).repartition("_piece").write.partitionBy("_piece").parquet(f"{root}-pieces")
+        landed = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_piece", T.IntegerType())])).parquet(f"{root}-pieces")
+        for k in range(len(cuts) + 1):
+            landed.filter(F.col("_piece") == k).drop("_piece").coalesce(1).write.parquet(f"{root}/{k:06d}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def replay(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything that has landed, into a table, and return the table."""
     spark = stream.sparkSession

@@ -107,3 +107,28 @@ def test_adaptive_level_follows_its_recursion():
         limit = np.quantile(scores, min(1.0, math.ceil((1 - alpha) * 501) / 500))
         assert covered is not hit and abs(level - alpha) < 1e-12 and abs(threshold - limit) < 1e-12
     assert 0.001 < alpha <= 0.5
+
+
+def test_a_table_streams_in_order_and_in_bounded_batches(spark):
+    use_rocksdb(spark)
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(str(i % 3), int(t), i, float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 400, 1000), rng.normal(size=1000)))] + [("0", None, 1000, 1.0)],
+                                 "symbol string, t long, seq long, value double").coalesce(2)
+    batches = []
+    live.in_order(rows, F.col("t"), "feed", 400).writeStream.foreachBatch(lambda b, _: batches.append(b.collect())).trigger(availableNow=True).start().awaitTermination()
+    times = [[r.t for r in b if r.t is not None] for b in batches]
+    assert sum(map(len, batches)) == 1001 and len(batches) == 3 and max(map(len, batches)) < 420 and len(times[0]) == len(batches[0]) - 1
+    assert all(max(a) < min(b) for a, b in zip(times, times[1:]))
+    whole, cut = (sorted(map(tuple, live.replay(live.rate_history(live.in_order(rows.filter("t IS NOT NULL"), F.col("t"), "feed", n)), "rates").collect())) for n in (10_000, 400))
+    assert whole == cut and len(whole) == 1000
+
+
+def test_long_batches_are_given_out_in_slices(spark, monkeypatch):
+    from barloom.streaming import fold
+    frames = []
+    monkeypatch.setattr(fold, "SLICE", 10)
+    f = fold.Fold(S.ring(3), {}, ["t"], ["t", "held", "mean"], ["symbol"])
+    f.state = type("V", (), {"exists": lambda s: False, "update": lambda s, v: frames.append(v)})()
+    import pandas as pd
+    got = list(f.handleInputRows(("a",), iter([pd.DataFrame({"t": range(24, -1, -1), "value": 1.0})]), None))
+    assert [len(g) for g in got] == [10, 10, 5] and got[0]["t"].tolist() == list(range(10)) and len(frames) == 1
