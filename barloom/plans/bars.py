@@ -221,8 +221,7 @@ TABLES = "benchmark conversations customer documents embeddings labels lineitem
 @query("audited_files", "S05", f"""SELECT unnest(string_split('{TABLES}', ' ')) || '.parquet' AS file, FALSE AS unreadable, 'event_id,ts,value' AS missing, FALSE AS too_large
 UNION ALL SELECT 'events.parquet', FALSE, '', FALSE""")
 def _(spark, d):
-    a = S.audit_files(spark, d, required=("event_id", "ts", "value"))
-    return a.select(F.element_at(F.split("path", "/"), -1).alias("file"), "unreadable", "missing", "too_large")
+    return S.audit_tables(spark, d, required=("event_id", "ts", "value"))
 
 
 @query("event_dataset_manifest", "S19", f"WITH {BARS_SQL} SELECT symbol, count(*) AS n_bars, CAST(max(t) AS BIGINT) AS max_time, 1 AS version, 'v1' AS token FROM bars GROUP BY symbol")

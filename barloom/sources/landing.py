@@ -75,6 +75,19 @@ def audit_files(spark: SparkSession, path: str, required: Sequence[str] = ("open
         "*", (F.col("length") > limit).alias("too_large"))
 
 
+def audit_tables(spark: SparkSession, path: str, required: Sequence[str], limit: int = 50 << 20) -> DataFrame:
+    """The audit by table: file, unreadable, missing, too_large.
+
+    A table is a file NAME.parquet or a folder of that name, which has whatever fault one of its files has.
+    """
+    below = F.split("path", f"/\\Q{path.rstrip('/').rsplit('/', 1)[-1]}\\E/")
+    name = F.regexp_extract(F.element_at(below, -1), r"^(?:[^/]+/)*?([^/]+\.parquet)(?:/|$)", 1)
+    lacks = F.flatten(F.collect_set(F.split("missing", ",")))
+    return audit_files(spark, path, required, limit).groupBy(name.alias("file")).agg(
+        F.bool_or("unreadable").alias("unreadable"), F.array_join(F.array_intersect(F.array(*[F.lit(c) for c in required]), lacks), ",").alias("missing"),
+        F.bool_or("too_large").alias("too_large"))
+
+
 def archive_months(frame: DataFrame, end: Column, days: Column) -> DataFrame:
     """Full months covering a look-back, newest first: one row per month."""
     first = F.trunc(F.date_sub(end, days), "MM")
