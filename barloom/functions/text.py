@@ -11,8 +11,8 @@ from barloom.functions.rolling import clip
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and apostrophes."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), 1)
+    """Lower-case runs of letters and apostrophes; a missing text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z']+)"), 1)
 
 
 def _any(words: Sequence[str], token: Column) -> Column:
@@ -56,13 +56,14 @@ def lexicon_score(toks: Column, positive: Sequence[str], negative: Sequence[str]
 
 def vote_blend(sentiment: Column, up: Column, down: Column) -> Column:
     """60 % text, 40 % crowd votes where there are any."""
-    return F.when(up + down > 0, 0.6 * sentiment + 0.4 * F.try_divide(up - down, up + down)).otherwise(sentiment)
+    # four tenths of the counts are rounded once, before the division
+    return F.when(up + down > 0, 0.6 * sentiment + F.try_divide((up - down) * 4 / 10, up + down)).otherwise(sentiment)
 
 
 def sentiment_features(index: Column, score: Column, volume: Column, ticker_score: Column) -> dict[str, Column]:
     """Fear-greed index scaled, its extremes, capped news volume, ticker score and its size."""
     t = F.coalesce(ticker_score, score)
-    return {"index_norm": index / 100.0, "extreme_fear": (index < 25).cast("double"), "extreme_greed": (index > 75).cast("double"), "news_score": score,
+    return {"index_norm": index / 100.0, "extreme_fear": F.when(index < 25, 1.0).otherwise(0.0), "extreme_greed": F.when(index > 75, 1.0).otherwise(0.0), "news_score": score,
             "news_volume": F.least(volume / 50.0, F.lit(1.0)), "ticker_score": t, "ticker_magnitude": F.abs(t)}
 
 

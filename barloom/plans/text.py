@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import text as X
 from barloom.operators import joins as J
 from barloom.operators import monitor as M
-from barloom.plans.inputs import rnd, table
+from barloom.plans.inputs import table
 from barloom.plans.registry import query
 
 # Stand-in lexicon.
@@ -22,6 +22,12 @@ INTENSE = ("to", "un", "sch")
 TICKERS = {"that": "AAA", "les": "BBB", "ein": "CCC", "que": "DDD", "on": "EEE"}
 
 
+def rnd(col, digits: int = 6):
+    """Rounded as SQL rounds a double, after the multiplication: scores are often fractions that end in a 5 there."""
+    c, scale = F.col(col) if isinstance(col, str) else col, float(10**digits)
+    return F.round(c * scale) / scale
+
+
 def scored(spark, d):
     t = table(spark, d, "documents").withColumn("toks", X.tokens(F.col("text")))
     s = X.lexicon_score(F.col("toks"), POSITIVE, NEGATIVE, UNCERTAIN, NEGATION, INTENSE, TICKERS)
