@@ -72,13 +72,14 @@ def name_list(text: Column) -> Column:
 # -- scores -------------------------------------------------------------------------------------
 
 def month_stats(daily: DataFrame, rows: int = 30, least: int = 20) -> DataFrame:
-    """Change, ATR percent, ADX and volume steadiness over the last ``rows`` daily bars of each symbol.
+    """Change, ATR percent, ADX and volume steadiness over the last ``rows`` daily bars (by ``t``) of each symbol.
 
-    The tail is renumbered, so the recurrences start at its first bar.
+    The tail is numbered, so the recurrences start at its first bar.
     """
-    sizes = daily.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
-    tail = (daily.join(sizes, "symbol").filter(F.col("bar_idx") >= F.col("_n") - rows)
-            .withColumn("bar_idx", F.col("bar_idx") - F.greatest(F.col("_n") - rows, F.lit(0))).withColumn("_rows", F.least(F.col("_n"), F.lit(rows))))
+    by = Window.partitionBy("symbol")     # a row per day: bounded by the calendar
+    tail = (daily.withColumns({"_n": F.count(F.lit(1)).over(by), "_i": F.row_number().over(by.orderBy("t")).cast("long") - 1})
+            .filter((F.col("_n") >= least) & (F.col("_i") >= F.col("_n") - rows))
+            .withColumn("bar_idx", F.col("_i") - F.greatest(F.col("_n") - rows, F.lit(0))).withColumn("_rows", F.least(F.col("_n"), F.lit(rows))).drop("_i"))
     a = R.ema_alpha(14)
 
     def build(x: DataFrame, f) -> DataFrame:

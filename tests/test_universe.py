@@ -84,3 +84,12 @@ def test_a_vector_goes_to_few_blocks(spark):
     classes = spark.range(1, 401).selectExpr("int(id) AS lead", "array(1, 2, 3) AS days", "array(id, 1D, id * id) AS r")
     plan = U.class_pairs(classes, 0.5, 3, tile=10, copies=4)
     assert "sequence(0, 3" in plan._jdf.queryExecution().analyzed().toString() and plan.count() > 0
+
+
+def test_month_statistics_read_the_bars_once(spark):
+    bars = [(s, 86400 * i * k, 1.0 + i, 3.0 + i, 0.5 + i, 2.0 + i % 7, 10.0) for s, n, k in (("a", 45, 2), ("b", 20, 1), ("c", 19, 1)) for i in range(n)]
+    df = spark.createDataFrame(bars, "symbol string, t long, open double, high double, low double, close double, volume double")
+    stats = U.month_stats(df.repartition(3))
+    got = {r.symbol: (r.days, r.close, r.pct_30d) for r in stats.collect()}
+    assert got == {"a": (30, 2.0 + 44 % 7, pytest.approx(((2.0 + 44 % 7) / (2.0 + 15 % 7) - 1) * 100)), "b": (20, 7.0, pytest.approx(250.0))}
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
