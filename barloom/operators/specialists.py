@@ -1,4 +1,4 @@
-"""Boosted trees of many specialists at once: histograms of gradients summed over the rows, one pass for a level of all trees."""
+"""Boosted trees of many specialists at once: histograms of gradients summed over cells of equal bins, one pass for a level of all trees."""
 
 from __future__ import annotations
 
@@ -73,12 +73,24 @@ def splits(sums: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np
     return feature, cut, -sides[..., 0] / (sides[..., 1] + penalty)
 
 
+def cells_of(slim: DataFrame, model: Specialists, features: Sequence[str], number: dict) -> DataFrame:
+    """The number of the group, the bin of each feature, ``y``, ``valid`` and the summed weight of each cell; groups without a number are left out."""
+    def bin_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bins = model.binned(b[list(features)].to_numpy(dtype=float))
+            yield pd.DataFrame({"g": b["g"].map(number).fillna(-1).astype("int64"), **dict(zip(features, bins.T)), "y": b["y"], "valid": b["valid"], "w": b["w"]})
+
+    schema = "g long, " + "".join(f"{f} long, " for f in features) + "y double, valid boolean, w double"
+    return slim.mapInPandas(bin_rows, schema).filter("g >= 0").groupBy("g", *features, "y", "valid").agg(F.sum("w").alias("w"))
+
+
 def fit_specialists(rows: DataFrame, features: Sequence[str], label: str, weight: str, group: str, valid: str, trees: int = 40, depth: int = 3, bins: int = 32,
                     rate: float = 0.3, penalty: float = 1.0, patience: int = 5) -> Specialists:
     """A boosted classifier for each value of ``group`` (few), fitted on the rows that are not ``valid``.
 
-    A pass over the rows serves one level of the next tree of all groups: each task sums its gradient histograms, the driver picks
-    splits. Log losses of the valid rows come with the first level; a group whose loss has not fallen for ``patience`` trees
+    Trees see bins only, so rows of the same group, bins, label and side are one cell that holds the sum of their weights. A pass
+    over the cells serves one level of the next tree of all groups: each task sums its gradient histograms, the driver picks
+    splits. Log losses of the valid cells come with the first level; a group whose loss has not fallen for ``patience`` trees
     stops, and keeps the trees up to its least loss.
     """
     x = [f"x{i}" for i in range(len(features))]
@@ -93,6 +105,7 @@ def fit_specialists(rows: DataFrame, features: Sequence[str], label: str, weight
     start = np.array([np.log((totals[g][0] + 1) / (totals[g][1] + 1)) for g in groups])
     model = Specialists(edges, groups, start, [[] for _ in groups], [[] for _ in groups])
     stopped = [False] * len(groups)
+    cells = settle(cells_of(slim, model, x, number), "specialist-cells")
 
     def passed(feature: np.ndarray, cut: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         size = len(groups) * 2**level * len(x) * bins * 2
@@ -100,24 +113,23 @@ def fit_specialists(rows: DataFrame, features: Sequence[str], label: str, weight
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros(size + 2 * len(groups))
             for b in batches:
-                g = b["g"].map(number).fillna(-1).to_numpy(dtype=np.int64)
-                cells, y, w, held = model.binned(b[x].to_numpy()), b["y"].to_numpy(), b["w"].to_numpy(), b["valid"].to_numpy(dtype=bool)
+                g, at, y, w, held = b["g"].to_numpy(), b[x].to_numpy(), b["y"].to_numpy(), b["w"].to_numpy(), b["valid"].to_numpy(dtype=bool)
                 for k in range(len(groups)):
                     own = g == k
                     if stopped[k] or not own.any():
                         continue
-                    p = 1 / (1 + np.exp(-model.margin(k, cells[own])))
+                    p = 1 / (1 + np.exp(-model.margin(k, at[own])))
                     fit, yk, wk = ~held[own], y[own], w[own]
                     loss = -wk * np.log(np.clip(np.where(yk > 0, p, 1 - p), 1e-15, 1))
                     out[size + 2 * k] += loss[~fit].sum()
                     out[size + 2 * k + 1] += wk[~fit].sum()
-                    node = leaves(feature[k], cut[k], cells[own][fit]) - (2**level - 1)
-                    out[:size] += gradient_sums(np.full(int(fit.sum()), k), node, cells[own][fit], (wk * (p - yk))[fit], (wk * p * (1 - p))[fit], len(groups), 2**level, bins).ravel()
-            at = np.flatnonzero(out)
-            yield pd.DataFrame({"i": at, "v": out[at]})
+                    node = leaves(feature[k], cut[k], at[own][fit]) - (2**level - 1)
+                    out[:size] += gradient_sums(np.full(int(fit.sum()), k), node, at[own][fit], (wk * (p - yk))[fit], (wk * p * (1 - p))[fit], len(groups), 2**level, bins).ravel()
+            full = np.flatnonzero(out)
+            yield pd.DataFrame({"i": full, "v": out[full]})
 
         out = np.zeros(size + 2 * len(groups))
-        for r in slim.mapInPandas(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # groups * nodes * features * bins rows
+        for r in cells.mapInPandas(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # groups * nodes * features * bins rows
             out[r["i"]] = r["v"]
         return out[:size].reshape(len(groups), 2**level, len(x), bins, 2), out[size:].reshape(-1, 2)
 

@@ -201,7 +201,8 @@ def _(spark, d):
                                      T.recency_weight().alias("weight"), part.alias("part")).withColumnRenamed("prob", "given"), "specialists")
     names = ["given", "move", "hour"]
     fitted = SP.fit_specialists(r.filter("part < 4").withColumn("valid", F.col("part") == 3), names, "y", "weight", "model", "valid", trees=20)
-    scored = SP.scored_by_specialists(r.filter("part >= 3"), fitted, names, "model")
+    # limits and sets both read the scores
+    scored = settle(SP.scored_by_specialists(r.filter("part >= 3"), fitted, names, "model"), "specialist-scores")
     limits = MO.conformal_threshold(scored.filter("part = 3"), ["model"])
     return MO.conformal_sets(scored.filter("part = 4").select("id", "model", "y", "prob"), limits, ["model"]).select(
         "id", "model", "y", rnd("prob", 5).alias("prob"), "set_size", "covered")

@@ -60,3 +60,25 @@ def test_specialists_lose_no_more_than_boosted_trees_of_spark_and_cover(spark):
     assert 0.87 <= covered <= 0.94
     other = SP.scored_by_specialists(rows.limit(1).withColumn("g", F.lit("new")), model, features, "g").first()
     assert other["prob"] is None
+
+
+def test_passes_read_cells_whose_number_does_not_grow_with_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, group, y = rng.integers(0, 6, (900, 2)), rng.choice(["a", "b"], 900), rng.integers(0, 2, 900)
+    rows = spark.createDataFrame([(str(g), *map(float, v), int(t), float(w), i >= 600) for i, (g, v, t, w) in enumerate(zip(group, x, y, rng.integers(1, 4, 900)))],
+                                 "g string, x0 double, x1 double, y int, w double, valid boolean")
+    tables = []
+    real = SP.settle
+    monkeypatch.setattr(SP, "settle", lambda df, name="table": tables.append(real(df, name)) or tables[-1])
+    once = SP.fit_specialists(rows, ["x0", "x1"], "y", "w", "g", "valid", trees=6)
+    often = SP.fit_specialists(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("w", F.col("w") / 8), ["x0", "x1"], "y", "w", "g", "valid", trees=6)
+    n = [t.count() for t in tables]
+    assert n[0] == 900 and n[2] == 7200 and n[1] == n[3] <= 2 * 36 * 2 * 2
+    # a cell holds the weights of its rows, none is left out
+    assert tables[1].agg(F.sum("w")).first()[0] == rows.agg(F.sum("w")).first()[0]
+    assert once.start == pytest.approx(often.start, rel=1e-9)
+    for a, b in zip(once.losses, often.losses):
+        assert a == pytest.approx(b, rel=1e-9)
+    rows = rows.select("g", "x0", "x1")
+    for a, b in zip(SP.scored_by_specialists(rows, once, ["x0", "x1"], "g").collect(), SP.scored_by_specialists(rows, often, ["x0", "x1"], "g").collect()):
+        assert a["prob"] == pytest.approx(b["prob"], rel=1e-9)
