@@ -6,8 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from barloom.session import settle
 
@@ -28,18 +30,38 @@ def before_fold(values: np.ndarray) -> np.ndarray:
     return np.cumsum(values, axis=0)[:-1]
 
 
+def newton_sums(z: np.ndarray, y: np.ndarray, n: np.ndarray, coef: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(targets, d + d * d) gradients and Hessians of all targets over the columns of ``z`` (d x rows), which count ``n`` times; three products for all targets."""
+    i, j = np.triu_indices(len(z))
+    out = np.zeros((len(y), len(z) + len(i)))
+    wide = max(1, 2**17 // len(i))
+    for at in range(0, z.shape[1], wide):
+        own = slice(at, at + wide)
+        x, hit = z[:, own], y[:, own]
+        p = 1 / (1 + np.exp(-np.clip(coef @ x, -500, 500)))
+        w = np.where(hit > 0, weights[:, 1:], weights[:, :1]) * n[own]
+        out[:, :len(z)] += (w * (p - hit)) @ x.T
+        out[:, len(z):] += (w * p * (1 - p)) @ (x[i] * x[j]).T
+    bend = np.zeros((len(y), len(z), len(z)))
+    bend[:, i, j] = bend[:, j, i] = out[:, len(z):]
+    return np.concatenate([out[:, :len(z)], bend.reshape(len(y), -1)], axis=1)
+
+
 def fit_filters(rows: DataFrame, features: Sequence[str], targets: Sequence[str], folds: int, c: float = C, least: int = LEAST_ROWS, rounds: int = 30) -> dict:
     """Models of every fold and target on the sound rows before the fold: ``coef`` (folds x targets x features + 1, intercept last) of scaled features, ``mean``, ``scale``, ``usable``.
 
     L2-penalised with balanced classes. ``rows`` carry ``fold`` (null or below 0 before the first one). Means and class
-    counts are prefix sums over folds of one aggregate. A Newton step is one pass in which every task sums gradients and Hessians
-    of all models over its rows; the driver solves systems of the size of the features.
+    counts are prefix sums over folds of one aggregate. Equal rows of a fold are one row with their number. A Newton step is one pass
+    in which every task sums gradients and Hessians of all models over its rows; the driver solves systems of the size of the features.
     """
     d, s = len(features), len(targets)
-    good = settle(rows.filter(sound(features)).select(F.greatest(F.coalesce("fold", F.lit(-1)), F.lit(-1)).cast("int").alias("fold"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
-                                                      *[F.col(t).cast("double").alias(f"y{i}") for i, t in enumerate(targets)]).filter(F.col("fold") < folds - 1), "filter-rows")
     xs, ys = [f"x{i}" for i in range(d)], [f"y{i}" for i in range(s)]
-    agg = good.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in xs], *[F.sum(F.col(x) ** 2).alias(f"q_{x}") for x in xs], *[F.sum(y).alias(f"p_{y}") for y in ys])
+    slim = rows.filter(sound(features)).select(F.greatest(F.coalesce("fold", F.lit(-1)), F.lit(-1)).cast("int").alias("fold"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)],
+                                               *[F.col(t).cast("double").alias(y) for t, y in zip(targets, ys)]).filter(F.col("fold") < folds - 1)
+    equal, times = slim.groupBy("fold", *xs, *ys).agg(F.count("*").cast("double").alias("n")), F.col("n")
+    # small on disk but read in every round, so it is dealt to all cores
+    good = settle(equal.repartition(rows.sparkSession.sparkContext.defaultParallelism, *xs), "filter-rows")
+    agg = good.groupBy("fold").agg(F.sum(times).alias("n"), *[F.sum(times * F.col(x)).alias(f"s_{x}") for x in xs], *[F.sum(times * F.col(x) ** 2).alias(f"q_{x}") for x in xs], *[F.sum(times * F.col(y)).alias(f"p_{y}") for y in ys])
     table = np.zeros((folds + 1, 1 + 2 * d + s))
     for r in agg.collect():  # one row a fold
         table[r["fold"] + 1] = [r["n"], *[r[f"s_{x}"] for x in xs], *[r[f"q_{x}"] for x in xs], *[r[f"p_{y}"] for y in ys]]
@@ -58,18 +80,13 @@ def fit_filters(rows: DataFrame, features: Sequence[str], targets: Sequence[str]
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros((folds, s, size))
             for b in batches:
-                x, y, fold = b[xs].to_numpy(), b[ys].to_numpy(), b["fold"].to_numpy()
+                order = np.argsort(b["fold"].to_numpy(), kind="stable")
+                fold, n_of, x, y = (np.stack([b[c].to_numpy()[order] for c in names]) for names in (["fold"], ["n"], xs, ys))
                 for k in range(folds):
-                    own = fold < k
-                    if not own.any() or not usable[k].any():
-                        continue
-                    z = np.append((x[own] - mean[k]) / scale[k], np.ones((int(own.sum()), 1)), axis=1)
-                    p = 1 / (1 + np.exp(-np.clip(z @ now[k].T, -500, 500)))
-                    w = np.where(y[own] > 0, weights[k, :, 1], weights[k, :, 0])
-                    gradient = z.T @ (w * (p - y[own]))
-                    for t in np.flatnonzero(usable[k]):
-                        bend = (z * (w[:, t] * p[:, t] * (1 - p[:, t]))[:, None]).T @ z
-                        out[k, t] += np.append(gradient[:, t], bend.ravel())
+                    past = int(np.searchsorted(fold[0], k))
+                    if past and usable[k].any():
+                        z = np.append((x[:, :past] - mean[k][:, None]) / scale[k][:, None], np.ones((1, past)), axis=0)
+                        out[k] += newton_sums(z, y[:, :past], n_of[0, :past], now[k], weights[k])
             k, t, i = np.indices(out.shape)
             yield pd.DataFrame({"k": k.ravel(), "t": t.ravel(), "i": i.ravel(), "v": out.ravel()})
         return sums
@@ -94,19 +111,25 @@ def scored_by_filters(rows: DataFrame, model: dict, features: Sequence[str], tar
     """``rows`` of each fold with ``proba``: an array with the chance of each target, null where the fold or target has no model or a feature is missing."""
     slope = model["coef"][:, :, :-1] / model["scale"][:, None, :]
     start = model["coef"][:, :, -1] - (slope * model["mean"][:, None, :]).sum(axis=2)
-
-    def numbers(k: int, t: int) -> Column:
-        if not model["usable"][k, t]:
-            return F.lit(None).cast("array<double>")
-        return F.array(F.lit(float(start[k, t])), *[F.lit(float(v)) for v in slope[k, t]])
-
-    # a table of fold, target and feature as one literal
-    table = F.array(*[F.array(*[numbers(k, t) for t in range(len(targets))]) for k in range(len(slope))])
-
-    def chance(b: Column) -> Column:
-        return F.when(sound(features), 1 / (1 + F.exp(-sum((F.col(f) * b[i + 1] for i, f in enumerate(features)), b[0]))))
-
-    return rows.filter(F.col("fold") >= 0).withColumn("proba", F.transform(F.element_at(table, F.col("fold") + 1), chance))
+    usable = model["usable"]
+    used, kept = [f"_x{i}" for i in range(len(features))], rows.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b.column("fold").to_numpy(zero_copy_only=False).astype(int)
+            x = [b.column(u).to_numpy(zero_copy_only=False) for u in used]
+            known = np.isfinite(x).all(axis=0)
+            line = start[fold]
+            for i, v in enumerate(x):
+                line += np.where(known, v, 0.0)[:, None] * slope[fold, :, i]
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(-line))
+            missing = ~(known[:, None] & usable[fold])
+            ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(targets))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.ListArray.from_arrays(ends, pa.array(p.ravel(), mask=missing.ravel()))], [*kept, "proba"])
+
+    slim = rows.filter(F.col("fold") >= 0).select("*", *[F.col(f).cast("double").alias(u) for f, u in zip(features, used)])
+    return slim.mapInArrow(score, StructType([*rows.schema.fields, StructField("proba", ArrayType(DoubleType()))]))
 
 
 def filter_quality(scored: DataFrame, targets: Sequence[str]) -> DataFrame:

@@ -67,6 +67,34 @@ def test_filters_equal_plain_fits(spark, table):
     assert not quality["y1", 1]["weak"] and quality["y2", 1]["weak"]
 
 
+def test_equal_rows_are_read_once_and_count_as_often_as_they_come(spark, table, monkeypatch):
+    x, y, fold = table
+    rows = spark.createDataFrame([(None if f < 0 else int(f), *map(float, u), *map(int, v)) for u, v, f in zip(x, y, fold)],
+                                 "fold int, a double, b double, c double, y1 int, y2 int, y3 int").repartition(5)
+    tables, real = [], FL.settle
+    monkeypatch.setattr(FL, "settle", lambda df, name="table": tables.append(real(df, name)) or tables[-1])
+    once = FL.fit_filters(rows, FEATURES, TARGETS, 3, c=0.5, least=30)
+    often = FL.fit_filters(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4)))), FEATURES, TARGETS, 3, c=0.125, least=30)
+    # 600 rows without the last fold of 200 and one that is not sound
+    assert [t.count() for t in tables] == [399, 399] and [t.agg(F.sum("n")).first()[0] for t in tables] == [399, 4 * 399]
+    for name in ("coef", "mean", "scale", "usable"):
+        assert np.allclose(once[name], often[name], atol=1e-8)
+    assert once["usable"].any()
+
+
+def test_newton_sums_equal_loops():
+    rng = np.random.default_rng(7)
+    z, y, n, coef, weights = np.append(rng.normal(size=(2, 50)), np.ones((1, 50)), axis=0), rng.integers(0, 2, (2, 50)), rng.integers(1, 5, 50), rng.normal(size=(2, 3)), rng.random((2, 2))
+    got = FL.newton_sums(z, y, n, coef, weights)
+    for t in range(2):
+        gradient, bend = np.zeros(3), np.zeros((3, 3))
+        for r in range(50):
+            p, w = 1 / (1 + np.exp(-coef[t] @ z[:, r])), n[r] * weights[t, y[t, r]]
+            gradient += w * (p - y[t, r]) * z[:, r]
+            bend += w * p * (1 - p) * np.outer(z[:, r], z[:, r])
+        assert np.allclose(got[t], np.append(gradient, bend.ravel()))
+
+
 def test_bootstrap_equals_a_loop_and_is_poisson(spark):
     rng = np.random.default_rng(6)
     pnl, ids = rng.normal(0.1, 1, 300), rng.integers(0, 2**40, 300)
