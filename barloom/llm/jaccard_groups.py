@@ -5,11 +5,15 @@
    common order. The order is: tokens below a fixed share of the hash range by how many
    classes hold them (rare first), then the rest by hash; so only these low tokens are counted, and
    most classes have enough tokens of their own to drop out here.
-3. Classes joined by such tokens are put together and their full sets are read. In each task
+3. Classes that share such a token are compared by their sizes and by sketches: a bit for each hash modulo the
+   width tells whether an odd number of tokens fall on it, so sketches differ in at most as many bits as
+   sets differ in tokens. Pairs that could still be links are joined, by a spanning forest of each token, so sets
+   that share rare tokens by chance stay apart and what follows grows with the near copies, not with the corpus.
+4. Classes joined so are put together and their full sets are read. In each task
    they are partitioned into small groups of similar sets; the token-group matrix holds the union of
    each group's tokens. A query's overlap with the union bounds its overlap with every
    member, and only groups whose bound qualifies are opened for the exact test.
-4. Links found (a spanning forest of each task) give the components.
+5. Links found (a spanning forest of each task) give the components.
 
 No pair is emitted that is not a link, and links of one task are at most its sets.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,10 @@ BLOCK = 1500
 GROUP = 16
 #: Candidate rows that may be broadcast to the scan of the texts (40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Sets of one token that are compared in one task; more are cut into blocks.
+HOLDERS = 20_000
+#: Least width of a sketch in bits.
+SKETCH = 512
 
 
 @dataclass(frozen=True)
@@ -55,6 +64,14 @@ class JaccardRule:
         """Least overlap of linked sets of these sizes."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def differ(self, a, b):
+        """Most tokens in which linked sets of these sizes differ."""
+        return a + b - 2 * self.needed(a, b)
+
+    def bits(self, n: int) -> int:
+        """Width of a sketch: sets without common tokens differ in more bits than linked ones in tokens."""
+        return max(SKETCH, 1 << (12 * self.differ(n, n) // 5).bit_length())
+
     def low(self) -> int:
         """Tokens below this hash are counted: a tenth of the range more than prefixes take on average."""
         return min(2**64 - 1, int((1.1 - self.percent / 100) * 2**64))
@@ -87,42 +104,119 @@ def set_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def sketch(tokens: np.ndarray, bits: int) -> bytes:
+    """Parities of the counts of tokens by their value modulo ``bits`` (a power of two)."""
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def fingerprints(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """The columns before ``text``, n (set size), key (128-bit digest of the set, null if empty) and its first tokens in hash order."""
+    """The columns before ``text``, n (set size), key (128-bit digest of the set, null if empty), its sketch and its first tokens in hash order."""
     low = np.uint64(rule.low())
     carried = [f for f in docs.schema.fields if f.name != "text"]
     docs = docs.select(*[f.name for f in carried], "text")
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, firsts = [], [], []
+            sizes, keys, sketches, firsts = [], [], [], []
             for value in batch.column(len(carried)):
                 tokens = shingles(value.as_py(), rule.words)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
+                sketches.append(sketch(tokens, rule.bits(len(tokens))) if len(tokens) else None)
                 firsts.append(tokens[:max(int(np.searchsorted(tokens, low)), rule.prefix(len(tokens)) if len(tokens) else 0)])
             ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             flat = np.concatenate(firsts).view(np.int64) if firsts else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=[*[f.name for f in carried], "n", "key", "first"])
+                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=[*[f.name for f in carried], "n", "key", "sketch", "first"])
 
-    return docs.mapInArrow(prints, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in carried], "n long", "key binary", "first array<long>"]))
+    return docs.mapInArrow(prints, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in carried], "n long", "key binary", "sketch binary", "first array<long>"]))
 
 
 def candidates(classes: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(key, token): the tokens of each class's prefix that another class holds."""
-    sizes = classes.select("key", "n", F.size("first").alias("kept")).distinct()
+    """(key, n, sketch, token, held): the tokens of each class's prefix that another class holds, and how many do."""
+    sizes = classes.select("key", "n", "sketch", F.size("first").alias("kept")).distinct()
     tokens = classes.select("key", F.explode("first").alias("token")).repartition("token")
     held = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     shared = tokens.join(held, "token")
     # hashes are unsigned: the upper half of the range are negative longs
     token, low = F.col("token"), rule.low()
     counted = (token >= 0) & (token < low) if low < 2**63 else (token >= 0) | (token < low - 2**64)
-    rank = F.struct(F.when(counted, F.col("held")).otherwise(2**62).alias("held"), "token")
+    rank = F.struct(F.when(counted, F.col("held")).otherwise(2**62).alias("rank"), "token", "held")
     lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(rank)).alias("shared")).join(sizes, "key")
     take = F.expr(f"n + 1 - ceil({rule.percent} * n / 100) - (kept - size(shared))").cast("int")
-    return lists.withColumn("take", take).filter("take > 0").select("key", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("s")).select("key", "s.token")
+    return lists.withColumn("take", take).filter("take > 0").select("key", "n", "sketch", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("s")).select(
+        "key", "n", "sketch", "s.token", "s.held")
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of at least ``width`` bytes, as rows of words, brought to that width."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width // 8)) if len(s) > width else np.frombuffer(s, np.uint64) for s in sketches])
+
+
+def alike(group: np.ndarray, n: np.ndarray, sketches: list[bytes], rule: JaccardRule) -> list[tuple[int, int]]:
+    """A spanning forest, for each group, of the pairs that sizes and sketches let be links. Rows are sorted by group, then by n."""
+    widths = np.array([len(s) for s in sketches])
+    levels = {}
+    for w in np.unique(widths).tolist():
+        own = np.flatnonzero((widths >= w) & (rule.percent * widths <= 200 * w))
+        place = np.zeros(len(n), dtype=np.int64)
+        place[own] = np.arange(len(own))
+        levels[w] = folded([sketches[i] for i in own], w), place
+    up, found = np.arange(len(n)), []
+    left, away = np.arange(len(n) - 1), 1
+    while len(left):
+        right = left + away
+        # rows further on are no smaller, so a pair that does not fit ends its row
+        fits = (group[left] == group[right]) & (100 * n[left] >= rule.percent * n[right])
+        left, right = left[fits], right[fits]
+        fresh = up[left] != up[right]
+        for w, (words, place) in levels.items():
+            x = left[fresh & (widths[left] == w)]
+            y = x + away
+            apart = np.bitwise_count(words[place[x]] ^ words[place[y]]).sum(axis=1, dtype=np.int64)
+            for a, b in zip(x[(near := apart <= rule.differ(n[x], n[y]))].tolist(), y[near].tolist()):
+                p, q = up[a], up[b]
+                while p != up[p]:
+                    p = up[p]
+                while q != up[q]:
+                    q = up[q]
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    found.append((a, b))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        away += 1
+        left = left[left + away < len(n)]
+    return found
+
+
+def pairings(near: DataFrame, rule: JaccardRule, holders: int = HOLDERS) -> DataFrame:
+    """(a, b): keys of classes that share a token of both prefixes and may be linked by their sizes and sketches, as forests that connect all such pairs."""
+    cuts = F.ceil(F.col("held") / holders).cast("int")
+    own = near.withColumn("cuts", cuts).withColumn("own", F.expr("pmod(xxhash64(key), cuts)").cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "key", "sketch")
+
+    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in chain(batches, [None]):
+            # a group goes on until another begins
+            parts = [kept] * (kept is not None) + ([pa.Table.from_batches([batch])] if batch is not None else [])
+            rows = pa.concat_tables(parts) if parts else None
+            if not rows:
+                continue
+            marks = np.stack([rows.column(c).to_numpy() for c in ("token", "i", "j")])
+            group = np.concatenate([[0], np.cumsum((marks[:, 1:] != marks[:, :-1]).any(axis=0))])
+            end = len(group) if batch is None else int(np.searchsorted(group, group[-1]))
+            kept = rows.slice(end)
+            if end:
+                keys, sketches = (rows.column(c).slice(0, end).to_pylist() for c in ("key", "sketch"))
+                pairs = alike(group[:end], rows.column("n").to_numpy()[:end].astype(np.int64), sketches, rule)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[p[side]] for p in pairs], pa.binary()) for side in (0, 1)], names=["a", "b"])
+
+    return sent.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n").mapInArrow(match, "a binary, b binary")
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -215,13 +309,11 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between classes that connect all that are linked. ``docs``: row, text; ``classes``: key, n, first, row, many.
+    """(a, b): links between classes that connect all that are linked. ``docs``: row, text; ``classes``: key, n, sketch, first, row, many.
 
     ``many`` says that more than one row has this ``row`` and set, so that only one of their texts may go on.
     """
-    near = settle(candidates(classes, rule), "near")
-    hubs = near.groupBy("token").agg(F.min("key").alias("hub"))
-    roots = components(near.join(hubs, "token").select("key", "hub"), "key", "hub")
+    roots = components(pairings(candidates(classes, rule), rule), "a", "b")
     wanted = settle(roots.select(F.col("node").alias("key"), "root").join(classes.select("key", "row", "many"), "key"), "wanted")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,17 +349,17 @@ def grouped(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataFrame
     ``row`` tells rows apart as far as it can; it is not null.
     """
     prints = settle(fingerprints(docs, rule), "prints")
-    slim = prints.drop("first")
+    slim = prints.drop("first", "sketch")
     rows = slim.filter("key IS NOT NULL").groupBy("key", "row").agg(F.count("*").alias("copies"))
     ids = settle(rows.groupBy("key").agg(F.min(F.struct("row", "copies")).alias("rep"), F.sum("copies").alias("copies")), "classes")
     # copies other than the first are taken out by (key, row), which is small where there are few copies
     again = settle(slim.join(ids.filter("copies > 1").select("key", "rep"), "key").filter("row <> rep.row").select("key", "row").distinct(), "again")
-    first = prints.filter("key IS NOT NULL").join(counted(again), ["key", "row"], "left_anti").select("key", "n", "first", "row")
+    first = prints.filter("key IS NOT NULL").join(counted(again), ["key", "row"], "left_anti").select("key", "n", "sketch", "first", "row")
     many = settle(ids.filter("rep.copies > 1").select("key"), "many")
     if many.isEmpty():
         classes = first.withColumn("many", F.lit(False))
     else:
-        repeated = first.join(counted(many), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "first", "row")])
+        repeated = first.join(counted(many), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "first", "row")])
         classes = first.join(counted(many), "key", "left_anti").withColumn("many", F.lit(False)).unionByName(repeated.withColumn("many", F.lit(True)))
         classes = settle(classes, "class-rows")
     nodes = settle(components(links(docs, classes, rule, block)), "nodes")

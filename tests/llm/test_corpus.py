@@ -1,5 +1,6 @@
 """Operators that look at many rows: neighbours, shards, Jaccard join, packing, licences, and the pipeline."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -186,6 +187,41 @@ def test_matrix_opens_all_groups_with_links():
         assert [joined.root(i) for i in range(90)] == [plain.root(i) for i in range(90)]
 
 
+@pytest.mark.parametrize("percent", [40, 80, 90, 100])
+def test_sketches_lose_no_link(percent):
+    rng = random.Random(percent)
+    rule = jaccard_groups.JaccardRule(3, percent)
+    sets = []
+    for size in (2, 9, 300, 900, 6000):
+        base = [rng.getrandbits(64) for _ in range(size)]
+        sets += [np.unique(np.array(base[:rng.randint(size * percent // 110, size)] + [rng.getrandbits(64) for _ in range(rng.choice([0, 1, size // 12]))] + base[:1], dtype=np.uint64)) for _ in range(12)]
+    order = sorted(range(len(sets)), key=lambda i: (i % 2, len(sets[i])))
+    found = jaccard_groups.alike(np.array([i % 2 for i in order]), np.array([len(sets[i]) for i in order]), [jaccard_groups.sketch(sets[i], rule.bits(len(sets[i]))) for i in order], rule)
+    joined = jaccard_groups.Forest(len(sets))
+    assert all([joined.join(order[a], order[b]) for a, b in found])
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        same = len(np.intersect1d(sets[a], sets[b]))
+        if a % 2 == b % 2 and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
+            assert joined.root(a) == joined.root(b)
+        assert a % 2 == b % 2 or joined.root(a) != joined.root(b)
+
+
+@pytest.mark.parametrize("holders", [7, 20_000])
+def test_sets_that_share_rare_shingles_by_chance_are_not_sent(spark, monkeypatch, holders):
+    """A chain of texts, each with a phrase of the one before, was one candidate group of which each pair of blocks got all sets."""
+    rng = random.Random(31)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(120)]
+    texts = [" ".join([*t[:40], *texts[i - 1][40:46], *t[40:]]) for i, t in enumerate(texts)]
+    texts += [t + " other" for t in texts[:5]]
+    sent, real, rejoin = [], jaccard_groups.in_blocks, jaccard_groups.pairings
+    monkeypatch.setattr(jaccard_groups, "in_blocks", lambda members, block: sent.append(real(members, block).count()) or real(members, block))
+    if holders < 20_000:
+        monkeypatch.setattr(jaccard_groups, "pairings", lambda near, rule: rejoin(near, rule, holders))
+    got = jaccard_groups.joined(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), block=10).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(range(len(texts)), texts, 3, 90))
+    assert len({r["component_id"] for r in got}) < len(texts) and sent == [2 * sum(r["component_id"] != r["doc_id"] for r in got)]
+
+
 def test_jaccard_of_awkward_rows(spark, awkward, nothing):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_groups.joined(awkward).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4][1] == 0 and got[0][1] == 0
