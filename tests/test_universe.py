@@ -1,6 +1,7 @@
 """Correlations of tiles and the walk over correlated symbols against plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from barloom.operators import universe as U
@@ -80,6 +81,39 @@ def test_equal_vectors_are_sent_and_correlated_once(spark, monkeypatch):
     assert kept == set(range(1, 41)) - walk({(a, b) for _, a, _, b in want}) and sent == [10, 10]
 
 
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_sparse_correlations_equal_pairwise_ones(same, most):
+    rng = np.random.default_rng(7)
+    def vectors(n):
+        days = [np.sort(rng.choice(300, int(k), replace=False)) for k in rng.integers(1, 40, n)]
+        return pd.DataFrame({"lead": np.arange(n), "days": days, "r": [rng.normal(size=len(d)) if len(d) % 9 else np.full(len(d), 0.5) for d in days]})
+    x = vectors(70)
+    y = x if same else vectors(50)
+    got = {(a, b): c for part in U.sparse_correlations(x, y, 3, same, most) for a, b, c in zip(*(p.tolist() for p in part))}
+    dense = [np.full((len(p), 300), np.nan) for p in (x, y)]
+    for out, part in zip(dense, (x, y)):
+        for i, (d, r) in enumerate(zip(part["days"], part["r"])):
+            out[i, d] = r
+    wanted = np.ones((len(x), len(y)), dtype=bool)
+    want = {(a, b): c for a, b, c in zip(*(p.tolist() for p in U.tile_correlations(*dense, 3, np.triu(wanted) if same else wanted)))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9, nan_ok=True) for k in want)
+
+
+def test_dedup_makes_only_the_pairs_that_decide(spark, monkeypatch):
+    """All pairs of all classes were made before the walk."""
+    rng = np.random.default_rng(5)
+    rows = [(f"s{r}", r, dict(zip(rng.choice(40, 9, replace=False).tolist(), rng.normal(size=9).tolist()))) for r in range(1, 301)] + [("f1", 301, {1: 0.5, 2: 0.5, 3: 0.5}), ("f2", 302, {1: 0.5, 2: 0.5, 3: 0.5})]
+    rows += [("t1", 303, rows[40][2]), ("t2", 304, rows[299][2])]
+    df = spark.createDataFrame(rows, "symbol string, rank int, rets map<int,double>")
+    edges = {(r.rank_a, r.rank_b) for r in U.correlated_pairs(df, 0.8, 3).collect()}
+    sent, real = [], U.class_pairs
+    monkeypatch.setattr(U, "class_pairs", lambda classes, *a: sent.append(classes.count()) or real(classes, *a))
+    got = {r["rank"] for r in U.drop_correlated_vectors(df.select("symbol", "rank"), df, 0.8, 3, head=40).collect()}
+    assert got == set(range(1, 305)) - walk(edges) and {301, 302} <= got
+    assert len(sent) > 1 and sum(sent) < 240
+
+
 def test_a_vector_goes_to_few_blocks(spark):
     classes = spark.range(1, 401).selectExpr("int(id) AS lead", "array(1, 2, 3) AS days", "array(id, 1D, id * id) AS r")
     plan = U.class_pairs(classes, 0.5, 3, tile=10, copies=4)
