@@ -19,6 +19,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 Step = Callable[[dict, dict], tuple[dict, Sequence[tuple]]]
 #: Rows that are taken out of Arrow, and given back, at a time.
 SLICE = 20_000
+#: Rows that a step which looks ahead is told of at a time.
+AHEAD = 64
 #: When a state changes by itself (seconds, or None), and what it then becomes and emits.
 Timers = tuple[Callable[[dict], float | None], Callable[[dict, float], tuple[dict, Sequence[tuple]]]]
 
@@ -42,9 +44,13 @@ class Fold(StatefulProcessor):
         held = self.state.get() if self.state.exists() else None
         body = json.loads(held[0]) if held else {"s": self.start, "at": None}
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        ahead = None if self.drop_late else getattr(self.step, "ahead", None)
         for lo in range(0, len(batch), SLICE):
             out: list[tuple] = []
-            for r in batch.iloc[lo:lo + SLICE].to_dict("records"):
+            records = batch.iloc[lo:lo + SLICE].to_dict("records")
+            for i, r in enumerate(records):
+                if ahead and i % AHEAD == 0:
+                    body["s"] = ahead(body["s"], records[i:i + AHEAD])
                 at = [_plain(r[c]) for c in self.order]
                 if self.drop_late and body["at"] is not None and at <= body["at"]:
                     continue

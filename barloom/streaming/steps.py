@@ -1,6 +1,7 @@
 """Step functions of the keyed folds: (state, row) -> (state, emitted rows).
 
-Plain functions over one row; the streams that run them are in ``live``.
+Plain functions over one row; the streams that run them are in ``live``. A step may have a function ``ahead``, which is told the
+rows that come next and returns the state with what it knows of them; the rows it emits do not depend on it.
 """
 
 from __future__ import annotations
@@ -33,25 +34,68 @@ def ring(size: int):
 PER_SIZE = 5
 
 
+class Window(list):
+    """ADWIN buckets [values, sum], oldest first, with their totals and with ``sure``: how many of the ``coming`` values (from ``at``) are known to cut nothing."""
+
+    def __init__(self, buckets: Sequence[Sequence[float]] = ()) -> None:
+        super().__init__(list(b) for b in buckets)
+        self.n, self.total, self.sure = int(sum(b[0] for b in self)), float(sum(b[1] for b in self)), 0
+        self.coming, self.at, self.judged = (), 0, 0
+
+    def add(self, x: float) -> None:
+        self.n, self.total, self.at = self.n + 1, self.total + x, self.at + 1
+        self.append([1, x])
+        end, size = len(self), 1
+        while True:
+            first = end
+            while first and self[first - 1][0] == size:
+                first -= 1
+            if end - first <= PER_SIZE:
+                break
+            self[first:first + 2] = [[2 * size, self[first][1] + self[first + 1][1]]]
+            # the merged bucket is the newest of the next size
+            end, size = first + 1, 2 * size
+
+    def foresee(self, values: Sequence[float], delta: float, at: int = 0) -> None:
+        """Sets ``sure`` for ``values``, which come next (from ``at``): up to the first after which a cut might differ beyond the bound.
+
+        All cuts that may stand by then are tried: those between the buckets of now and those between the values. The bound
+        (1/c + 1/(n-c)) / 2 * log is taken times ((n-c)/n)^2, and two thousandths less for rounding.
+        """
+        self.coming, self.at, self.sure = values, at, 0
+        if self.n < 10 or at >= len(values):
+            return
+        sizes, sums = np.array(self).T
+        x = np.array(values[at:], dtype=float)
+        n, total = self.n + np.arange(1, len(x) + 1), self.total + np.cumsum(x)
+        counts, lefts = np.concatenate([np.cumsum(sizes), n]), np.concatenate([np.cumsum(sums), total])
+        log = 0.499 * np.log(4.0 * np.log(n) / delta)
+        gap = lefts / counts - (total / n)[:, None]
+        gap *= gap
+        gap -= log[:, None] / counts
+        near = ~(gap < (-log / n)[:, None]) & (counts < n[:, None])
+        self.sure = int(np.argmax(np.append(near.any(axis=1), True)))
+
+
 def adwin_update(window: list[list[float]], x: float, delta: float) -> tuple[list[list[float]], bool]:
     """One ADWIN observation on a window of buckets [values, sum], oldest first: cut it where its two parts differ most beyond the bound.
 
     Bucket sizes are powers of two that fall towards the present, at most PER_SIZE of each, so a window of n values is
-    about PER_SIZE * log2(n) buckets, and the cuts tried are those between buckets.
+    about PER_SIZE * log2(n) buckets, and the cuts tried are those between buckets. A ``Window`` is changed in place; the
+    cuts are not tried for a value that it has foreseen to cut nothing.
     """
-    w = [*window, [1, x]]
-    i, size = len(w), 1
-    while True:
-        first = next((j for j in range(i) if w[j][0] == size), i)
-        if i - first <= PER_SIZE:
-            break
-        w[first:first + 2] = [[2 * size, w[first][1] + w[first + 1][1]]]
-        # the merged bucket is the newest of the next size
-        i, size = first + 1, 2 * size
+    w = window if isinstance(window, Window) else Window(window)
+    w.add(x)
+    if w.sure:
+        w.sure -= 1
+        return w, False
+    if w.n < 10:
+        return w, False
+    w.judged += 1
+    if w.judged % 4 == 0:
+        w.foresee(w.coming, delta, w.at)
     sizes, sums = np.array([v[0] for v in w]), np.array([v[1] for v in w])
     n, total = int(sizes.sum()), sums.sum()
-    if n < 10:
-        return w, False
     cuts, left = np.cumsum(sizes)[:-1], np.cumsum(sums)[:-1]
     able = (cuts >= 5) & (n - cuts >= 5)
     if not able.any():
@@ -61,7 +105,11 @@ def adwin_update(window: list[list[float]], x: float, delta: float) -> tuple[lis
     bound = np.sqrt((1.0 / cuts + 1.0 / (n - cuts)) / 2.0 * math.log(4.0 * math.log(n) / delta))
     over = np.where(gap >= bound, gap, 0.0)
     best = int(np.argmax(over))
-    return (w[int(at[best]) + 1:], True) if over[best] > 0 else (w, False)
+    if not over[best] > 0:
+        return w, False
+    rest = Window(w[int(at[best]) + 1:])
+    rest.foresee(w.coming, delta, w.at)
+    return rest, True
 
 
 def adwin(delta: float = 0.002):
@@ -69,6 +117,12 @@ def adwin(delta: float = 0.002):
         w, hit = adwin_update(s.get("w", []), r["x"], delta)
         n = sum(v[0] for v in w)
         return {"w": w}, [(r["t"], r["id"], hit, float(sum(v[1] for v in w) / n), int(n))]
+
+    def ahead(s: dict, rows: Sequence[dict]) -> dict:
+        w = Window(s.get("w", []))
+        w.foresee([r["x"] for r in rows], delta)
+        return {"w": w}
+    step.ahead = ahead
     return step
 
 
@@ -98,6 +152,13 @@ def confirmed_drift(pause: float = 3600.0, span: int = 50):
             nxt["last"], seen = r["t"], {}
         nxt["seen"] = seen
         return nxt, [(r["t"], r["id"], fire)]
+
+    def ahead(s: dict, rows: Sequence[dict]) -> dict:
+        held = {k: Window(s.get("w", {}).get(k, [])) for k in names}
+        for k, d in names.items():
+            held[k].foresee([r[k] for r in rows], d)
+        return {**s, "w": held}
+    step.ahead = ahead
     return step
 
 

@@ -132,3 +132,18 @@ def test_long_batches_are_given_out_in_slices(spark, monkeypatch):
     import pandas as pd
     got = list(f.handleInputRows(("a",), iter([pd.DataFrame({"t": range(24, -1, -1), "value": 1.0})]), None))
     assert [len(g) for g in got] == [10, 10, 5] and got[0]["t"].tolist() == list(range(10)) and len(frames) == 1
+
+
+def test_values_foreseen_to_cut_nothing_are_not_judged(monkeypatch):
+    """The cuts of every value were tried one value at a time."""
+    rng = np.random.default_rng(3)
+    values = [*rng.random(3000).round(4), *(rng.random(600) * 0.4).round(4), *rng.normal(100, 1, 500)]
+    judged, real = [], np.flatnonzero
+    monkeypatch.setattr(S.np, "flatnonzero", lambda v: judged.append(1) or real(v))
+    rows, step, state, got = [{"t": i, "id": i, "x": float(x)} for i, x in enumerate(values)], S.adwin(0.002), {}, []
+    for i, r in enumerate(rows):
+        if i % 64 == 0:
+            state = step.ahead(json.loads(json.dumps(state)), rows[i:i + 64])
+        state, ((_, _, hit, _, held),) = step(state, r)
+        got.append((hit, held))
+    assert got == slow_adwin(values, 0.002) and 0 < sum(h for h, _ in got) and len(judged) < len(values) / 4
