@@ -40,3 +40,12 @@ def test_a_table_of_many_files_is_audited_as_one(spark, tmp_path):
     spark.range(2).withColumnRenamed("id", "ts").toPandas().to_parquet(root / "c.parquet")
     got = sorted(map(tuple, L.audit_tables(spark, str(root), ("ts", "value")).collect()))
     assert got == [("a.parquet", True, "value", False), ("b.parquet", False, "ts", False), ("c.parquet", False, "value", False)]
+
+
+def test_a_store_that_only_spark_opens_is_audited(spark, tmp_path):
+    """All of its files counted as unreadable before."""
+    spark.range(8).withColumnRenamed("id", "ts").repartition(2).write.parquet(str(tmp_path / "a.parquet"))
+    (tmp_path / "b.parquet").write_bytes(b"no")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.audit.link./in", f"file://{tmp_path}")
+    got = sorted(map(tuple, L.audit_tables(spark, "viewfs://audit/in", ("ts", "value")).collect()))
+    assert got == [("a.parquet", False, "value", False), ("b.parquet", True, "", False)]
