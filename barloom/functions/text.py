@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import clip
 
 
+def lowered(text: Column) -> Column:
+    """Lower case letter by letter, as SQL does it: a dotted capital I becomes one letter, a sigma at the end of a word one like others."""
+    return F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and apostrophes; a missing text has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z']+)"), 1)
+    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit("([a-z']+)"), 1)
 
 
 def _any(words: Sequence[str], token: Column) -> Column:
@@ -69,4 +74,4 @@ def sentiment_features(index: Column, score: Column, volume: Column, ticker_scor
 
 def title_key(title: Column) -> Column:
     """Titles that agree but for case count as one."""
-    return F.lower(title)
+    return lowered(title)

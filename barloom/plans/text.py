@@ -72,7 +72,7 @@ def _(spark, d):
     s = scored(spark, d)
     # the active names are a short fixed list: their text match is a projection, not a join
     active = {"AAA": "tion", "BBB": "ment", "ZZZ": "eau"}
-    named = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(w)), t) for t, w in active.items()]))
+    named = F.array_compact(F.array(*[F.when(F.contains(X.lowered(F.col("text")), F.lit(w)), t) for t, w in active.items()]))
     h = s.select(F.col("doc_id").alias("seq"), "sentiment", F.array_union("tickers", named).alias("tickers"))
     g, t = M.news_sentiment(h)
     both = g.select(F.lit("*").alias("ticker"), "score", "volume", "bullish", "bearish").unionByName(t)

@@ -49,3 +49,11 @@ def test_a_store_that_only_spark_opens_is_audited(spark, tmp_path):
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.audit.link./in", f"file://{tmp_path}")
     got = sorted(map(tuple, L.audit_tables(spark, "viewfs://audit/in", ("ts", "value")).collect()))
     assert got == [("a.parquet", False, "value", False), ("b.parquet", True, "", False)]
+
+
+def test_letters_are_lowered_as_sql_lowers_them(spark):
+    texts = ["İn the", "tİon", "ΣΑΣ", "the ΟΔΟΣ le", "laK", "ÉTHE ſ", "THE\x00Le"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: (list(r.toks), r.key) for r in df.select("text", X.tokens(F.col("text")).alias("toks"), X.title_key(F.col("text")).alias("key")).collect()}
+    for t in texts:
+        assert got[t] == duckdb.execute("SELECT regexp_extract_all(lower($1), '[a-z'']+'), lower($1)", [t]).fetchone()
